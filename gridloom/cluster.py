@@ -73,12 +73,18 @@ def publish(spark: SparkSession, built: str, target: str) -> None:
     filesystem, source = hadoop_path(spark, built)
     _, destination = hadoop_path(spark, target)
     _, previous = hadoop_path(spark, f"{target.rstrip('/')}__previous_{uuid.uuid4().hex}")
+    if not filesystem.exists(source):
+        raise OSError(f"'{built}' does not exist.")
     replaced = filesystem.exists(destination)
     if replaced and not filesystem.rename(destination, previous):
         raise OSError(f"Could not set aside '{target}'.")
-    if not filesystem.rename(source, destination):
-        if replaced:
+    moved = False
+    try:
+        moved = filesystem.rename(source, destination)
+    finally:
+        if not moved and replaced:
             filesystem.rename(previous, destination)
+    if not moved:
         raise OSError(f"Could not publish '{target}'.")
     if replaced:
         filesystem.delete(previous, True)

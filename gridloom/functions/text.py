@@ -43,15 +43,13 @@ def encode_bytes(value: Column, encoding: str) -> Column:
 
 
 def _code_page(codec: str) -> tuple[str, str]:
+    """Characters that a code page has in place of the ISO-8859-1 ones."""
+    if bytes(range(32, 127)).decode(codec, "replace") != bytes(range(32, 127)).decode("ascii"):
+        raise ValueError(f"Encoding '{codec}' does not extend ASCII by one byte per character.")
     latin, wanted = [], []
     for code in range(128, 256):
-        try:
-            character = bytes([code]).decode(codec)
-        except UnicodeDecodeError:
-            continue
-        if len(character) != 1 or bytes([65]).decode(codec) != "A":
-            raise ValueError(f"Encoding '{codec}' does not hold one character per byte.")
-        if character != chr(code):
+        character = bytes([code]).decode(codec, "ignore")
+        if character and character != chr(code):
             latin.append(chr(code))
             wanted.append(character)
     return "".join(latin), "".join(wanted)

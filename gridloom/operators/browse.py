@@ -152,7 +152,9 @@ def _seek(
             elif not chosen:
                 skipped += band["rows"]
             position += band["rows"]
-        if not chosen or sum(b["rows"] for b in chosen) == sum(b["rows"] for b in bands):
+        if not chosen:
+            return df.limit(0), offset
+        if sum(b["rows"] for b in chosen) == sum(b["rows"] for b in bands):
             break
         df = df.where(_beyond(df, order, chosen[0], "first") & _beyond(df, order, chosen[-1], "last"))
     return df, skipped

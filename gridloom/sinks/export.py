@@ -63,9 +63,11 @@ def export_csv(
     plain = not any(ch in cells.columns[0] for ch in (delimiter, '"', "\r", "\n"))
     if header and byte_order_mark and plain:
         cells = cells.withColumnRenamed(cells.columns[0], BYTE_ORDER_MARK + cells.columns[0])
+    # A lone empty cell would be a blank line, which readers skip.
+    empty = '""' if len(cells.columns) == 1 else ""
     attempt = f"{target.rstrip('/')}__attempt_{uuid.uuid4().hex}"
     writer = cells.write.options(
-        sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue="",
+        sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue=empty,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     if rows_per_file:
