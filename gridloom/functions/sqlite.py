@@ -15,8 +15,8 @@ DATE_CODES = {
     "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "ss.SSS", "%j": "DDD",
 }
 
-# Fixed value: the Julian day of 1970-01-01 00:00 UTC.
-UNIX_EPOCH_JULIAN_DAY = 2440587.5
+# Fixed value: milliseconds from the start of the Julian days to 1970-01-01 00:00 UTC.
+UNIX_EPOCH_JULIAN_MILLIS = 210866760000000
 
 
 def total(value: Column) -> Column:
@@ -45,7 +45,10 @@ def datetime_text(ts: Column) -> Column:
 
 
 def julian_day(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(86400e6) + F.lit(UNIX_EPOCH_JULIAN_DAY)
+    """Days since noon of 24 November 4714 BC, to the millisecond as SQLite has it."""
+    micros = F.unix_micros(ts.cast("timestamp")) + 500
+    millis = (micros - F.pmod(micros, F.lit(1000))) / 1000
+    return (millis + UNIX_EPOCH_JULIAN_MILLIS) / 86400000
 
 
 def strftime(pattern: str, ts: Column) -> Column:
@@ -97,7 +100,8 @@ def like(value: Column, pattern: str) -> Column:
 
 
 _SQL_FUNCTIONS = (
-    "julianday(ts TIMESTAMP) RETURNS DOUBLE RETURN unix_micros(ts) / 86400e6D + 2440587.5D",
+    "julianday(ts TIMESTAMP) RETURNS DOUBLE RETURN "
+    f"((unix_micros(ts) + 500 - pmod(unix_micros(ts) + 500, 1000)) / 1000 + {UNIX_EPOCH_JULIAN_MILLIS}) / 86400000",
     "datetime(ts TIMESTAMP) RETURNS STRING RETURN date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     "timetext(ts TIMESTAMP) RETURNS STRING RETURN date_format(ts, 'HH:mm:ss')",
     "strftime(pattern STRING, ts TIMESTAMP) RETURNS STRING RETURN array_join(transform("

@@ -116,7 +116,7 @@ def page(
     if numbered:
         # The window sees one page only.
         by = [_directed(F.col(quoted(name)), down) for name, down in order] or [F.lit(1)]
-        rows = rows.withColumn("row_number", F.row_number().over(Window.orderBy(*by)) + offset)
+        rows = rows.withColumn("row_number", F.row_number().over(Window.orderBy(*by)).cast("long") + offset)
     return rows
 
 

@@ -10,13 +10,19 @@ from gridloom.cluster import list_paths, path_exists
 from gridloom.functions.sqlite import register_functions
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Register the SQL functions and let recursive queries return all their rows."""
+    register_functions(spark)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+
+
 class Workspace:
     """Tables below one folder, ready for SQL."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        register_functions(spark)
+        prepare_session(spark)
         if path_exists(spark, self.folder):
             for path in list_paths(spark, self.folder):
                 self._show(path.rsplit("/", 1)[-1], path)

@@ -36,6 +36,11 @@ class Dialect:
     trailing_empty: int = 0
     quoted_newlines: bool = False
 
+    @classmethod
+    def named(cls, *header: str, delimiter: str = ",", **settings) -> "Dialect":
+        """A dialect whose files start with just these names."""
+        return cls(header, delimiter, header_line=delimiter.join(header), **settings)
+
     @property
     def width(self) -> int:
         return len(self.header) + self.trailing_empty
@@ -48,8 +53,11 @@ def read_lines(
     quoted_newlines: bool = False,
     glob: str | None = None,
 ) -> DataFrame:
-    """Physical lines. Inside quotes a carriage return belongs to the cell, so it is kept there."""
-    reader = spark.read
+    """Physical lines of files, and of all files below a folder.
+
+    Where cells hold line breaks, a carriage return may belong to the cell, so it is kept.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if quoted_newlines:
