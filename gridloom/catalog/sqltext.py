@@ -113,8 +113,8 @@ def fn_agg(spark, sf):
 
 def fn_group_concat(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        sqlite.group_concat(F.col("l_partkey"), ",", F.struct("l_partkey", "l_suppkey")).alias("parts"),
-        sqlite.group_concat(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")), "; ").alias("returned"))
+        sqlite.group_concat("l_partkey", ",", "l_partkey, l_suppkey").alias("parts"),
+        sqlite.group_concat("CASE WHEN l_returnflag = 'R' THEN l_suppkey END", "; ").alias("returned"))
 
 
 _STRINGS = """SELECT p_partkey, length(p_name) AS name_length, lower(p_brand) AS low, upper(p_name) AS up,

@@ -36,43 +36,43 @@ DATE_FORMATS = (
 )
 
 _ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
+# A comma without a point is the decimal mark, and spaces group thousands; otherwise commas group
+# thousands. The sign may stand on either side.
 _GROUP_SPACES = " \u00a0\u202f"
-_COMMA_DECIMAL = rf"^[+-]?[0-9{_GROUP_SPACES}]*(,[0-9]*)?\s*[+-]?$"
-_POINT_DECIMAL = r"^[+-]?[0-9,]*(\.[0-9]*)?\s*[+-]?$"
+_COMMON_NUMBER = r"^[+-]?[0-9]+(?:[.,][0-9]+)?$"
+_NUMBER = rf"^[+-]?(?:[0-9{_GROUP_SPACES}]*,[0-9]*|[0-9,]*\.[0-9]*|[0-9]+) *[+-]?$"
 
 
-def convert(value: Column, column_type: str, date_formats: Sequence[str] = DATE_FORMATS) -> Column:
+def convert(
+    value: Column, column_type: str, date_formats: Sequence[str] = DATE_FORMATS, trimmed: bool = False
+) -> Column:
     """The typed value; NULL when the cell is blank or does not convert."""
     if column_type == "Text":
         return value
+    text = value if trimmed else strip(value)
     if column_type == "Integer":
-        return strip(value).try_cast("bigint")
+        return text.try_cast("bigint")
     if column_type == "Decimal":
-        return _decimal(strip(value))
+        return _decimal(text)
     if column_type == "Boolean":
-        word = F.lower(strip(value))
-        return F.when((word == "true") | value.isin(*TRUE_WORDS), True).when(
-            (word == "false") | value.isin(*FALSE_WORDS), False
+        word = F.lower(text)
+        return F.when(value.isin(*TRUE_WORDS) | (word == "true"), True).when(
+            value.isin(*FALSE_WORDS) | (word == "false"), False
         )
     if column_type == "Date":
-        text = strip(value)
         iso = F.when(text.rlike(_ISO_START), text.try_cast("timestamp"))
         return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in date_formats])
     raise ValueError(f"Unknown column type '{column_type}'.")
 
 
 def _decimal(text: Column) -> Column:
-    """A comma without a point is the decimal mark; otherwise commas group thousands."""
-    comma_mark = text.contains(",") & ~text.contains(".")
-    digits = F.when(
-        comma_mark & text.rlike(_COMMA_DECIMAL), F.translate(text, "," + _GROUP_SPACES, ".")
-    ).when(~comma_mark & text.rlike(_POINT_DECIMAL), F.translate(text, ", ", ""))
-    trailing_sign = digits.rlike("[+-]$")
-    number = (
-        F.when(trailing_sign, F.concat(F.right(digits, F.lit(1)), F.regexp_replace(digits, "[+-]$", "")))
-        .otherwise(digits)
-        .try_cast("double")
+    grouped = F.when(text.contains("."), F.translate(text, ", ", "")).otherwise(
+        F.translate(text, "," + _GROUP_SPACES, ".")
     )
+    digits = F.when(text.rlike(_COMMON_NUMBER), F.translate(text, ",", ".")).when(
+        text.rlike(_NUMBER), F.regexp_replace(grouped, "^(.*)([+-])$", "$2$1")
+    )
+    number = digits.try_cast("double")
     return F.when(F.abs(number) < DECIMAL_LIMIT, number)
 
 

@@ -24,12 +24,13 @@ def total(value: Column) -> Column:
     return F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
 
 
-def group_concat(value: Column, separator: str = ",", order_by: Column | None = None) -> Column:
-    """Values of a group as one string, NULL left out, in the order given (else by value)."""
-    key = value if order_by is None else order_by
-    pairs = F.collect_list(F.when(value.isNotNull(), F.struct(key.alias("k"), value.cast("string").alias("v"))))
-    joined = F.array_join(F.transform(F.array_sort(pairs), lambda pair: pair["v"]), separator)
-    return F.when(F.count(value) > 0, joined)
+def group_concat(value: str, separator: str = ",", order_by: str | None = None) -> Column:
+    """Values of a group as one string, NULL left out; ``value`` and ``order_by`` are SQL expressions.
+
+    The string has no order of its own in Spark, so one is always given: by value unless named.
+    """
+    mark = separator.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"listagg(CAST({value} AS STRING), '{mark}') WITHIN GROUP (ORDER BY {order_by or value})")
 
 
 def date_text(ts: Column) -> Column:

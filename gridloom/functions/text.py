@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -19,6 +20,14 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+def has_padding(raw: Column, delimiter: str) -> Column:
+    """Whether any cell of a raw record may start or end with white space: one look for all cells."""
+    edge = '["' + re.escape(delimiter) + "]"
+    ascii_space = raw.rlike(rf"(?:^|{edge})[\t-\r ]|[\t-\r ](?:{edge}|$)")
+    other_space = raw.rlike("[" + "".join(ch for ch in WHITESPACE if ord(ch) > 127) + "]")
+    return ascii_space | ((F.length(raw) != F.octet_length(raw)) & other_space)
+
+
 def is_blank(value: Column) -> Column:
     return F.coalesce(strip(value), F.lit("")) == ""
 

@@ -60,9 +60,9 @@ def _number(text: str, dtype: T.DataType) -> int | float | None:
     return whole if isinstance(dtype, T.IntegralType) else number
 
 
-def filtered_count(df: DataFrame, filters: Filters | None = None) -> DataFrame:
+def filtered_count(df: DataFrame, filters: Filters | None = None, as_text: bool = False) -> DataFrame:
     """One row: ``total_rows`` under the filters."""
-    return value_filter(df, filters).agg(F.count("*").alias("total_rows"))
+    return value_filter(df, filters, as_text).agg(F.count("*").alias("total_rows"))
 
 
 def facets(
@@ -71,6 +71,7 @@ def facets(
     filters: Filters | None = None,
     search: str | None = None,
     limit: int = FACET_VALUES,
+    as_text: bool = False,
 ) -> DataFrame:
     """Values of a column with counts, under the filters of the other columns, in order of value."""
     if limit <= 0:
@@ -78,7 +79,7 @@ def facets(
     name = resolve_column(df, column)
     others = {k: v for k, v in (filters or {}).items() if k.lower() != name.lower()}
     value = F.col(quoted(name))
-    rows = value_filter(df, others).select(value.alias("value"))
+    rows = value_filter(df, others, as_text).select(value.alias("value"))
     if search:
         text = cell_text(F.col("value"), df.schema[name].dataType)
         rows = rows.where(F.lower(text).contains(search.lower()))
@@ -94,6 +95,7 @@ def page(
     offset: int = 0,
     tie_break: str | None = None,
     numbered: bool = False,
+    as_text: bool = False,
     top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in sort order; NULL first when ascending, last otherwise.
@@ -105,7 +107,7 @@ def page(
     if limit <= 0:
         raise ValueError("Limit must be greater than zero.")
     offset = max(0, offset)
-    rows = value_filter(df, filters)
+    rows = value_filter(df, filters, as_text)
     order = _order(rows, sort, descending, tie_break)
     skipped = 0
     if order and offset + limit > top_k_rows:

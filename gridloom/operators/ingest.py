@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.cluster import path_exists
 from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_error, convert
-from gridloom.functions.text import strip
+from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
     BLOCK, ERROR, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
-    Dialect, parse_records, read_records,
+    Dialect, literal_path, parse_records, read_records,
 )
-from gridloom.sources.dialect import detect
-from gridloom.sources.naming import column_names
+from gridloom.sources.dialect import detect, dialect_of, layouts, profile
+from gridloom.sources.naming import column_names, identifier
 
 INTERNAL = (SOURCE, BLOCK, ROW, RAW, LEAD, ERROR)
 
@@ -64,16 +65,18 @@ def typed_rows(
     """Parsed records as typed columns with origin, ``_lead``, ``_error`` and, if needed, ``_raw``."""
     chosen = resolve_mappings(mappings, dialect.header)
     names = column_names([m.name for m in chosen])
+    padded = has_padding(F.col(RAW), dialect.delimiter).alias("_padded")
     texts = []
     for position, mapping in enumerate(chosen):
         cell = F.coalesce(F.col(f"_cells.c{mapping.source_index}"), F.lit(""))
-        texts.append((strip(cell) if trim else cell).alias(f"_t{position}"))
+        trimmed = F.when(F.col("_padded"), strip(cell)).otherwise(cell) if trim else cell
+        texts.append(trimmed.alias(f"_t{position}"))
     origin = [SOURCE, BLOCK, ROW, RAW, LEAD, ERROR]
-    cells = parsed.select(*origin, *texts)
+    cells = parsed.select("*", padded).select(*origin, *texts)
 
     typed = [m.data_type != "Text" for m in chosen]
     values = [
-        convert(F.col(f"_t{i}"), m.data_type, date_formats).alias(f"_v{i}")
+        convert(F.col(f"_t{i}"), m.data_type, date_formats, trimmed=trim).alias(f"_v{i}")
         for i, m in enumerate(chosen) if typed[i]
     ]
     converted = cells.select("*", *values) if values else cells
@@ -195,6 +198,33 @@ def ingest(
     return Staged.open(spark, folder)
 
 
+def ingest_by_layout(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    folder: str,
+    trim: bool = True,
+    glob: str | None = None,
+    part: str | None = None,
+) -> dict[str, Staged]:
+    """Detect every file's dialect and read the files of each layout into a folder of their own.
+
+    A layout is known by its column names and a digest of them, so that equal files that come later
+    land in the same folder; ``part`` names their place in it.
+    """
+    taken = {}
+    for row in layouts(profile(spark, paths, trim=trim, glob=glob)).collect():
+        names = list(row.column_names)
+        name = f"{identifier('_'.join(names))}_{md5(repr(names).encode()).hexdigest()[:12]}"
+        dialect = dialect_of(row)
+        rows = parse_records(read_records(spark, [literal_path(p) for p in row.files], dialect), dialect)
+        place = f"{folder}/{name}" + (f"/{part}" if part else "")
+        # Layouts may differ in dialect only; the first one of a table clears its place.
+        mode = "append" if name in taken else "overwrite" if part else "errorifexists"
+        typed_rows(rows, dialect, trim=trim).write.mode(mode).parquet(place)
+        taken[name] = place
+    return {name: Staged.open(spark, f"{folder}/{name}") for name in taken}
+
+
 def promote(staged: Staged, mappings: Sequence[ColumnMapping] | None = None) -> DataFrame:
     """Chosen text columns of staged rows under their final names, without a second parse."""
     chosen = resolve_mappings(mappings, staged.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -65,6 +66,11 @@ def read_lines(
     return with_origin(reader.text(paths if isinstance(paths, str) else list(paths)), encoding)
 
 
+def literal_path(location: str) -> str:
+    """A file's location, as the ``_metadata`` column spells it, in the form a reader takes."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(location))
+
+
 def with_origin(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
     return text.select(
         F.col("_metadata.file_path").alias(SOURCE),

@@ -196,12 +196,16 @@ def _parses(text: str, pattern: str) -> bool:
 
 
 def layouts(profiled: DataFrame) -> DataFrame:
-    """Files grouped by equal dialect and header: each group can be scanned together."""
+    """Files grouped by equal dialect and header: each group can be scanned together.
+
+    ``files`` holds their paths, which the driver lists for a scan in any case.
+    """
     keys = [c for c in profiled.columns if c not in ("source_file", "quoted_newlines")]
     return profiled.groupBy(*keys).agg(
         F.bool_or("quoted_newlines").alias("quoted_newlines"),
         F.count("*").alias("file_count"),
         F.min("source_file").alias("first_file"),
+        F.collect_list("source_file").alias("files"),
     )
 
 
@@ -221,12 +225,12 @@ def dialect_of(row) -> Dialect:
 
 def detect(spark: SparkSession, paths: str | Sequence[str], **options) -> Dialect:
     """The one dialect that all files share; files that differ must be read apart."""
-    found = layouts(profile(spark, paths, **options)).orderBy("first_file").take(2)
+    found = layouts(profile(spark, paths, **options)).drop("files").orderBy("first_file").take(2)
     if not found:
         raise ValueError("CSV file is empty.")
     if len(found) > 1:
         raise ValueError(
             f"Files differ in layout, for instance '{found[0].first_file}' and '{found[1].first_file}'; "
-            "see layouts(profile(...)) and read each layout apart."
+            "ingest_by_layout reads each layout apart."
         )
     return dialect_of(found[0])

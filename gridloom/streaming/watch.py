@@ -7,14 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from gridloom.cluster import list_paths
 from gridloom.functions.convert import DATE_FORMATS
-from gridloom.operators.ingest import ColumnMapping, Staged, typed_rows
-from gridloom.sources.delimited import Dialect, parse_records, to_records, with_origin
+from gridloom.operators.ingest import ColumnMapping, Staged, ingest_by_layout, typed_rows
+from gridloom.sources.delimited import Dialect, literal_path, parse_records, to_records, with_origin
 
 # Names of files to pick up, in any case, and how often to look, in seconds.
 CSV_GLOB = "*.[cC][sS][vV]"
 RESCAN_SECONDS = 15
 
+# The columns of Spark's binary file source; contents are not read unless asked for.
+_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _start(batches: DataFrame, take, checkpoint: str, once: bool) -> StreamingQuery:
+    writer = batches.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{RESCAN_SECONDS} seconds")
+    return writer.start()
+
 
 def watch_folder(
     spark: SparkSession,
@@ -40,16 +50,44 @@ def watch_folder(
         reader = reader.option("lineSep", "\n")
     lines = with_origin(reader.text(folder), dialect.encoding)
 
-    def ingest_batch(batch: DataFrame, batch_id: int) -> None:
+    def take(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_records(to_records(batch, dialect.quoted_newlines), dialect)
         rows = typed_rows(parsed, dialect, mappings, trim, date_formats)
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    writer = lines.writeStream.foreachBatch(ingest_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{RESCAN_SECONDS} seconds")
-    return writer.start()
+    return _start(lines, take, checkpoint, once)
 
 
 def watched(spark: SparkSession, table: str) -> Staged:
     """What the stream has ingested so far."""
     return Staged.open(spark, table)
+
+
+def watch_any(
+    spark: SparkSession,
+    folder: str,
+    tables: str,
+    checkpoint: str,
+    trim: bool = True,
+    files_per_batch: int | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Ingest files of any dialect: each is profiled, and each layout has a table below ``tables``.
+
+    The stream carries paths only; the files of a batch are then read like any others.
+    """
+    reader = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("pathGlobFilter", CSV_GLOB)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        paths = [literal_path(row.path) for row in batch.collect()]
+        if paths:
+            ingest_by_layout(spark, paths, tables, trim=trim, part=f"batch={batch_id}")
+
+    return _start(reader.load(folder).select("path"), take, checkpoint, once)
+
+
+def watched_layouts(spark: SparkSession, tables: str) -> dict[str, Staged]:
+    """Every layout met so far, by name."""
+    return {path.rsplit("/", 1)[-1]: Staged.open(spark, path) for path in list_paths(spark, tables)}

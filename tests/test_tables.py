@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from gridloom.cluster import publish
 from gridloom.functions import sqlite
 from gridloom.functions.text import cell_text, decode_bytes, encode_bytes
-from gridloom.operators.ingest import ingest, typed_rows
+from gridloom.operators.ingest import ingest, ingest_by_layout, typed_rows
 from gridloom.plans.workspace import Workspace
 from gridloom.sinks.export import export_cells, export_csv
 from gridloom.sinks.materialize import compact, fingerprint, materialize
 from gridloom.sources.archive import archive_lines, archive_records, read_archives
 from gridloom.sources.delimited import Dialect, parse_records
-from gridloom.streaming.watch import watch_folder, watched
+from gridloom.streaming.watch import watch_any, watch_folder, watched, watched_layouts
 
 
 def written(target):
@@ -133,10 +133,10 @@ def test_sqlite_functions(spark, folder):
     assert rows(base.select(sqlite.strftime("%Y/%m at %H:%M %% %w", ts), sqlite.date_text(ts), sqlite.time_text(ts))) == [
         ("2024/01 at 12:00 % 1", "2024-01-01", "12:00:05")]
     empty = spark.createDataFrame([], "x int")
-    assert rows(empty.agg(sqlite.total(F.col("x")), sqlite.group_concat(F.col("x")))) == [(0.0, None)]
+    assert rows(empty.agg(sqlite.total(F.col("x")), sqlite.group_concat("x"))) == [(0.0, None)]
     some = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "x string, n int")
-    assert rows(some.agg(sqlite.group_concat(F.col("x")).alias("a"), sqlite.group_concat(F.col("x"), "; ", F.col("n")).alias("b"))) == [
-        ("a,b", "b; a")]
+    assert rows(some.agg(sqlite.group_concat("x").alias("a"), sqlite.group_concat("x", "'", "n").alias("b"))) == [
+        ("a,b", "b'a")]
     assert 0 <= spark.sql("SELECT random() r").first().r < 1
 
 
@@ -206,3 +206,29 @@ def test_round_trip_of_awkward_cells(spark, folder):
     target = export_csv(df, folder.new("out"), ";", protect_formulas=False)
     dialect = Dialect(("A", "B"), ";", header_line="A;B", quoted_newlines=True)
     assert rows(ingest(spark, target, folder.new("back"), dialect, trim=False).accepted()) == sorted(cells)
+
+
+def test_watched_folder_of_mixed_layouts(spark, folder):
+    where = dict(folder=folder.new("in"), tables=folder.new("tables"), checkpoint=folder.new("check"), once=True)
+    folder("in/dane [1] ąę 100%.csv", "Kod;Opis\n1;Żaba\nx\n", "cp1250")
+    folder("in/b.csv", "Id,Name\n2,Ola\n")
+    folder("in/c.csv", "Kod\tOpis\n3\tKot\n")
+    folder("in/empty.csv", "")
+    watch_any(spark, **where).awaitTermination()
+    folder("in/d.csv", "Id,Name\n4,Ada\n")
+    watch_any(spark, **where).awaitTermination()
+    watch_any(spark, **where).awaitTermination()
+    found = {tuple(s.columns): s for s in watched_layouts(spark, where["tables"]).values()}
+    assert set(found) == {("Kod", "Opis"), ("Id", "Name")}
+    assert rows(found["Kod", "Opis"].accepted()) == [("1", "Żaba"), ("3", "Kot")]
+    assert [r.message for r in found["Kod", "Opis"].rejected().collect()] == ["Expected 2 fields, found 1."]
+    assert rows(found["Id", "Name"].accepted()) == [("2", "Ola"), ("4", "Ada")]
+    assert sorted(r.row_count for r in found["Id", "Name"].manifest().collect()) == [1, 1]
+
+
+def test_ingest_by_layout(spark, folder):
+    folder("in/a.csv", "Id;Name\n1;Ada\n")
+    folder("in/deep/b.csv", "Id,Name\n2,Ola\n")
+    folder("in/c.csv", "Town;Id\nKielce;3\n")
+    found = {tuple(s.columns): rows(s.accepted()) for s in ingest_by_layout(spark, folder.new("in"), folder.new("o")).values()}
+    assert found == {("Id", "Name"): [("1", "Ada"), ("2", "Ola")], ("Town", "Id"): [("Kielce", "3")]}
