@@ -85,7 +85,7 @@ def cell_text(value: Column, dtype: T.DataType) -> Column:
 
 def _number_text(value: Column) -> Column:
     spelled = value.cast("string")
-    plain = F.regexp_replace(spelled, r"\.0$", "")
+    plain = F.when(spelled.endswith(".0"), F.left(spelled, F.length(spelled) - 2)).otherwise(spelled)
     unrolled = F.regexp_replace(
         F.regexp_replace(spelled.try_cast("decimal(38,22)").cast("string"), "0+$", ""), r"\.$", ""
     )

@@ -17,7 +17,7 @@ from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_er
 from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
     BLOCK, ERROR, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
-    Dialect, literal_path, parse_records, read_records,
+    Dialect, literal_path, parse_records, read_lines, read_records, to_records,
 )
 from gridloom.sources.dialect import detect, dialect_of, layouts, profile
 from gridloom.sources.naming import column_names, identifier
@@ -241,11 +241,23 @@ def promote(staged: Staged, mappings: Sequence[ColumnMapping] | None = None) ->
 def preview(
     spark: SparkSession, path: str, dialect: Dialect | None = None, rows: int = PREVIEW_ROWS, trim: bool = True
 ) -> DataFrame:
-    """The first records of one file under its columns; ragged ones too, with their raw text."""
+    """The first records of one file under its columns; ragged ones too, with their raw text.
+
+    Only as many lines as needed are read, from the first split on, and they come to the driver.
+    """
     dialect = dialect or detect(spark, path, trim=trim)
-    top = read_records(spark, path, dialect).where(F.col(BLOCK) == 0)
-    leads = int(dialect.has_header) + int(dialect.has_preamble)
-    first = top.orderBy(ROW).offset(leads).limit(rows)
+    lines = read_lines(spark, path, dialect.encoding, dialect.quoted_newlines).where(F.length(RAW) > 0)
+    wanted = rows + int(dialect.has_header) + int(dialect.has_preamble)
+    leads = wanted - rows
+    count = wanted
+    while True:
+        head = lines.take(count)
+        local = spark.createDataFrame(head, lines.schema).coalesce(1)
+        first = to_records(local, dialect.quoted_newlines)
+        if not dialect.quoted_newlines or len(head) < count or first.count() > wanted:
+            break
+        count *= 4
+    first = first.orderBy(ROW).offset(leads).limit(rows)
     shown = typed_rows(parse_records(first, dialect), dialect, trim=trim)
     order = [c for c in shown.columns if c not in INTERNAL]
     return shown.select(*map(F.col, order), F.col(RAW).alias("ragged_row")).orderBy(shown[ROW])

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions.text import decode_bytes
 from gridloom.sources.delimited import BLOCK, RAW, ROW, SOURCE, Dialect, read_lines
@@ -55,17 +55,17 @@ def profile(
     assume_header: bool = True,
     delimiter: str | None = None,
     encoding: str | None = None,
+    quoted_newlines: bool | None = None,
     glob: str | None = None,
 ) -> DataFrame:
-    """One row per file. A named delimiter or encoding wins over the detected one."""
+    """One row per file. What the caller names wins over what is detected.
+
+    Encoding and line breaks inside quotes are settled by a pass over all text; with both named,
+    that pass is left out.
+    """
     raw = read_lines(spark, paths, glob=glob)
-    quotes = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
-    checks = raw.groupBy(SOURCE).agg(
-        F.bool_and(F.is_valid_utf8(F.col(RAW))).alias("_utf8"),
-        F.max(quotes % 2).alias("_odd_quotes"),
-    )
     first = Window.partitionBy(SOURCE).orderBy(ROW)
-    head = (
+    facts = (
         raw.where(F.col(BLOCK) == 0)
         .withColumn(ROW, F.monotonically_increasing_id())
         .withColumn("_n", F.row_number().over(first))
@@ -73,16 +73,18 @@ def profile(
         .groupBy(SOURCE)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", RAW))), lambda line: line[RAW]).alias("_lines"))
     )
-    decoded = F.when(F.col("_utf8"), F.col("_lines")).otherwise(
-        F.transform("_lines", lambda line: decode_bytes(line, FALLBACK_ENCODING))
-    )
-    if encoding is not None:
-        decoded = F.transform("_lines", lambda line: decode_bytes(line, encoding))
-    named = F.lit(encoding) if encoding else F.when(F.col("_utf8"), "utf-8").otherwise(FALLBACK_ENCODING)
-    facts = checks.join(head, SOURCE).select(
+    if encoding is None or quoted_newlines is None:
+        facts = facts.join(_text_checks(raw), SOURCE)
+    if encoding is None:
+        named = F.when(F.col("_utf8"), "utf-8").otherwise(FALLBACK_ENCODING)
+        decoded = F.when(F.col("_utf8"), F.col("_lines")).otherwise(_decoded_lines(FALLBACK_ENCODING))
+    else:
+        named, decoded = F.lit(encoding), _decoded_lines(encoding)
+    spanning = F.col("_odd_quotes") if quoted_newlines is None else F.lit(quoted_newlines)
+    facts = facts.select(
         F.col(SOURCE).alias("source_file"),
         named.alias("encoding"),
-        (F.col("_odd_quotes") > 0).alias("quoted_newlines"),
+        spanning.alias("quoted_newlines"),
         decoded.alias("lines"),
     )
 
@@ -101,6 +103,18 @@ def profile(
 _FIELDS = PROFILE_SCHEMA.split(", ")
 
 
+def _text_checks(raw: DataFrame) -> DataFrame:
+    """Per file, over every line: all of it valid UTF-8, and any line with an odd number of quotes."""
+    quotes = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
+    return raw.groupBy(SOURCE).agg(
+        F.bool_and(F.is_valid_utf8(F.col(RAW))).alias("_utf8"), F.bool_or(quotes % 2 == 1).alias("_odd_quotes")
+    )
+
+
+def _decoded_lines(encoding: str) -> Column:
+    return F.transform("_lines", lambda line: decode_bytes(line, encoding))
+
+
 def describe_head(
     source: str, encoding: str, quoted_newlines: bool, lines: list[str],
     trim: bool, assume_header: bool, delimiter: str | None = None,

@@ -255,3 +255,16 @@ def test_named_encoding_and_delimiter_win(spark, folder):
     dialect = detect(spark, path, encoding="iso-8859-2", delimiter="|")
     assert dialect.header == ("Nazwa", "Opis")
     assert rows(ingest(spark, path, folder.new("o"), dialect).accepted()) == [("żółć", "x;y;z")]
+
+
+def test_preview_of_records_that_span_lines(spark, folder):
+    path = folder("sp.csv", "Id;Text\n" + "".join(f'{i};"a\nb\nc\n{i}"\n' for i in range(500)))
+    shown = preview(spark, path, rows=30).collect()
+    assert [(r.Id, r.Text) for r in shown] == [(str(i), f"a\nb\nc\n{i}") for i in range(30)]
+
+
+def test_profile_without_a_pass_over_the_text(spark, folder):
+    path = folder("cheap.csv", "Id;Name\n1;Ada\n")
+    cheap = profile(spark, path, encoding="utf-8", quoted_newlines=False)
+    assert cheap._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert cheap.first().column_names == ["Id", "Name"]
