@@ -78,11 +78,11 @@ def _side(df: DataFrame, prefix: str, keys: Sequence[str], outputs: Sequence[str
     """Keys and outputs under private names, so that a table can be joined with itself."""
     key_columns = [F.col(quoted(key)) for key in keys]
     out_columns = [F.col(quoted(name)) for name in outputs]
-    part = F.lit(0)
-    if spread:
-        missing = reduce(Column.__or__, [key.isNull() for key in key_columns])
-        spot = F.pmod(F.xxhash64(*key_columns, *out_columns), F.lit(_NULL_PARTS)).cast("int") + 1
-        part = F.when(missing, spot).otherwise(part)
+    # Zero wherever the key is complete. The other side says so by its own keys, as a plain literal
+    # would be folded away and the shuffle would not see it.
+    missing = reduce(Column.__or__, [key.isNull() for key in key_columns])
+    spot = F.pmod(F.xxhash64(*key_columns, *out_columns), F.lit(_NULL_PARTS)).cast("int") + 1 if spread else F.lit(1)
+    part = F.when(missing, spot).otherwise(0)
     return df.select(
         *[key.alias(f"{prefix}k{i}") for i, key in enumerate(key_columns)],
         *[out.alias(f"{prefix}c{i}") for i, out in enumerate(out_columns)],

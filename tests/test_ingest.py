@@ -268,3 +268,21 @@ def test_profile_without_a_pass_over_the_text(spark, folder):
     cheap = profile(spark, path, encoding="utf-8", quoted_newlines=False)
     assert cheap._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert cheap.first().column_names == ["Id", "Name"]
+
+
+@pytest.mark.parametrize("delimiter", [";", "\t", " "])
+def test_every_kind_of_padding_is_trimmed(spark, folder, delimiter):
+    from gridloom.functions.text import WHITESPACE
+    name = "\u0142x" if delimiter != ";" else "x"
+    lines, wanted = [], []
+    for number, space in enumerate(ch for ch in WHITESPACE if ch not in "\n\r" + delimiter):
+        for cell in (f"{name}{space}", f"{space}{name}", f'"{space}{name}{space}"', f"{space}{space}"):
+            for position in range(3):
+                cells = ["a", "b", str(number)]
+                cells[position] = cell
+                lines.append(delimiter.join(cells))
+                cells[position] = name if name in cell else ""
+                wanted.append(tuple(cells))
+    path = folder("pad.csv", "\n".join(lines))
+    dialect = Dialect(("A", "B", "C"), delimiter, has_header=False)
+    assert rows(ingest(spark, path, folder.new("out"), dialect).accepted()) == sorted(wanted)

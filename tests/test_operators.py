@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from gridloom.operators import compare as cmp
 from gridloom.operators.browse import facets, filtered_count, page, value_filter
@@ -248,3 +250,22 @@ def test_plans_stay_in_the_jvm(spark, people):
 def test_compare_needs_one_shuffle(spark):
     text = plan(compare([(ids(spark, 1), ["Id"]), (ids(spark, 2), ["Id"]), (ids(spark, 3), ["Id"])]))
     assert text.count("Exchange") == 1 and "Join" not in text
+
+
+@pytest.mark.parametrize("how,kept", [("left", "_l"), ("right", "_r")])
+def test_null_keys_do_not_meet_in_one_task(spark, how, kept):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    previous = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.createDataFrame([(i if i % 3 else None, i) for i in range(300)], "k long, v long")
+        joined = join_tables(df, df, ["k"], how=how)
+        exchanges = [line for line in plan(joined).splitlines() if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 2 and all("part#" in line for line in exchanges)
+        assert joined.count() == 300 and joined.where("k IS NULL AND right_k IS NULL").count() == 100
+        tasks = joined.where(f"{'v' if how == 'left' else 'right_v'} % 3 = 0").groupBy(F.spark_partition_id()).count()
+        assert tasks.count() > 1
+    finally:
+        for key, value in previous.items():
+            spark.conf.set(key, value)
