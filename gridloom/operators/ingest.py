@@ -6,13 +6,14 @@ else here reads that folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
-from gridloom.cluster import path_exists
+from gridloom.cluster import hadoop_path, path_exists, publish
 from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_error, convert
 from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
@@ -61,8 +62,13 @@ def typed_rows(
     mappings: Sequence[ColumnMapping] | None = None,
     trim: bool = True,
     date_formats: Sequence[str] = DATE_FORMATS,
+    keep_rejected: bool = False,
 ) -> DataFrame:
-    """Parsed records as typed columns with origin, ``_lead``, ``_error`` and, if needed, ``_raw``."""
+    """Parsed records as typed columns with origin, ``_lead``, ``_error`` and, if needed, ``_raw``.
+
+    Rejected rows have their raw text and no values, so that no later expression meets them,
+    unless ``keep_rejected``.
+    """
     chosen = resolve_mappings(mappings, dialect.header)
     names = column_names([m.name for m in chosen])
     padded = has_padding(F.col(RAW), dialect.delimiter).alias("_padded")
@@ -85,8 +91,9 @@ def typed_rows(
         for i, m in enumerate(chosen) if typed[i]
     ]
     error = F.coalesce(F.col(ERROR), *problems)
+    good = F.lit(True) if keep_rejected else F.col(ERROR).isNull()
     outputs = [
-        F.col(f"_v{i}" if typed[i] else f"_t{i}").alias(
+        F.when(good, F.col(f"_v{i}" if typed[i] else f"_t{i}")).alias(
             name, metadata={"original_name": dialect.header[m.source_index]}
         )
         for i, (name, m) in enumerate(zip(names, chosen))
@@ -123,10 +130,15 @@ class Staged:
         return found.select(SOURCE, F.explode(F.array_compact(F.array(preamble, header))).alias(ROW))
 
     def _body(self) -> DataFrame:
-        """All records but the leading ones. Only rows that read like one are checked."""
+        """All records but the leading ones. Only rows that read like one are checked.
+
+        The condition that is always true is not deterministic to Spark, which keeps a caller's
+        filters, such as casts, from being moved to where the header rows still are.
+        """
         plain = self.rows.where(F.col(LEAD) == 0)
         doubtful = self.rows.where(F.col(LEAD) != 0)
-        return plain.unionByName(doubtful.join(self._leads(), [SOURCE, ROW], "left_anti"))
+        checked = doubtful.join(self._leads(), [SOURCE, ROW], "left_anti").where(F.spark_partition_id() >= 0)
+        return plain.unionByName(checked)
 
     def accepted(self, origin: bool = False) -> DataFrame:
         """Rows that have all fields and convert. ``origin`` adds their file and row id."""
@@ -189,15 +201,37 @@ def ingest(
     date_formats: Sequence[str] = DATE_FORMATS,
     glob: str | None = None,
 ) -> Staged:
-    """Read delimited files of one dialect (detected when not given) into a new folder."""
+    """Read delimited files of one dialect into a new folder.
+
+    When none is given, the first lines tell it, and UTF-8 text without line breaks in cells is
+    taken for granted and checked in the same pass. Only if that proves wrong is all text profiled
+    and read again.
+    """
     if path_exists(spark, folder):
         raise ValueError(f"'{folder}' exists already.")
-    dialect = dialect or detect(spark, paths, trim=trim, glob=glob)
+    if dialect is None:
+        attempt = f"{folder.rstrip('/')}__attempt_{uuid.uuid4().hex}"
+        guess = detect(spark, paths, trim=trim, glob=glob, encoding="utf-8", quoted_newlines=False)
+        seen = Observation()
+        records = read_records(spark, paths, guess, glob).observe(seen, F.bool_or(_unlike_guess()).alias("unlike"))
+        typed_rows(parse_records(records, guess), guess, mappings, trim, date_formats).write.parquet(attempt)
+        if not seen.get["unlike"]:
+            publish(spark, attempt, folder)
+            return Staged.open(spark, folder)
+        filesystem, location = hadoop_path(spark, attempt)
+        filesystem.delete(location, True)
+        dialect = detect(spark, paths, trim=trim, glob=glob)
     parsed = parse_records(read_records(spark, paths, dialect, glob), dialect)
     typed_rows(parsed, dialect, mappings, trim, date_formats).write.parquet(folder)
     return Staged.open(spark, folder)
 
 
+def _unlike_guess() -> Column:
+    """A line that is not UTF-8, or whose quotes do not close on it."""
+    quotes = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
+    return ~F.is_valid_utf8(F.col(RAW)) | (quotes % 2 == 1)
+
+
 def ingest_by_layout(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -258,6 +292,6 @@ def preview(
             break
         count *= 4
     first = first.orderBy(ROW).offset(leads).limit(rows)
-    shown = typed_rows(parse_records(first, dialect), dialect, trim=trim)
+    shown = typed_rows(parse_records(first, dialect), dialect, trim=trim, keep_rejected=True)
     order = [c for c in shown.columns if c not in INTERNAL]
     return shown.select(*map(F.col, order), F.col(RAW).alias("ragged_row")).orderBy(shown[ROW])

@@ -53,6 +53,7 @@ def read_lines(
     encoding: str = "utf-8",
     quoted_newlines: bool = False,
     glob: str | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Physical lines of files, and of all files below a folder.
 
@@ -63,7 +64,8 @@ def read_lines(
         reader = reader.option("pathGlobFilter", glob)
     if quoted_newlines:
         reader = reader.option("lineSep", "\n")
-    return with_origin(reader.text(paths if isinstance(paths, str) else list(paths)), encoding)
+    text = reader.text(paths if isinstance(paths, str) else list(paths))
+    return with_origin(text if where is None else text.where(where), encoding)
 
 
 def literal_path(location: str) -> str:

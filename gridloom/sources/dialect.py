@@ -63,18 +63,9 @@ def profile(
     Encoding and line breaks inside quotes are settled by a pass over all text; with both named,
     that pass is left out.
     """
-    raw = read_lines(spark, paths, glob=glob)
-    first = Window.partitionBy(SOURCE).orderBy(ROW)
-    facts = (
-        raw.where(F.col(BLOCK) == 0)
-        .withColumn(ROW, F.monotonically_increasing_id())
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= HEAD_LINES)
-        .groupBy(SOURCE)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", RAW))), lambda line: line[RAW]).alias("_lines"))
-    )
+    facts = _head_lines(spark, paths, glob)
     if encoding is None or quoted_newlines is None:
-        facts = facts.join(_text_checks(raw), SOURCE)
+        facts = facts.join(_text_checks(read_lines(spark, paths, glob=glob)), SOURCE)
     if encoding is None:
         named = F.when(F.col("_utf8"), "utf-8").otherwise(FALLBACK_ENCODING)
         decoded = F.when(F.col("_utf8"), F.col("_lines")).otherwise(_decoded_lines(FALLBACK_ENCODING))
@@ -112,7 +103,50 @@ def _text_checks(raw: DataFrame) -> DataFrame:
 
 
 def _decoded_lines(encoding: str) -> Column:
-    return F.transform("_lines", lambda line: decode_bytes(line, encoding))
+    return F.transform("_lines", lambda line: F.make_valid_utf8(decode_bytes(line, encoding)))
+
+
+def _head_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None) -> DataFrame:
+    """The first lines of every file as an array.
+
+    A file larger than a split opens a partition of its own, and reading stops after its first
+    lines. Smaller files share partitions; there a limit per file applies before the shuffle.
+    """
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = F.col("_metadata.file_size")
+    large = read_lines(spark, paths, glob=glob, where=size > split).withColumn(RAW, F.col(RAW).cast("binary"))
+    tops = large.mapInPandas(_top_of_partition, f"{SOURCE} string, _n int, {RAW} binary")
+    per_file = Window.partitionBy(SOURCE).orderBy(ROW)
+    small = (
+        read_lines(spark, paths, glob=glob, where=size <= split)
+        .where(F.col(BLOCK) == 0)
+        .withColumn(ROW, F.monotonically_increasing_id())
+        .withColumn("_n", F.row_number().over(per_file))
+        .where(F.col("_n") <= HEAD_LINES)
+        .select(SOURCE, "_n", RAW)
+    )
+    heads = small.unionByName(tops.withColumn(RAW, F.col(RAW).cast("string")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_n", RAW))), lambda line: line[RAW])
+    return heads.groupBy(SOURCE).agg(lines.alias("_lines"))
+
+
+def _top_of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first lines of a partition that starts at the top of a file; nothing of any other."""
+    taken = 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        if not taken:
+            source = batch[SOURCE].iloc[0]
+            if batch[BLOCK].iloc[0] != 0:
+                return
+        same = batch[batch[SOURCE] == source].head(HEAD_LINES - taken)
+        if same.empty:
+            return
+        yield pd.DataFrame({SOURCE: source, "_n": range(taken + 1, taken + len(same) + 1), RAW: same[RAW].to_numpy()})
+        taken += len(same)
+        if taken == HEAD_LINES:
+            return
 
 
 def describe_head(

@@ -266,7 +266,7 @@ def test_preview_of_records_that_span_lines(spark, folder):
 def test_profile_without_a_pass_over_the_text(spark, folder):
     path = folder("cheap.csv", "Id;Name\n1;Ada\n")
     cheap = profile(spark, path, encoding="utf-8", quoted_newlines=False)
-    assert cheap._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert cheap._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
     assert cheap.first().column_names == ["Id", "Name"]
 
 
@@ -286,3 +286,40 @@ def test_every_kind_of_padding_is_trimmed(spark, folder, delimiter):
     path = folder("pad.csv", "\n".join(lines))
     dialect = Dialect(("A", "B", "C"), delimiter, has_header=False)
     assert rows(ingest(spark, path, folder.new("out"), dialect).accepted()) == sorted(wanted)
+
+
+def test_profile_of_files_larger_than_a_split(spark, folder):
+    body = "".join(f"{i};człowiek {i};{i * 1.5}\n" for i in range(2000))
+    folder("in/large.csv", "Nr;Nazwa;Kwota\n" + body, "cp1250")
+    folder("in/other.csv", "Kod,Opis\n" + "1,x\n" * 900)
+    folder("in/small.csv", "Kod,Opis\n1,x\n")
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = {r.source_file.rsplit("/", 1)[1]: r for r in profile(spark, folder.new("in")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    assert {n: (r.delimiter, r.encoding, r.column_names) for n, r in found.items()} == {
+        "large.csv": (";", "windows-1250", ["Nr", "Nazwa", "Kwota"]),
+        "other.csv": (",", "utf-8", ["Kod", "Opis"]), "small.csv": (",", "utf-8", ["Kod", "Opis"])}
+
+
+def test_one_late_byte_changes_the_encoding_of_the_file(spark, folder):
+    path = folder("late.csv", b"Id;Name\n" + b"1;Ada\n" * 5000 + "2;Żółw\n".encode("cp1250"))
+    result = staged(spark, folder, path)
+    assert result.accepted().where("Id = 2").first().Name == "Żółw"
+    assert result.accepted().count() == 5001
+
+
+def test_one_late_line_break_is_seen(spark, folder):
+    path = folder("late.csv", "Id;Name\n" + "1;Ada\n" * 5000 + '2;"a\nb"\n')
+    assert staged(spark, folder, path).accepted().where("Id = 2").first().Name == "a\nb"
+
+
+def test_casts_of_the_caller_never_meet_header_or_rejected_rows(spark, folder):
+    text = "Id;Name\n" + "".join(f"{i};n\n" for i in range(20)) + "bad\nworse;x;y\n"
+    accepted = staged(spark, folder, folder("c.csv", text)).accepted()
+    assert accepted.where("CAST(Id AS INT) > 17").count() == 2
+    assert accepted.selectExpr("CAST(Id AS INT) AS n").where("n >= 0").agg({"n": "sum"}).first()[0] == 190
+    repeated = ingest(spark, folder("d.csv", text.split("bad")[0] + "Id;Name\n"), folder.new("again")).accepted()
+    assert repeated.where("try_cast(Id AS INT) IS NULL").count() == 1
