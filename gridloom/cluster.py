@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+@contextmanager
+def compiled_in_pieces(spark: SparkSession) -> Iterator[None]:
+    """While rows with many expressions are written, keep generated methods small enough for the JVM.
+
+    The JVM interprets methods over 8000 bytes. Above this limit Spark generates one method per
+    expression instead of one for the whole stage. The session's own limit is put back afterwards.
+    """
+    key, jvm_limit = "spark.sql.codegen.hugeMethodLimit", 8000
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(jvm_limit, int(previous or jvm_limit))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if previous is None else spark.conf.set(key, previous)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in spark.checkpoint.dir.
 

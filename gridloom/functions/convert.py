@@ -39,7 +39,7 @@ _ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 # A comma without a point is the decimal mark, and spaces group thousands; otherwise commas group
 # thousands. The sign may stand on either side.
 _GROUP_SPACES = " \u00a0\u202f"
-_COMMON_NUMBER = r"^[+-]?[0-9]+(?:[.,][0-9]+)?$"
+_COMMON_NUMBER = r"^[+-]?[0-9]{1,28}(?:[.,][0-9]+)?$"
 _NUMBER = rf"^[+-]?(?:[0-9{_GROUP_SPACES}]*,[0-9]*|[0-9,]*\.[0-9]*|[0-9]+) *[+-]?$"
 
 
@@ -66,14 +66,15 @@ def convert(
 
 
 def _decimal(text: Column) -> Column:
+    """Plain numbers take the short way; the rest is regrouped, signed and held to the limit."""
     grouped = F.when(text.contains("."), F.translate(text, ", ", "")).otherwise(
         F.translate(text, "," + _GROUP_SPACES, ".")
     )
-    digits = F.when(text.rlike(_COMMON_NUMBER), F.translate(text, ",", ".")).when(
-        text.rlike(_NUMBER), F.regexp_replace(grouped, "^(.*)([+-])$", "$2$1")
+    signed = F.when(text.rlike(_NUMBER), F.regexp_replace(grouped, "^(.*)([+-])$", "$2$1"))
+    number = signed.try_cast("double")
+    return F.when(text.rlike(_COMMON_NUMBER), F.translate(text, ",", ".").try_cast("double")).when(
+        F.abs(number) < DECIMAL_LIMIT, number
     )
-    number = digits.try_cast("double")
-    return F.when(F.abs(number) < DECIMAL_LIMIT, number)
 
 
 def conversion_error(value: Column, converted: Column, column_type: str) -> Column:

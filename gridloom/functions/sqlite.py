@@ -45,9 +45,15 @@ def datetime_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def _clock_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 by the clock the value shows, whatever the session's zone."""
+    seconds = F.unix_date(ts.cast("date")) * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
+
+
 def julian_day(ts: Column) -> Column:
     """Days since noon of 24 November 4714 BC, to the millisecond as SQLite has it."""
-    micros = F.unix_micros(ts.cast("timestamp")) + 500
+    micros = _clock_micros(ts) + 500
     millis = (micros - F.pmod(micros, F.lit(1000))) / 1000
     return (millis + UNIX_EPOCH_JULIAN_MILLIS) / 86400000
 
@@ -59,7 +65,7 @@ def strftime(pattern: str, ts: Column) -> Column:
         if piece in DATE_CODES:
             pieces.append(F.date_format(ts, DATE_CODES[piece]))
         elif piece == "%s":
-            pieces.append(F.unix_seconds(ts.cast("timestamp")).cast("string"))
+            pieces.append(F.floor(_clock_micros(ts) / 1000000).cast("string"))
         elif piece == "%w":
             pieces.append((F.dayofweek(ts) - 1).cast("string"))
         elif piece == "%J":
@@ -100,15 +106,19 @@ def like(value: Column, pattern: str) -> Column:
     return value.ilike(pattern)
 
 
+_CLOCK = (
+    "((unix_date(date(ts)) * 86400L + hour(ts) * 3600 + minute(ts) * 60) * 1000000"
+    " + bigint(extract(SECOND FROM ts) * 1000000))"
+)
 _SQL_FUNCTIONS = (
-    "julianday(ts TIMESTAMP) RETURNS DOUBLE RETURN "
-    f"((unix_micros(ts) + 500 - pmod(unix_micros(ts) + 500, 1000)) / 1000 + {UNIX_EPOCH_JULIAN_MILLIS}) / 86400000",
-    "datetime(ts TIMESTAMP) RETURNS STRING RETURN date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
-    "timetext(ts TIMESTAMP) RETURNS STRING RETURN date_format(ts, 'HH:mm:ss')",
-    "strftime(pattern STRING, ts TIMESTAMP) RETURNS STRING RETURN array_join(transform("
+    "julianday(ts TIMESTAMP_NTZ) RETURNS DOUBLE RETURN "
+    f"(({_CLOCK} + 500 - pmod({_CLOCK} + 500, 1000)) / 1000 + {UNIX_EPOCH_JULIAN_MILLIS}) / 86400000",
+    "datetime(ts TIMESTAMP_NTZ) RETURNS STRING RETURN date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+    "timetext(ts TIMESTAMP_NTZ) RETURNS STRING RETURN date_format(ts, 'HH:mm:ss')",
+    "strftime(pattern STRING, ts TIMESTAMP_NTZ) RETURNS STRING RETURN array_join(transform("
     "regexp_extract_all(pattern, '(%.|[^%]+)', 1), piece -> CASE piece"
     + "".join(f" WHEN '{code}' THEN date_format(ts, '{fmt}')" for code, fmt in DATE_CODES.items())
-    + " WHEN '%s' THEN string(unix_seconds(ts)) WHEN '%w' THEN string(dayofweek(ts) - 1)"
+    + " WHEN '%s' THEN string(floor(" + _CLOCK + " / 1000000)) WHEN '%w' THEN string(dayofweek(ts) - 1)"
     " WHEN '%%' THEN '%' ELSE piece END), '')",
 )
 

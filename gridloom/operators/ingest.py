@@ -13,7 +13,7 @@ from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
-from gridloom.cluster import hadoop_path, path_exists, publish
+from gridloom.cluster import compiled_in_pieces, hadoop_path, path_exists, publish
 from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_error, convert
 from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
@@ -214,7 +214,8 @@ def ingest(
         guess = detect(spark, paths, trim=trim, glob=glob, encoding="utf-8", quoted_newlines=False)
         seen = Observation()
         records = read_records(spark, paths, guess, glob).observe(seen, F.bool_or(_unlike_guess()).alias("unlike"))
-        typed_rows(parse_records(records, guess), guess, mappings, trim, date_formats).write.parquet(attempt)
+        with compiled_in_pieces(spark):
+            typed_rows(parse_records(records, guess), guess, mappings, trim, date_formats).write.parquet(attempt)
         if not seen.get["unlike"]:
             publish(spark, attempt, folder)
             return Staged.open(spark, folder)
@@ -222,7 +223,8 @@ def ingest(
         filesystem.delete(location, True)
         dialect = detect(spark, paths, trim=trim, glob=glob)
     parsed = parse_records(read_records(spark, paths, dialect, glob), dialect)
-    typed_rows(parsed, dialect, mappings, trim, date_formats).write.parquet(folder)
+    with compiled_in_pieces(spark):
+        typed_rows(parsed, dialect, mappings, trim, date_formats).write.parquet(folder)
     return Staged.open(spark, folder)
 
 
@@ -254,7 +256,8 @@ def ingest_by_layout(
         place = f"{folder}/{name}" + (f"/{part}" if part else "")
         # Layouts may differ in dialect only; the first one of a table clears its place.
         mode = "append" if name in taken else "overwrite" if part else "errorifexists"
-        typed_rows(rows, dialect, trim=trim).write.mode(mode).parquet(place)
+        with compiled_in_pieces(spark):
+            typed_rows(rows, dialect, trim=trim).write.mode(mode).parquet(place)
         taken[name] = place
     return {name: Staged.open(spark, f"{folder}/{name}") for name in taken}
 

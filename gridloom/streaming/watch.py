@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.cluster import list_paths
+from gridloom.cluster import compiled_in_pieces, list_paths
 from gridloom.functions.convert import DATE_FORMATS
 from gridloom.operators.ingest import ColumnMapping, Staged, ingest_by_layout, typed_rows
 from gridloom.sources.delimited import Dialect, literal_path, parse_records, to_records, with_origin
@@ -53,7 +53,8 @@ def watch_folder(
     def take(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_records(to_records(batch, dialect.quoted_newlines), dialect)
         rows = typed_rows(parsed, dialect, mappings, trim, date_formats)
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        with compiled_in_pieces(batch.sparkSession):
+            rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return _start(lines, take, checkpoint, once)
 

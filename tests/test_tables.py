@@ -232,3 +232,19 @@ def test_ingest_by_layout(spark, folder):
     folder("in/c.csv", "Town;Id\nKielce;3\n")
     found = {tuple(s.columns): rows(s.accepted()) for s in ingest_by_layout(spark, folder.new("in"), folder.new("o")).values()}
     assert found == {("Id", "Name"): [("1", "Ada"), ("2", "Ola")], ("Town", "Id"): [("Kielce", "3")]}
+
+
+def test_clock_functions_do_not_depend_on_the_zone(spark, folder):
+    Workspace(spark, folder.new("none"))
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = spark.sql("SELECT timestamp_ntz'2024-11-03 01:30:00.25' n, timestamp'2024-07-03 01:30:00.25' t")
+        for name, millis in (("n", 1730597400250), ("t", 1719970200250)):
+            day = (millis + 210866760000000) / 86400000
+            row = base.select(sqlite.julian_day(F.col(name)), F.expr(f"julianday({name})"),
+                              sqlite.strftime("%s", F.col(name)), F.expr(f"strftime('%s', {name})")).first()
+            assert row[0] == row[1] == day
+            assert row[2] == row[3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
