@@ -1,3 +1,4 @@
+import calendar
 import glob
 import io
 import os
@@ -240,8 +241,8 @@ def test_clock_functions_do_not_depend_on_the_zone(spark, folder):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         base = spark.sql("SELECT timestamp_ntz'2024-11-03 01:30:00.25' n, timestamp'2024-07-03 01:30:00.25' t")
-        for name, millis in (("n", 1730597400250), ("t", 1719970200250)):
-            day = (millis + 210866760000000) / 86400000
+        for name, moment in (("n", (2024, 11, 3, 1, 30, 0)), ("t", (2024, 7, 3, 1, 30, 0))):
+            day = (calendar.timegm(moment) * 1000 + 250 + 210866760000000) / 86400000
             row = base.select(sqlite.julian_day(F.col(name)), F.expr(f"julianday({name})"),
                               sqlite.strftime("%s", F.col(name)), F.expr(f"strftime('%s', {name})")).first()
             assert row[0] == row[1] == day
