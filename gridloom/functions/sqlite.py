@@ -126,7 +126,7 @@ _SQL_FUNCTIONS = (
 def register_functions(spark: SparkSession) -> None:
     """Make ``julianday``, ``datetime``, ``timetext`` and ``strftime`` known to the session's SQL.
 
-    They are SQL expressions that Catalyst inlines. TOTAL and GROUP_CONCAT aggregate, which such a
+    They are SQL expressions that Catalyst inlines, in the time zone that the session has now. TOTAL and GROUP_CONCAT aggregate, which such a
     function cannot; write ``coalesce(sum(double(x)), 0D)`` and ``listagg(x, ',')``.
     """
     for function in _SQL_FUNCTIONS:

@@ -13,7 +13,7 @@ from gridloom.cluster import publish
 from gridloom.functions import sqlite
 from gridloom.functions.text import cell_text, decode_bytes, encode_bytes
 from gridloom.operators.ingest import ingest, ingest_by_layout, typed_rows
-from gridloom.plans.workspace import Workspace
+from gridloom.plans.workspace import Workspace, prepare_session
 from gridloom.sinks.export import export_cells, export_csv
 from gridloom.sinks.materialize import compact, fingerprint, materialize
 from gridloom.sources.archive import archive_lines, archive_records, read_archives
@@ -236,10 +236,11 @@ def test_ingest_by_layout(spark, folder):
 
 
 def test_clock_functions_do_not_depend_on_the_zone(spark, folder):
-    Workspace(spark, folder.new("none"))
     previous = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
+        # Spark keeps the zone in which a SQL function was made.
+        prepare_session(spark)
         base = spark.sql("SELECT timestamp_ntz'2024-11-03 01:30:00.25' n, timestamp'2024-07-03 01:30:00.25' t")
         for name, moment in (("n", (2024, 11, 3, 1, 30, 0)), ("t", (2024, 7, 3, 1, 30, 0))):
             day = (calendar.timegm(moment) * 1000 + 250 + 210866760000000) / 86400000
@@ -249,3 +250,4 @@ def test_clock_functions_do_not_depend_on_the_zone(spark, folder):
             assert row[2] == row[3]
     finally:
         spark.conf.set("spark.sql.session.timeZone", previous)
+        prepare_session(spark)
