@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import TABLES, sorted_rows
+from gridloom.catalog import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,14 +19,16 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["o_orderkey", "in_1", "in_2", "status"]
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, SF)
     result = db.execute(entry.oracle_sql()[name])
