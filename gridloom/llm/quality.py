@@ -23,6 +23,8 @@ TREES = 24
 DEPTH = 3
 PENALTY = 0.0008
 SEED = 11
+LABEL_FILES = 32
+"""Files that the labelled statistics are written to; a row of them has under a hundred bytes."""
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -120,7 +122,7 @@ def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: in
     vectors = VectorAssembler(inputCols=[f"stat_{n}" for n in names], outputCol="features")
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="0.6", minInstancesPerNode=5,
-        labelCol=label, seed=SEED).fit(vectors.transform(labelled))
+        bootstrap=False, labelCol=label, seed=SEED).fit(vectors.transform(labelled))
     conjunctions = sorted({p for tree in forest.trees for p in _paths(tree._call_java("rootNode"), names, {})})
     if not conjunctions:
         return fit(labelled.where(F.col(label) == 1).limit(0), label)
@@ -141,7 +143,9 @@ def is_held_out(id_column: str = "doc_id") -> Column:
 
 def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    return saved(stats.where(~is_held_out()).join(known, "doc_id"), "labelled")
+    # the same rows in the same order whatever the input's files are, so that every fit finds the same rules
+    placed = stats.where(~is_held_out()).join(known, "doc_id").repartition(LABEL_FILES, "doc_id")
+    return saved(placed.sortWithinPartitions(*placed.columns), "labelled")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
