@@ -1,8 +1,8 @@
 """Every registered query by name, and its SQL twin."""
 
-from gridloom.catalog import browsing, files, relational, sqltext
+from gridloom.catalog import browsing, files, odd_files, relational, sqltext
 
-_MODULES = (relational, browsing, files, sqltext)
+_MODULES = (relational, browsing, files, odd_files, sqltext)
 
 
 def all_queries():

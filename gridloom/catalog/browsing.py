@@ -71,6 +71,19 @@ def page_deep(spark, sf):
     return page(lines, "o_orderstatus", offset=middle, tie_break="o_orderkey", top_k_rows=1000, numbered=True)
 
 
+def page_text_tie(spark, sf):
+    """A deep page, last key first, whose tie-break is a text."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderstatus")
+    return page(orders, "o_orderstatus", descending=True, offset=orders.count() // 2, tie_break="key", top_k_rows=300, numbered=True)
+
+
+def page_unsorted_deep(spark, sf):
+    """A page far down without an order: as many rows as it has, all of them the table's."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    found = page(lines, offset=lines.count() - 150, top_k_rows=1000)
+    return found.join(lines.distinct(), ["l_orderkey", "l_linenumber"], "left_semi").agg(F.count("*").alias("row_count"))
+
+
 def page_over_sql(spark, sf):
     show_tables(spark, sf, "orders")
     result = spark.sql("SELECT o_custkey, count(*) AS order_count FROM orders GROUP BY o_custkey")
@@ -92,6 +105,8 @@ QUERIES = {
     "page_nulls_first": page_nulls_first,
     "page_numbered": page_numbered,
     "page_deep": page_deep,
+    "page_text_tie": page_text_tie,
+    "page_unsorted_deep": page_unsorted_deep,
     "page_over_sql": page_over_sql,
 }
 
@@ -121,6 +136,10 @@ ORACLES = {
     "page_deep": """SELECT o_orderkey, o_custkey, o_orderstatus, row_number FROM (
         SELECT *, row_number() OVER (ORDER BY o_orderstatus NULLS FIRST, o_orderkey) AS row_number FROM orders)
         WHERE row_number > (SELECT count(*) // 2 FROM orders) AND row_number <= (SELECT count(*) // 2 FROM orders) + 200""",
+    "page_text_tie": """SELECT key, o_orderstatus, row_number FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus,
+        row_number() OVER (ORDER BY o_orderstatus DESC, CAST(o_orderkey AS VARCHAR)) AS row_number, count(*) OVER () AS n FROM orders)
+        WHERE row_number > n // 2 AND row_number <= n // 2 + 200""",
+    "page_unsorted_deep": "SELECT least(150, count(*)) AS row_count FROM lineitem",
     "page_over_sql": """SELECT o_custkey, count(*) AS order_count FROM orders GROUP BY o_custkey
         HAVING count(*) IN (9, 10, 11, 12) ORDER BY order_count DESC, o_custkey LIMIT 100 OFFSET 20""",
 }

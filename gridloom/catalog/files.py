@@ -5,6 +5,7 @@ Files go to the shared scratch folder, in as many parts as Spark has tasks.
 
 from __future__ import annotations
 
+import functools
 import io
 import uuid
 import zipfile
@@ -13,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.catalog.tables import table
-from gridloom.cluster import hadoop_path, list_paths, scratch_dir
+from gridloom.cluster import hadoop_path, list_paths, path_exists, scratch_dir
 from gridloom.functions.text import cell_text, encode_bytes
-from gridloom.operators.ingest import ColumnMapping, Staged, ingest, preview, promote, typed_rows
+from gridloom.operators.ingest import ColumnMapping, Staged, ingest, preview, promote, stage, typed_rows
 from gridloom.sinks.export import export_csv
 from gridloom.sinks.materialize import compact, materialize
 from gridloom.sources.archive import archive_lines, archive_records
@@ -32,6 +33,20 @@ def _line(df: DataFrame, *names: str, delimiter: str = ";") -> Column:
     return F.concat_ws(delimiter, *[cell_text(F.col(n), df.schema[n].dataType) for n in names])
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _once(write):
+    """Input files of a query are written once for each session and data folder, so that timing sees the query."""
+    @functools.wraps(write)
+    def folder(spark, sf, *more):
+        key = (write.__name__, spark.sparkContext.applicationId, sf, *more)
+        if key not in _WRITTEN or not path_exists(spark, _WRITTEN[key]):
+            _WRITTEN[key] = write(spark, sf, *more)
+        return _WRITTEN[key]
+    return folder
+
+
 def _write_lines(lines: DataFrame, target: str, header: str, partition: str | None = None) -> str:
     """Raw lines as files that each start with the header line."""
     writer = lines.withColumnRenamed("line", header).write.options(
@@ -50,9 +65,14 @@ def csv_roundtrip(spark, sf):
     return ingest(spark, target, scratch_dir(spark, "staged"), mappings=mappings).accepted()
 
 
-def csv_roundtrip_dates(spark, sf):
+@_once
+def _dated_orders(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    target = export_csv(orders, scratch_dir(spark, "csv"), "\t")
+    return export_csv(orders, scratch_dir(spark, "csv"), "\t")
+
+
+def csv_roundtrip_dates(spark, sf):
+    target = _dated_orders(spark, sf)
     mappings = [ColumnMapping(0, "o_orderkey", "Integer"), ColumnMapping(1, "o_totalprice", "Decimal"),
                 ColumnMapping(2, "o_orderdate", "Date")]
     back = ingest(spark, target, scratch_dir(spark, "staged"), mappings=mappings).accepted()
@@ -71,6 +91,7 @@ def csv_roundtrip_quoted(spark, sf):
 
 # Ingest rules
 
+@_once
 def _broken_orders(spark, sf):
     """Orders as lines; the broken ones lack a field or have one too many."""
     orders = table(spark, sf, "orders")
@@ -94,6 +115,7 @@ def csv_accepted(spark, sf):
     return ingest(spark, _broken_orders(spark, sf), scratch_dir(spark, "staged"), _ORDER_LINES).accepted()
 
 
+@_once
 def _typed_lines(spark, sf):
     """Line items spelled the Polish way: decimal commas, tak and nie, day first."""
     lines = table(spark, sf, "lineitem")
@@ -166,9 +188,7 @@ def ingest_manifest(spark, sf):
 
 def csv_preview(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    parts = min(10_000, orders.count() // 1_000_000 + 1)
-    ordered = orders.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey")
-    target = export_csv(ordered, scratch_dir(spark, "csv"), ";")
+    target = export_csv(orders.orderBy("o_orderkey"), scratch_dir(spark, "csv"), ";")
     return preview(spark, list_paths(spark, target)[0])
 
 
@@ -181,7 +201,8 @@ def stage_promote(spark, sf):
     return spark.read.parquet(folder)
 
 
-def dialect_profile(spark, sf):
+@_once
+def _dialects(spark, sf):
     """Customers by region in three delimiters, and without header in windows-1250."""
     region = table(spark, sf, "region")
     nation = table(spark, sf, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -193,7 +214,11 @@ def dialect_profile(spark, sf):
         _write_lines(lines, f"{root}/{name}", mark.join(("Nr", "Customer name", "Balance")), partition="r_name")
     polish = encode_bytes(F.concat_ws(";", F.lit("Łódź"), F.col("c_name"), F.lit("")), "windows-1250")
     customers.select("r_name", polish.alias("line")).write.partitionBy("r_name").text(f"{root}/polish")
-    found = profile(spark, list_paths(spark, root))
+    return root
+
+
+def dialect_profile(spark, sf):
+    found = profile(spark, list_paths(spark, _dialects(spark, sf)))
     return found.select(
         F.regexp_extract("source_file", "/([^/]+)/r_name=", 1).alias("kind"),
         F.regexp_replace(F.regexp_extract("source_file", "r_name=([^/]+)/", 1), "%20", " ").alias("region"),
@@ -205,9 +230,11 @@ def dialect_profile(spark, sf):
 
 # Archives
 
-def _customer_archives(spark, sf):
+def _customer_archives(spark, sf, line_breaks=False):
     """One archive per thousand customers: two CSV entries, one of them nested, and a note."""
     customer = table(spark, sf, "customer")
+    if line_breaks:
+        customer = customer.withColumn("c_name", F.concat(F.lit('"'), "c_name", F.lit("\n"), F.col("c_custkey"), F.lit('"')))
     lines = customer.select(
         F.floor(F.col("c_custkey") / 1000).alias("chunk"), "c_custkey",
         _line(customer, "c_custkey", "c_name", "c_mktsegment").alias("line"))
@@ -234,7 +261,7 @@ def zip_ingest(spark, sf):
     dialect = Dialect.named("id", "name", "segment", delimiter=";")
     records = archive_records(archive_lines(_customer_archives(spark, sf)))
     folder = scratch_dir(spark, "staged")
-    typed_rows(parse_records(records, dialect), dialect).write.parquet(folder)
+    stage(typed_rows(parse_records(records, dialect), dialect), folder, dialect)
     return Staged.open(spark, folder).accepted()
 
 
@@ -270,7 +297,7 @@ def materialize_rows(spark, sf):
 
 def compact_check(spark, sf):
     folder = scratch_dir(spark, "many")
-    table(spark, sf, "events").repartition(24).write.parquet(folder)
+    table(spark, sf, "events").write.option("maxRecordsPerFile", 10_000).parquet(folder)
     return compact(spark, folder).select("row_count", "same_rows", (F.col("files_after") <= F.col("files_before")).alias("not_more_files"))
 
 

@@ -92,6 +92,13 @@ def cmp_three_way_right_only(spark, sf):
     return compare(_parts_three_ways(spark, sf), cmp.RIGHT_ONLY)
 
 
+def cmp_three_way_right_rows(spark, sf):
+    """Keys of the second table alone, where there are some."""
+    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    few = lines.where((F.col("l_quantity") > 49) & (F.col("l_linenumber") == 1))
+    return compare([(part.where("p_size > 25"), ["p_partkey"]), (lines, ["l_partkey"]), (few, ["l_partkey"])], cmp.RIGHT_ONLY)
+
+
 def cmp_two_keys(spark, sf):
     lines = table(spark, sf, "lineitem")
     returned, accepted = lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'")
@@ -198,6 +205,7 @@ QUERIES = {
     "cmp_customers": cmp_customers,
     "cmp_three_way": cmp_three_way,
     "cmp_three_way_right_only": cmp_three_way_right_only,
+    "cmp_three_way_right_rows": cmp_three_way_right_rows,
     "cmp_two_keys": cmp_two_keys,
     "cmp_null_keys": cmp_null_keys,
     "join_inner": join_inner,
@@ -242,6 +250,9 @@ ORACLES = {
     "cmp_customers": _presence(["c_custkey"], [("customer", ["c_custkey"]), ("orders", ["o_custkey"])]),
     "cmp_three_way": _presence(*_THREE_PARTS),
     "cmp_three_way_right_only": _presence(*_THREE_PARTS, "n = 1 AND in_2"),
+    "cmp_three_way_right_rows": _presence(["p_partkey"], [
+        ("(SELECT * FROM part WHERE p_size > 25)", ["p_partkey"]), ("lineitem", ["l_partkey"]),
+        ("(SELECT * FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1)", ["l_partkey"])], "n = 1 AND in_2"),
     "cmp_two_keys": _presence(PART_KEYS, [
         ("(SELECT * FROM lineitem WHERE l_returnflag = 'R')", PART_KEYS),
         ("(SELECT * FROM lineitem WHERE l_returnflag = 'A')", PART_KEYS)]),

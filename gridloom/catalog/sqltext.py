@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import show_tables, table
-from gridloom.cluster import scratch_dir
+from gridloom.cluster import hadoop_path, scratch_dir
 from gridloom.functions import sqlite
 from gridloom.plans.workspace import Workspace, prepare_session, run_script
 
@@ -96,6 +96,63 @@ def workspace_sql(spark, sf):
         "SELECT p_brand, count(*) AS part_count, max(P_SIZE) AS largest FROM KEPT_PARTS GROUP BY p_brand")
 
 
+def _text(statement: str, *names: str):
+    """A statement in the words of SQLite's users."""
+    def query(spark, sf):
+        prepare_session(spark)
+        show_tables(spark, sf, *names)
+        return run_script(spark, statement)
+    return query
+
+
+_GROUP_CONCAT = """SELECT o_orderstatus, GROUP_CONCAT(DISTINCT o_orderpriority) AS kinds, -- GROUP_CONCAT(x)
+    group_concat(DISTINCT substr(o_orderpriority, 1, 1), '; ') AS firsts, 'GROUP_CONCAT(a)' AS said
+    FROM orders GROUP BY o_orderstatus"""
+_TOTAL = """SELECT l_returnflag, TOTAL(l_linenumber) AS numbers, total(CASE WHEN l_quantity > 100 THEN l_quantity END) AS nothing
+    FROM lineitem GROUP BY l_returnflag"""
+_GLOB = """SELECT p_partkey, p_name FROM part WHERE p_name GLOB '[a-r]* ?o*' AND p_brand NOT GLOB 'Brand#1*'
+    AND /* GLOB 'x' */ p_type || 'it''s' GLOB '*it''s'"""
+_LIKE = """SELECT p_partkey, p_name LIKE 'COLD%' AS cold, p_type NOT LIKE '%ECO_omy' AS other FROM part WHERE p_brand LIKE 'BRAND#%'"""
+_TIME = "SELECT event_id, TIME(ts) AS time_of_day, strftime('%J', ts) = CAST(julianday(ts) AS TEXT) AS same_day FROM events"
+
+_SCRIPT = """-- big orders; and their buyers
+CREATE OR REPLACE TEMPORARY VIEW script_orders AS SELECT * FROM orders WHERE o_totalprice > 250000;
+SELECT count(*) AS ignored, ';' AS mark FROM script_orders; /* ; */
+SELECT c_mktsegment, count(*) AS buyer_count, ';' AS mark FROM customer
+    WHERE c_custkey IN (SELECT o_custkey FROM script_orders) GROUP BY c_mktsegment;
+"""
+
+
+def sql_script_mutation(spark, sf):
+    """The result is what the SELECT saw, though its table grows and goes away after it."""
+    show_tables(spark, sf, "orders")
+    return Workspace(spark, scratch_dir(spark, "workspace")).script("""
+        CREATE TABLE kept AS SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O';
+        SELECT o_orderstatus, count(*) AS order_count FROM kept GROUP BY o_orderstatus;
+        INSERT INTO kept SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F';
+        DROP TABLE kept""")
+
+
+def workspace_ctas(spark, sf):
+    """A table that SQL makes in a workspace is in its folder, for the next one that opens it."""
+    show_tables(spark, sf, "part")
+    folder = scratch_dir(spark, "workspace")
+    first = Workspace(spark, folder)
+    first.sql("CREATE TABLE small AS SELECT p_partkey, p_brand FROM part WHERE p_size < 10")
+    first.sql("INSERT INTO small SELECT p_partkey, p_brand FROM part WHERE p_size >= 40")
+    moved = f"{folder}-moved"
+    filesystem, source = hadoop_path(spark, folder)
+    filesystem.rename(source, hadoop_path(spark, moved)[1])
+    return Workspace(spark, moved).sql("SELECT p_brand, count(*) AS part_count FROM SMALL GROUP BY p_brand")
+
+
+_DEEP = """WITH RECURSIVE walk(key, depth) AS (
+        SELECT min(c_custkey), 0 FROM customer
+        UNION ALL
+        SELECT c.c_custkey, w.depth + 1 FROM walk w JOIN customer c ON c.c_custkey = w.key + 1 AND w.depth < 104)
+    SELECT depth, key FROM walk"""
+
+
 def sql_glob(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
     return parts.where(sqlite.glob(F.col("p_name"), "[a-r]* ?o*") & sqlite.glob(F.col("p_brand"), "Brand#[^1]*"))
@@ -153,6 +210,15 @@ QUERIES = {
     "sql_recursive": _sql(_RECURSIVE.format(div="div"), "customer"),
     "sql_window": _sql(_WINDOWS.format(month="date_format(o_orderdate, 'yyyy-MM')"), "orders", "customer", "nation"),
     "workspace_sql": workspace_sql,
+    "workspace_ctas": workspace_ctas,
+    "sql_script_text": _text(_SCRIPT, "orders", "customer"),
+    "sql_script_mutation": sql_script_mutation,
+    "sql_recursive_deep": _sql(_DEEP, "customer"),
+    "sql_group_concat": _text(_GROUP_CONCAT, "orders"),
+    "sql_total": _text(_TOTAL, "lineitem"),
+    "sql_glob_text": _text(_GLOB, "part"),
+    "sql_like_case": _text(_LIKE, "part"),
+    "sql_time": _text(_TIME.replace("TEXT", "STRING"), "events"),
     "fn_agg": fn_agg,
     "fn_group_concat": fn_group_concat,
     "fn_string": _sql(_STRINGS, "part"),
@@ -175,6 +241,19 @@ ORACLES = {
     "sql_union": _UNIONS,
     "sql_recursive": _RECURSIVE.format(div="//"),
     "sql_window": _WINDOWS.format(month="strftime(o_orderdate, '%Y-%m')"),
+    "workspace_ctas": """SELECT p_brand, count(*) AS part_count FROM part WHERE p_size < 10 OR p_size >= 40 GROUP BY p_brand""",
+    "sql_script_text": """SELECT c_mktsegment, count(*) AS buyer_count, ';' AS mark FROM customer
+        WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) GROUP BY c_mktsegment""",
+    "sql_script_mutation": """SELECT o_orderstatus, count(*) AS order_count FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderstatus""",
+    "sql_recursive_deep": "SELECT CAST(c_custkey AS INTEGER) AS depth, c_custkey AS key FROM customer WHERE c_custkey <= 104",
+    "sql_group_concat": """SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS kinds,
+        string_agg(DISTINCT substr(o_orderpriority, 1, 1), '; ' ORDER BY substr(o_orderpriority, 1, 1)) AS firsts,
+        'GROUP_CONCAT(a)' AS said FROM orders GROUP BY o_orderstatus""",
+    "sql_total": """SELECT l_returnflag, CAST(sum(l_linenumber) AS DOUBLE) AS numbers, CAST(0 AS DOUBLE) AS nothing FROM lineitem
+        GROUP BY l_returnflag""",
+    "sql_glob_text": """SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-r].* .o.*$') AND NOT starts_with(p_brand, 'Brand#1')""",
+    "sql_like_case": """SELECT p_partkey, p_name ILIKE 'COLD%' AS cold, p_type NOT ILIKE '%ECO_omy' AS other FROM part WHERE p_brand ILIKE 'BRAND#%'""",
+    "sql_time": "SELECT event_id, strftime(ts, '%H:%M:%S') AS time_of_day, true AS same_day FROM events",
     "workspace_sql": """SELECT p_brand, count(*) AS part_count, max(p_size) AS largest FROM part GROUP BY p_brand""",
     "fn_agg": """SELECT l_returnflag, l_linestatus, count(*) AS row_count, sum(l_quantity) AS quantity_sum,
         avg(l_quantity) AS quantity_avg, min(l_extendedprice) AS price_min, max(l_extendedprice) AS price_max,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -61,10 +62,22 @@ def convert(
         )
     if column_type == "Date":
         iso = F.when(text.rlike(_ISO_START), text.try_cast("timestamp"))
-        return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in date_formats])
+        return F.coalesce(iso, *[_by_format(text, fmt) for fmt in date_formats])
     raise ValueError(f"Unknown column type '{column_type}'.")
 
 
+# How many digits the letters of a date format stand for; other letters are tried without a look first.
+_DIGITS = {"d": "{1,2}", "M": "{1,2}", "H": "{1,2}", "yyyy": "{4,}", "MM": "{2}", "dd": "{2}", "HH": "{2}", "mm": "{2}", "ss": "{2}"}
+
+
+def _by_format(text: Column, fmt: str) -> Column:
+    """A date in one format. A pattern turns cells of other shapes away before they are parsed."""
+    parsed = F.try_to_timestamp(text, F.lit(fmt))
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", fmt)
+    shapes = [r"\d" + _DIGITS[a + b] if a + b in _DIGITS else None if a else re.escape(c) for a, b, c in parts]
+    return parsed if None in shapes else F.when(text.rlike("^" + "".join(shapes) + "$"), parsed)
+
+
 def _decimal(text: Column) -> Column:
     """Plain numbers take the short way; the rest is regrouped, signed and held to the limit."""
     grouped = F.when(text.contains("."), F.translate(text, ", ", "")).otherwise(
@@ -81,6 +94,7 @@ def conversion_error(value: Column, converted: Column, column_type: str) -> Colu
     """The message for a cell that has text but no value of its type, else NULL."""
     if column_type == "Text":
         return F.lit(None).cast("string")
+    # Fixed text: it is a value of the result.
     return F.when(
         converted.isNull() & ~is_blank(value),
         F.concat(F.lit("Value '"), value, F.lit(f"' cannot be converted to {column_type}.")),

@@ -110,24 +110,25 @@ _CLOCK = (
     "((unix_date(date(ts)) * 86400L + hour(ts) * 3600 + minute(ts) * 60) * 1000000"
     " + bigint(extract(SECOND FROM ts) * 1000000))"
 )
+_JULIAN = f"(({_CLOCK} + 500 - pmod({_CLOCK} + 500, 1000)) / 1000 + {UNIX_EPOCH_JULIAN_MILLIS}) / 86400000"
 _SQL_FUNCTIONS = (
-    "julianday(ts TIMESTAMP_NTZ) RETURNS DOUBLE RETURN "
-    f"(({_CLOCK} + 500 - pmod({_CLOCK} + 500, 1000)) / 1000 + {UNIX_EPOCH_JULIAN_MILLIS}) / 86400000",
+    f"julianday(ts TIMESTAMP_NTZ) RETURNS DOUBLE RETURN {_JULIAN}",
     "datetime(ts TIMESTAMP_NTZ) RETURNS STRING RETURN date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     "timetext(ts TIMESTAMP_NTZ) RETURNS STRING RETURN date_format(ts, 'HH:mm:ss')",
     "strftime(pattern STRING, ts TIMESTAMP_NTZ) RETURNS STRING RETURN array_join(transform("
-    "regexp_extract_all(pattern, '(%.|[^%]+)', 1), piece -> CASE piece"
+    "regexp_extract_all(pattern, '(%.|[^%]+|%)', 1), piece -> CASE piece"
     + "".join(f" WHEN '{code}' THEN date_format(ts, '{fmt}')" for code, fmt in DATE_CODES.items())
     + " WHEN '%s' THEN string(floor(" + _CLOCK + " / 1000000)) WHEN '%w' THEN string(dayofweek(ts) - 1)"
-    " WHEN '%%' THEN '%' ELSE piece END), '')",
+    " WHEN '%J' THEN string(" + _JULIAN + ") WHEN '%%' THEN '%'"
+    " ELSE IF(startswith(piece, '%'), raise_error(concat('Unknown date code \\'', piece, '\\'.')), piece) END), '')",
 )
 
 
 def register_functions(spark: SparkSession) -> None:
     """Make ``julianday``, ``datetime``, ``timetext`` and ``strftime`` known to the session's SQL.
 
-    They are SQL expressions that Catalyst inlines, in the time zone that the session has now. TOTAL and GROUP_CONCAT aggregate, which such a
-    function cannot; write ``coalesce(sum(double(x)), 0D)`` and ``listagg(x, ',')``.
+    They are SQL expressions that Catalyst inlines, in the time zone that the session has now. TOTAL,
+    GROUP_CONCAT, TIME and GLOB are words of ``plans.sqltext``.
     """
     for function in _SQL_FUNCTIONS:
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + function)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -51,13 +53,25 @@ def _any_of(column: Column, dtype: T.DataType, values: Sequence[str | None], as_
     return condition
 
 
-def _number(text: str, dtype: T.DataType) -> int | float | None:
-    try:
-        number = float(text)
-        whole = int(text) if text.strip().lstrip("+-").isdigit() else int(number) if number.is_integer() else None
-    except (ValueError, OverflowError):
+_PLAIN_NUMBER = re.compile(r"[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+_INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def _number(text: str, dtype: T.DataType) -> Column | None:
+    """A listed value in the column's type; None if it is no plain number or none that the type holds."""
+    text = text.strip()
+    if not _PLAIN_NUMBER.fullmatch(text):
         return None
-    return whole if isinstance(dtype, T.IntegralType) else number
+    bits = _INTEGER_BITS.get(dtype.simpleString())
+    if bits:
+        exact = Decimal(text)
+        if exact.is_nan() or abs(exact) >= 1 << 63 or exact != exact.to_integral_value():
+            return None
+        whole = int(exact)
+        return F.lit(whole).cast(dtype) if -(1 << bits - 1) <= whole < 1 << bits - 1 else None
+    if isinstance(dtype, T.DecimalType):
+        return F.lit(text).try_cast(dtype)
+    return F.lit(float(text)).cast(dtype)
 
 
 def filtered_count(df: DataFrame, filters: Filters | None = None, as_text: bool = False) -> DataFrame:
@@ -75,7 +89,7 @@ def facets(
 ) -> DataFrame:
     """Values of a column with counts, under the filters of the other columns, in order of value."""
     if limit <= 0:
-        raise ValueError("Limit must be greater than zero.")
+        raise ValueError("A limit below one shows nothing.")
     name = resolve_column(df, column)
     others = {k: v for k, v in (filters or {}).items() if k.lower() != name.lower()}
     value = F.col(quoted(name))
@@ -100,18 +114,19 @@ def page(
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in sort order; NULL first when ascending, last otherwise.
 
-    ``tie_break`` (a unique number, such as a row id) makes pages repeatable. A page near the top is
+    ``tie_break`` (a unique column, such as a row id) makes pages repeatable. A page near the top is
     a top-k. Further down, ranges of the sort key are counted first, so that no task has to hold
-    all rows above the page.
+    all rows above the page. Without an order, the rows of each partition are counted instead.
     """
     if limit <= 0:
-        raise ValueError("Limit must be greater than zero.")
+        raise ValueError("A limit below one shows nothing.")
     offset = max(0, offset)
     rows = value_filter(df, filters, as_text)
     order = _order(rows, sort, descending, tie_break)
     skipped = 0
-    if order and offset + limit > top_k_rows:
-        rows, skipped = _seek(rows, order, offset, limit, top_k_rows)
+    if offset + limit > top_k_rows:
+        seek = _seek if order else _seek_unsorted
+        rows, skipped = seek(rows, order, offset, limit, top_k_rows)
     if order:
         rows = rows.orderBy(*[_directed(F.col(quoted(name)), down) for name, down in order])
     rows = rows.offset(offset - skipped).limit(limit)
@@ -135,110 +150,86 @@ def _directed(column: Column, descending: bool) -> Column:
     return column.desc_nulls_last() if descending else column.asc_nulls_first()
 
 
+def _seek_unsorted(
+    df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, limit: int, top_k_rows: int
+) -> tuple[DataFrame, int]:
+    """The partitions that hold the page, and the number of rows before them: a count for each partition."""
+    place = F.spark_partition_id()
+    counts = df.select(place.alias("p")).groupBy("p").count().collect()
+    position, skipped, chosen = 0, 0, []
+    for row in sorted(counts, key=lambda r: r["p"]):
+        if position < offset + limit and position + row["count"] > offset:
+            chosen.append(row["p"])
+        elif not chosen:
+            skipped += row["count"]
+        position += row["count"]
+    return (df.where(place.isin(chosen)), skipped) if chosen else (df.limit(0), offset)
+
+
+# Bounds that a round cuts the rows at, and sampled keys for each of them.
+_RANGES = 64
+_SAMPLED = 32
+
+
 def _seek(
     df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, limit: int, top_k_rows: int
 ) -> tuple[DataFrame, int]:
     """The rows of the key ranges that hold the page, and the number of rows before them.
 
-    Only the key columns are shuffled, and one row per range comes to the driver. A range that is
-    still too large is cut again; the tie-break splits a key that many rows share.
+    A bounded sample of keys gives the bounds. Rows are counted by range before the shuffle, so that
+    only counts move. A range that is still too large is cut again; the tie-break splits a key that many
+    rows share.
     """
-    ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    skipped = 0
-    while offset - skipped + limit > top_k_rows:
-        bands = _bands(df, order, ranges)
+    skipped, total = 0, df.count()
+    while offset - skipped + limit > top_k_rows and total > top_k_rows:
+        bounds = _bounds(df, order, total)
+        after = [_from_bound(df, order, bound) for bound in bounds]
+        number = sum((F.when(a, 1).otherwise(0) for a in after), F.lit(0))
+        counts = {r["n"]: r["count"] for r in df.select(number.alias("n")).groupBy("n").count().collect()}
         position, chosen = skipped, []
-        for band in bands:
-            if position < offset + limit and position + band["rows"] > offset:
-                chosen.append(band)
+        for n in range(len(bounds) + 1):
+            rows = counts.get(n, 0)
+            if position < offset + limit and position + rows > offset:
+                chosen.append(n)
             elif not chosen:
-                skipped += band["rows"]
-            position += band["rows"]
+                skipped += rows
+            position += rows
         if not chosen:
             return df.limit(0), offset
-        if sum(b["rows"] for b in chosen) == sum(b["rows"] for b in bands):
+        kept = sum(counts.get(n, 0) for n in chosen)
+        if kept == total:
             break
-        df = df.where(_beyond(df, order, chosen[0], "first") & _beyond(df, order, chosen[-1], "last"))
+        total = kept
+        if chosen[0]:
+            df = df.where(after[chosen[0] - 1])
+        if chosen[-1] < len(bounds):
+            df = df.where(~after[chosen[-1]])
     return df, skipped
 
 
-def _bands(df: DataFrame, order: Sequence[tuple[str, bool]], ranges: int) -> list[dict]:
-    """Key ranges in sort order with their row counts and first and last keys (as text)."""
-    keys = df.select(*[F.col(quoted(name)).alias(f"k{i}") for i, (name, _) in enumerate(order)])
+def _bounds(df: DataFrame, order: Sequence[tuple[str, bool]], total: int) -> list[tuple]:
+    """Distinct keys in sort order, about evenly spread, from a sample of bounded size."""
+    keys = df.select(*[F.col(quoted(name)).cast("string").alias(f"s{i}") for i, (name, _) in enumerate(order)],
+                     *[F.col(quoted(name)).alias(f"k{i}") for i, (name, _) in enumerate(order)])
+    wanted = _RANGES * _SAMPLED
+    every = max(1, total // wanted)
+    picked = keys.where(F.pmod(F.xxhash64(*[f"s{i}" for i in range(len(order))], F.spark_partition_id()), F.lit(every)) == 0)
     directed = [_directed(F.col(f"k{i}"), down) for i, (_, down) in enumerate(order)]
-    spread = keys.repartitionByRange(ranges, *directed).groupBy(F.spark_partition_id().alias("band"))
-    down = order[0][1]
-    first_key = F.max("k0") if down else F.min("k0")
-    last_key = F.min("k0") if down else F.max("k0")
-    empty = F.sum(F.col("k0").isNull().cast("long"))
-    rows = spread.agg(
-        F.count("*").alias("rows"),
-        empty.alias("nulls"),
-        first_key.cast("string").alias("first0"),
-        last_key.cast("string").alias("last0"),
-        *_tie_edges(order),
-    ).collect()
-    bands = []
-    for row in sorted(rows, key=lambda r: r["band"]):
-        band = row.asDict()
-        # NULL comes first when ascending and last when descending, and min and max pass over it.
-        if band["nulls"]:
-            band["last0" if down else "first0"] = None
-        band["first1"], band["last1"] = _tie_of(band, order, down)
-        bands.append(band)
-    return bands
-
-
-def _tie_edges(order: Sequence[tuple[str, bool]]) -> list[Column]:
-    """Tie-break values at the edges of a range, for NULL sort keys and for the others."""
-    if len(order) < 2:
-        return []
-    down = order[0][1]
-    key, tie = F.col("k0"), F.col("k1")
-    smallest = F.struct(key, tie)
-    mirrored = F.struct(key, (-tie).alias("t"))
-    present = key.isNotNull()
-    if down:
-        head, tail = F.max(F.when(present, mirrored))["t"], F.min(F.when(present, mirrored))["t"]
-        head, tail = -head, -tail
-    else:
-        head, tail = F.min(F.when(present, smallest))["k1"], F.max(F.when(present, smallest))["k1"]
-    return [
-        head.cast("string").alias("head_tie"),
-        tail.cast("string").alias("tail_tie"),
-        F.min(F.when(~present, tie)).cast("string").alias("null_head"),
-        F.max(F.when(~present, tie)).cast("string").alias("null_tail"),
-    ]
-
-
-def _tie_of(band: dict, order: Sequence[tuple[str, bool]], down: bool) -> tuple[str | None, str | None]:
-    if len(order) < 2:
-        return None, None
-    some, empty = band["rows"] > band["nulls"], band["nulls"] > 0
-    if down:
-        first = band["head_tie"] if some else band["null_head"]
-        last = band["null_tail"] if empty else band["tail_tie"]
-    else:
-        first = band["null_head"] if empty else band["head_tie"]
-        last = band["tail_tie"] if some else band["null_tail"]
-    return first, last
-
-
-def _beyond(df: DataFrame, order: Sequence[tuple[str, bool]], band: dict, edge: str) -> Column:
-    """Rows from the first, or up to the last, key of a range; NULL is below every value."""
-    after = edge == "first"
-    name, down = order[0]
-    key = F.col(quoted(name))
-    larger = after != down
-    if band[f"{edge}0"] is None:
-        equal = key.isNull()
-        strictly = key.isNotNull() if larger else F.lit(False)
-    else:
-        bound = F.lit(band[f"{edge}0"]).cast(df.schema[name].dataType)
-        equal = key == bound
-        strictly = (key > bound) if larger else (key < bound) | key.isNull()
-    if len(order) == 1:
-        return strictly | equal
-    tie_name = order[1][0]
-    tie, tie_bound = F.col(quoted(tie_name)), F.lit(band[f"{edge}1"]).cast(df.schema[tie_name].dataType)
-    return strictly | (equal & ((tie >= tie_bound) if after else (tie <= tie_bound)))
+    sample = picked.limit(4 * wanted).distinct().orderBy(*directed).select(*[f"s{i}" for i in range(len(order))]).collect()
+    step = max(1, len(sample) // _RANGES)
+    return [tuple(row) for row in sample[step // 2::step]]
+
+
+def _from_bound(df: DataFrame, order: Sequence[tuple[str, bool]], bound: tuple) -> Column:
+    """Whether a row is at a bound or after it in sort order; NULL is below every value. Never NULL."""
+    at_or_after = F.lit(True)
+    for (name, down), text in reversed(list(zip(order, bound))):
+        key = F.col(quoted(name))
+        if text is None:
+            equal, after = key.isNull(), F.lit(False) if down else key.isNotNull()
+        else:
+            value = F.lit(text).cast(df.schema[name].dataType)
+            equal = F.coalesce(key == value, F.lit(False))
+            after = F.coalesce(key < value, F.lit(True)) if down else F.coalesce(key > value, F.lit(False))
+        at_or_after = after | (equal & at_or_after)
+    return at_or_after

@@ -11,7 +11,7 @@ from gridloom.cluster import quoted, resolve_column
 
 def _keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     if not keys:
-        raise ValueError("At least one key column is required.")
+        raise ValueError("Name the columns that make a duplicate.")
     return [resolve_column(df, key) for key in keys]
 
 

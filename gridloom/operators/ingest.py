@@ -17,17 +17,28 @@ from gridloom.cluster import compiled_in_pieces, hadoop_path, path_exists, publi
 from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_error, convert
 from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
-    BLOCK, ERROR, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
-    Dialect, literal_path, parse_records, read_lines, read_records, to_records,
+    BLOCK, ERROR, FILE_PROBLEM, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
+    Dialect, ends_inside_quotes, list_files, literal_path, parse_records, read_lines, read_records, to_records,
 )
-from gridloom.sources.dialect import detect, dialect_of, layouts, profile
+from gridloom.sources.dialect import EMPTY_FILE, detect, dialect_of, files_of, layouts, profile
 from gridloom.sources.naming import column_names, identifier
 
-INTERNAL = (SOURCE, BLOCK, ROW, RAW, LEAD, ERROR)
+# Column names that are made from headers never start with an underscore, so these are free.
+PART = "_batch"
+INTERNAL = (SOURCE, BLOCK, ROW, RAW, LEAD, ERROR, PART)
+
+# A side folder of staged rows: leading records that do not read like one. Spark's readers pass over it.
+PLACED = "_leads"
+
+# The table of files that could not be taken, beside the tables of layouts.
+PROBLEMS = "problems"
 
 # Fixed value: records shown before an import.
 PREVIEW_ROWS = 100
 
+# A preview stops reading after so many characters.
+PREVIEW_CHARS = 4_000_000
+
 
 @dataclass(frozen=True)
 class ColumnMapping:
@@ -44,15 +55,14 @@ def resolve_mappings(mappings: Sequence[ColumnMapping] | None, header: Sequence[
     if mappings is None:
         return [ColumnMapping(i, name) for i, name in enumerate(header)]
     chosen = [m for m in mappings if m.include]
+    faults = [f"The mapping '{m.name}' has the unknown type '{m.data_type}'." for m in chosen if m.data_type not in COLUMN_TYPES]
+    faults += [f"The mapping of source column {m.source_index} is blank; name it." for m in chosen if not m.name.strip()]
+    faults += [f"The mapping '{m.name}' wants source column {m.source_index} of {len(header)}." for m in chosen
+               if m.source_index not in range(len(header))]
     if not chosen:
-        raise ValueError("Select at least one column to import.")
-    if any(not 0 <= m.source_index < len(header) for m in chosen):
-        raise ValueError("Column mapping contains an invalid source index.")
-    if any(not m.name.strip() for m in chosen):
-        raise ValueError("Every imported column must have a name.")
-    unknown = [m.data_type for m in chosen if m.data_type not in COLUMN_TYPES]
-    if unknown:
-        raise ValueError(f"Unknown column type '{unknown[0]}'.")
+        faults.append("No mapping is included, so nothing would be imported.")
+    if faults:
+        raise ValueError(" ".join(faults))
     return chosen
 
 
@@ -104,41 +114,25 @@ def typed_rows(
 
 
 class Staged:
-    """Ingested records in a folder: the good rows, the rejected ones and the manifest."""
+    """Ingested records in a folder: the good rows, the rejected ones and the manifest.
 
-    def __init__(self, rows: DataFrame):
+    Which records lead a file was settled when they were staged: data has lead 0.
+    """
+
+    def __init__(self, rows: DataFrame, placed: DataFrame | None = None):
         self.rows = rows
-        self.columns = [c for c in rows.columns if c not in INTERNAL and c != "batch"]
+        self.placed = placed
+        self.columns = [c for c in rows.columns if c not in INTERNAL]
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Staged":
-        return cls(spark.read.parquet(folder))
-
-    def _leads(self) -> DataFrame:
-        """Header and preamble rows: at most two per file, told by their place in it."""
-        def earliest(kind):
-            return F.min(F.when(F.col(LEAD) == kind, F.col(ROW)))
-
-        found = self.rows.where(F.col(BLOCK) == 0).groupBy(SOURCE).agg(
-            F.min(ROW).alias("_first"),
-            earliest(HEADER_LINE).alias("_header"),
-            earliest(PREAMBLE_LINE).alias("_preamble"),
-        )
-        preamble = F.when(F.col("_preamble") == F.col("_first"), F.col("_preamble"))
-        place = F.when(preamble.isNotNull(), F.col("_first") + 1).otherwise(F.col("_first"))
-        header = F.when(F.col("_header") == place, F.col("_header"))
-        return found.select(SOURCE, F.explode(F.array_compact(F.array(preamble, header))).alias(ROW))
+        side = f"{folder.rstrip('/')}/{PLACED}"
+        return cls(spark.read.parquet(folder), spark.read.parquet(side) if path_exists(spark, side) else None)
 
     def _body(self) -> DataFrame:
-        """All records but the leading ones. Only rows that read like one are checked.
-
-        The condition that is always true is not deterministic to Spark, which keeps a caller's
-        filters, such as casts, from being moved to where the header rows still are.
-        """
-        plain = self.rows.where(F.col(LEAD) == 0)
-        doubtful = self.rows.where(F.col(LEAD) != 0)
-        checked = doubtful.join(self._leads(), [SOURCE, ROW], "left_anti").where(F.spark_partition_id() >= 0)
-        return plain.unionByName(checked)
+        """All records but the leading ones: a filter, unless a header had other names than were asked for."""
+        body = self.rows.where(F.col(LEAD) == 0)
+        return body if self.placed is None else body.join(self.placed, [SOURCE, ROW], "left_anti")
 
     def accepted(self, origin: bool = False) -> DataFrame:
         """Rows that have all fields and convert. ``origin`` adds their file and row id."""
@@ -146,51 +140,89 @@ class Staged:
         return self._body().where(F.col(ERROR).isNull()).select(*extra, *map(F.col, self.columns))
 
     def rejected(self) -> DataFrame:
-        """Bad rows: file, record number in that file from 1, reason and raw text."""
+        """Bad rows: file, record number in that file from 1, reason and raw text.
+
+        A file that holds no records, or cannot be read, has one row without number and text.
+        """
         upto = Window.partitionBy(SOURCE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        splits = self.rows.groupBy(SOURCE, BLOCK).agg(F.min(ROW).alias("_first"), F.count("*").alias("_n")).select(
-            SOURCE, BLOCK, "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
-        )
+        own = self.rows.where(F.col(LEAD) != FILE_PROBLEM)
+        splits = own.groupBy(SOURCE, BLOCK).agg(F.min(ROW).alias("_first"), F.max(ROW).alias("_last")).select(
+            SOURCE, BLOCK, "_first", F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(upto), F.lit(0)).alias("_before"))
         bad = self._body().where(F.col(ERROR).isNotNull()).select(SOURCE, BLOCK, ROW, ERROR, RAW)
-        return bad.join(splits, [SOURCE, BLOCK]).select(
+        numbered = bad.join(splits, [SOURCE, BLOCK]).select(
             F.col(SOURCE).alias("source_file"),
             (F.col("_before") + F.col(ROW) - F.col("_first") + 1).alias("row_number"),
             F.col(ERROR).alias("message"),
             F.col(RAW).alias("raw_row"),
         )
+        return numbered.unionByName(self.rows.where(F.col(LEAD) == FILE_PROBLEM).select(
+            F.col(SOURCE).alias("source_file"), F.lit(None).cast("long").alias("row_number"),
+            F.col(ERROR).alias("message"), F.lit(None).cast("string").alias("raw_row")))
 
     def manifest(self) -> DataFrame:
-        """Per file: rows taken, rows rejected, columns and time; newest first."""
-        flagged = self.rows.select(
-            SOURCE, ROW, LEAD, F.col(ERROR).isNotNull().cast("int").alias("_bad"), F.col(BLOCK) == 0,
-            F.col("_metadata.file_modification_time").alias("_at"),
-        ).toDF(SOURCE, ROW, LEAD, "_bad", "_top", "_at")
-        top = F.col("_top")
-
-        def earliest(kind):
-            return F.min(F.when(top & (F.col(LEAD) == kind), F.struct(ROW, "_bad")))
-
-        facts = flagged.groupBy(SOURCE).agg(
-            F.count("*").alias("_all"), F.sum("_bad").alias("_rejected"), F.max("_at").alias("imported_at"),
-            F.min(F.when(top, F.col(ROW))).alias("_first"),
-            earliest(HEADER_LINE).alias("_header"), earliest(PREAMBLE_LINE).alias("_preamble"),
-        )
-        preamble = F.coalesce(F.col("_preamble." + ROW) == F.col("_first"), F.lit(False))
-        place = F.col("_first") + preamble.cast("int")
-        header = F.coalesce(F.col("_header." + ROW) == place, F.lit(False))
-        bad_leads = F.when(preamble, F.col("_preamble._bad")).otherwise(0) + F.when(
-            header, F.col("_header._bad")).otherwise(0)
-        leads = preamble.cast("int") + header.cast("int")
-        rejected = F.col("_rejected") - bad_leads
-        return facts.select(
-            F.col(SOURCE).alias("source_file"),
-            (F.col("_all") - leads - rejected).alias("row_count"),
-            rejected.alias("rejected_count"),
-            F.array(*map(F.lit, self.columns)).alias("column_names"),
-            "imported_at",
+        """Per file: rows taken, rows rejected, columns, time and what is wrong with it as a whole; newest first."""
+        flagged = self.rows.select(SOURCE, ROW, LEAD, ERROR, F.col("_metadata.file_modification_time").alias("_at"))
+        data, bad = F.col(LEAD) == 0, F.col(ERROR).isNotNull()
+        if self.placed is not None:
+            flagged = flagged.join(self.placed.withColumn("_out", F.lit(True)), [SOURCE, ROW], "left")
+            data = data & F.col("_out").isNull()
+        return flagged.groupBy(F.col(SOURCE).alias("source_file")).agg(
+            F.count_if(data & ~bad).alias("row_count"),
+            F.count_if(data & bad).alias("rejected_count"),
+            F.first(F.array(*map(F.lit, self.columns))).alias("column_names"),
+            F.max("_at").alias("imported_at"),
+            F.max(F.when(F.col(LEAD) == FILE_PROBLEM, F.col(ERROR))).alias("problem"),
         ).orderBy(F.desc("imported_at"), "source_file")
 
 
+def stage(rows: DataFrame, folder: str, dialect: Dialect, files: DataFrame | None = None, side: str | None = None) -> None:
+    """Write typed rows and settle which records lead their file, by their place.
+
+    Rows that read like a header or preamble elsewhere in a file are data: they are written again as
+    such, and few. A first record that is no known header, of files that have one, is listed in ``side``.
+    ``files`` are those that were to be read; the ones without any record get a row that says so.
+    """
+    spark = rows.sparkSession
+    with compiled_in_pieces(spark):
+        rows.write.mode("overwrite").parquet(folder)
+    staged = spark.read.schema(rows.schema).parquet(folder)
+    more = []
+    if dialect.has_header or dialect.has_preamble:
+        top = staged.where(F.col(BLOCK) == 0).groupBy(SOURCE).agg(F.min(F.struct(ROW, LEAD)).alias("_top")).select(
+            SOURCE, F.col("_top." + ROW).alias("_first"), (F.col("_top." + LEAD) == PREAMBLE_LINE).alias("_preamble"))
+        place = F.col("_first") + F.col("_preamble").cast("int")
+        leads = top.select(SOURCE, F.explode(F.array_compact(F.array(
+            F.when(F.col("_preamble"), F.col("_first")), place if dialect.has_header else F.lit(None).cast("long")))).alias(ROW))
+        doubtful = staged.where(F.col(LEAD).isin(HEADER_LINE, PREAMBLE_LINE))
+        more.append(doubtful.join(leads, [SOURCE, ROW], "left_anti").select(*[
+            F.lit(0).cast("tinyint").alias(c) if c == LEAD else F.col(c) for c in rows.columns]))
+        if dialect.has_header:
+            # their own text was taken for data
+            unlike = staged.where((F.col(BLOCK) == 0) & (F.col(LEAD) == 0)).select(SOURCE, ROW).join(leads, [SOURCE, ROW], "left_semi")
+            unlike = unlike.collect() if unlike.limit(1).collect() else []
+            if unlike:
+                spark.createDataFrame(unlike, f"{SOURCE} string, {ROW} long").write.mode("overwrite").parquet(side or f"{folder}/{PLACED}")
+    if files is not None:
+        empty = files.join(staged.select(SOURCE).distinct(), SOURCE, "left_anti")
+        more.append(problem_rows(empty.withColumn("problem", F.lit(EMPTY_FILE)), rows))
+    for part in more:
+        if part.limit(1).collect():
+            part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def problem_rows(files: DataFrame, like: DataFrame) -> DataFrame:
+    """A row for each (file, ``problem``), in the shape of staged rows."""
+    known = {SOURCE: F.col(SOURCE), BLOCK: F.lit(0).cast("long"), ROW: F.lit(-1).cast("long"),
+             LEAD: F.lit(FILE_PROBLEM).cast("tinyint"), ERROR: F.col("problem")}
+    return files.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def add_problems(spark: SparkSession, problems: dict[str, str], like: DataFrame, folder: str) -> None:
+    """Rows for files that could not be read, added to a staged folder."""
+    files = spark.createDataFrame(sorted(problems.items()), f"{SOURCE} string, problem string")
+    problem_rows(files, like).coalesce(1).write.mode("append").parquet(folder)
+
+
 def ingest(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -209,31 +241,27 @@ def ingest(
     """
     if path_exists(spark, folder):
         raise ValueError(f"'{folder}' exists already.")
-    if dialect is None:
-        attempt = f"{folder.rstrip('/')}__attempt_{uuid.uuid4().hex}"
-        guess = detect(spark, paths, trim=trim, glob=glob, encoding="utf-8", quoted_newlines=False)
-        seen = Observation()
-        records = read_records(spark, paths, guess, glob).observe(seen, F.bool_or(_unlike_guess()).alias("unlike"))
-        with compiled_in_pieces(spark):
-            typed_rows(parse_records(records, guess), guess, mappings, trim, date_formats).write.parquet(attempt)
-        if not seen.get["unlike"]:
-            publish(spark, attempt, folder)
-            return Staged.open(spark, folder)
+    files = list_files(spark, paths, glob)
+    attempt = f"{folder.rstrip('/')}__attempt_{uuid.uuid4().hex}"
+    try:
+        if dialect is None:
+            guess = detect(spark, paths, trim=trim, glob=glob, encoding="utf-8", quoted_newlines=False)
+            seen = Observation()
+            records = read_records(spark, paths, guess, glob).observe(
+                seen, F.bool_or(~F.is_valid_utf8(F.col(RAW)) | ends_inside_quotes(F.col(RAW), guess.delimiter)).alias("unlike"))
+            stage(typed_rows(parse_records(records, guess), guess, mappings, trim, date_formats), attempt, guess, files)
+            dialect = detect(spark, paths, trim=trim, glob=glob) if seen.get["unlike"] else None
+        if dialect is not None:
+            parsed = parse_records(read_records(spark, paths, dialect, glob), dialect)
+            stage(typed_rows(parsed, dialect, mappings, trim, date_formats), attempt, dialect, files)
+        publish(spark, attempt, folder)
+    except BaseException:
         filesystem, location = hadoop_path(spark, attempt)
         filesystem.delete(location, True)
-        dialect = detect(spark, paths, trim=trim, glob=glob)
-    parsed = parse_records(read_records(spark, paths, dialect, glob), dialect)
-    with compiled_in_pieces(spark):
-        typed_rows(parsed, dialect, mappings, trim, date_formats).write.parquet(folder)
+        raise
     return Staged.open(spark, folder)
 
 
-def _unlike_guess() -> Column:
-    """A line that is not UTF-8, or whose quotes do not close on it."""
-    quotes = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
-    return ~F.is_valid_utf8(F.col(RAW)) | (quotes % 2 == 1)
-
-
 def ingest_by_layout(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -245,21 +273,31 @@ def ingest_by_layout(
     """Detect every file's dialect and read the files of each layout into a folder of their own.
 
     A layout is known by its column names and a digest of them, so that equal files that come later
-    land in the same folder; ``part`` names their place in it.
+    land in the same folder; ``part`` names their place in it. Files that hold no records, or cannot be
+    read, are listed in the table ``problems``.
     """
-    taken = {}
-    for row in layouts(profile(spark, paths, trim=trim, glob=glob)).collect():
+    profiled = profile(spark, paths, trim=trim, glob=glob)
+    taken: dict[str, str] = {}
+    for row in layouts(profiled).collect():
         names = list(row.column_names)
         name = f"{identifier('_'.join(names))}_{md5(repr(names).encode()).hexdigest()[:12]}"
         dialect = dialect_of(row)
-        rows = parse_records(read_records(spark, [literal_path(p) for p in row.files], dialect), dialect)
-        place = f"{folder}/{name}" + (f"/{part}" if part else "")
-        # Layouts may differ in dialect only; the first one of a table clears its place.
-        mode = "append" if name in taken else "overwrite" if part else "errorifexists"
-        with compiled_in_pieces(spark):
-            typed_rows(rows, dialect, trim=trim).write.mode(mode).parquet(place)
-        taken[name] = place
-    return {name: Staged.open(spark, f"{folder}/{name}") for name in taken}
+        files = files_of(profiled, row)
+        rows = parse_records(read_records(spark, [literal_path(p) for p in files], dialect), dialect)
+        # A table has a part for each dialect that its files have.
+        own = f"{PART}={part if part is not None else 'all'}-{list(taken.values()).count(name)}"
+        place = f"{folder}/{name}/{own}"
+        if part is None and path_exists(spark, place):
+            raise ValueError(f"'{place}' exists already.")
+        stage(typed_rows(rows, dialect, trim=trim), place, dialect, side=f"{folder}/{name}/{PLACED}/{own}")
+        taken[place] = name
+    bad = profiled.where("problem IS NOT NULL").select(F.col("source_file").alias(SOURCE), "problem")
+    place = f"{folder}/{PROBLEMS}/{PART}={part if part is not None else 'all'}"
+    if bad.limit(1).collect():
+        empty = spark.createDataFrame([], f"{SOURCE} string, {BLOCK} long, {ROW} long, {LEAD} tinyint, {ERROR} string, {RAW} string")
+        problem_rows(bad, empty).write.mode("overwrite").parquet(place)
+        taken[place] = PROBLEMS
+    return {name: Staged.open(spark, f"{folder}/{name}") for name in dict.fromkeys(taken.values())}
 
 
 def promote(staged: Staged, mappings: Sequence[ColumnMapping] | None = None) -> DataFrame:
@@ -280,18 +318,20 @@ def preview(
 ) -> DataFrame:
     """The first records of one file under its columns; ragged ones too, with their raw text.
 
-    Only as many lines as needed are read, from the first split on, and they come to the driver.
+    Only as many lines as needed are read, from the first split on. The driver holds at most
+    ``PREVIEW_CHARS`` characters of them; a record that is longer is shown as far as it was read.
     """
-    dialect = dialect or detect(spark, path, trim=trim)
+    dialect = dialect or detect(spark, path, trim=trim, from_head=True)
     lines = read_lines(spark, path, dialect.encoding, dialect.quoted_newlines).where(F.length(RAW) > 0)
-    wanted = rows + int(dialect.has_header) + int(dialect.has_preamble)
-    leads = wanted - rows
-    count = wanted
+    lines = lines.withColumn(RAW, F.left(RAW, F.lit(PREVIEW_CHARS)))
+    leads = int(dialect.has_header) + int(dialect.has_preamble)
+    count = rows + leads
     while True:
         head = lines.take(count)
         local = spark.createDataFrame(head, lines.schema).coalesce(1)
-        first = to_records(local, dialect.quoted_newlines)
-        if not dialect.quoted_newlines or len(head) < count or first.count() > wanted:
+        first = to_records(local, dialect.quoted_newlines, dialect.delimiter)
+        enough = not dialect.quoted_newlines or len(head) < count or first.count() > rows + leads
+        if enough or sum(len(line[RAW]) for line in head) > PREVIEW_CHARS:
             break
         count *= 4
     first = first.orderBy(ROW).offset(leads).limit(rows)

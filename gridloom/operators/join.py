@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.cluster import quoted, resolve_column
+from gridloom.sources.naming import first_free, numbered
 
 INNER, LEFT, RIGHT = "inner", "left", "right"
 
@@ -17,18 +19,9 @@ _NULL_PARTS = 1024
 
 def output_names(left: Sequence[str], right: Sequence[str]) -> list[str]:
     """Names of the joined columns: a clash gets the side as prefix, then a number."""
-    names: list[str] = []
     taken: set[str] = set()
-    for side, columns in (("left", left), ("right", right)):
-        for column in columns:
-            name, number = column, 2
-            if name.lower() in taken:
-                name = f"{side}_{column}"
-                while name.lower() in taken:
-                    name, number = f"{side}_{column}_{number}", number + 1
-            taken.add(name.lower())
-            names.append(name)
-    return names
+    sides = [("left", c) for c in left] + [("right", c) for c in right]
+    return [first_free(chain([column], numbered(f"{side}_{column}")), taken) for side, column in sides]
 
 
 def join_tables(
@@ -49,13 +42,13 @@ def join_tables(
     """
     right_keys = left_keys if right_keys is None else right_keys
     if not left_keys or len(left_keys) != len(right_keys):
-        raise ValueError("Join keys must be non-empty and have the same number of columns.")
+        raise ValueError("Name at least one key, and as many on the right as on the left.")
     if how not in (INNER, LEFT, RIGHT):
         raise ValueError(f"Unknown join type '{how}'.")
     left_out = [resolve_column(left, c) for c in (left.columns if left_columns is None else left_columns)]
     right_out = [resolve_column(right, c) for c in (right.columns if right_columns is None else right_columns)]
     if not left_out and not right_out:
-        raise ValueError("At least one output column must be selected.")
+        raise ValueError("Choose a column of either side to keep.")
 
     pairs = [(resolve_column(left, a), resolve_column(right, b)) for a, b in zip(left_keys, right_keys)]
     left_side = _side(left, "_l", [a for a, _ in pairs], left_out, spread=how == LEFT)

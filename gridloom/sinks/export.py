@@ -57,7 +57,7 @@ def export_csv(
     a header line to stand in.
     """
     if not target or not target.strip():
-        raise ValueError("Output path is required.")
+        raise ValueError("Name the folder to write to.")
     spark = df.sparkSession
     cells = export_cells(subset(df, columns, filters), protect_formulas)
     plain = not any(ch in cells.columns[0] for ch in (delimiter, '"', "\r", "\n"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from gridloom.cluster import folder_bytes, path_exists, publish, quoted
+from gridloom.cluster import folder_bytes, list_paths, path_exists, publish, quoted
 from gridloom.operators.browse import Filters
 from gridloom.sinks.export import subset
 
@@ -26,12 +26,25 @@ def materialize(
     return spark.table(name).count()
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
+def _fingerprint(df: DataFrame) -> list[Column]:
     """Row count and the sum of row hashes: equal for equal rows in any order."""
     row_hash = F.xxhash64(*[F.col(quoted(name)) for name in df.columns]).cast("decimal(38,0)")
-    return df.agg(
-        F.count("*").alias("row_count"), F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("row_hash")
-    )
+    return [F.count("*").alias("row_count"), F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("row_hash")]
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    return df.agg(*_fingerprint(df))
+
+
+def _partition_columns(spark: SparkSession, folder: str) -> list[str]:
+    """The columns that a table's folders name, outermost first."""
+    names: list[str] = []
+    while True:
+        parts = [p for p in list_paths(spark, folder) if "=" in p.rsplit("/", 1)[-1]]
+        if not parts:
+            return names
+        names.append(parts[0].rsplit("/", 1)[-1].split("=", 1)[0])
+        folder = parts[0]
 
 
 def compact(
@@ -39,27 +52,28 @@ def compact(
 ) -> DataFrame:
     """Rewrite a Parquet folder into fewer files, check the copy and put it in place.
 
-    Files are merged by reading several of them in one task, without a shuffle. The copy replaces
-    the folder only if count and row hashes agree. Returns the row count, whether the rows are the same, and the file counts.
+    Files are merged by reading several of them in one task, without a shuffle. Partition folders stay
+    as they are, their values to the letter. The copy is read once to compare it with what the copying
+    saw, and replaces the folder only if count and row hashes agree. Returns the row count, whether the
+    rows are the same, and the file counts.
     """
     size = folder_bytes(spark, folder)
     files = max(1, -(-size // target_file_bytes))
-    before = spark.read.parquet(folder)
+    partitions = _partition_columns(spark, folder)
+    fields = [T.StructField(f.name, T.StringType()) if f.name in partitions else f for f in spark.read.parquet(folder).schema]
+    before = spark.read.schema(T.StructType(fields)).parquet(folder)
     attempt = f"{folder.rstrip('/')}__compact_{uuid.uuid4().hex}"
-    before.coalesce(files).write.parquet(attempt)
-    after = spark.read.parquet(attempt)
-    old, new = fingerprint(before).first(), fingerprint(after).first()
+    seen = Observation()
+    copied = before.observe(seen, *_fingerprint(before)).coalesce(files).write
+    (copied.partitionBy(*partitions) if partitions else copied).parquet(attempt)
+    after = spark.read.schema(T.StructType(fields)).parquet(attempt)
+    old, new = seen.get, fingerprint(after).first().asDict()
     if old != new:
-        raise ValueError(f"The compacted copy of '{folder}' differs from it; the copy stays in '{attempt}'.")
-    files_before = len(before.inputFiles())
+        raise ValueError(f"The compacted copy of '{folder}' has other rows; it stays in '{attempt}'.")
+    counts = len(before.inputFiles()), len(after.inputFiles())
     publish(spark, attempt, folder)
     if table:
         spark.catalog.refreshTable(table)
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
-    compacted = spark.read.parquet(folder)
-    return fingerprint(compacted).select(
-        "row_count",
-        (F.col("row_hash") == old.row_hash).alias("same_rows"),
-        F.lit(files_before).alias("files_before"),
-        F.lit(len(compacted.inputFiles())).alias("files_after"),
-    )
+    return spark.createDataFrame(
+        [(new["row_count"], True, *counts)], "row_count long, same_rows boolean, files_before int, files_after int")

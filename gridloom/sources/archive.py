@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.text import decode_bytes
-from gridloom.sources.delimited import BLOCK, RAW, SOURCE
+from gridloom.sources.delimited import BLOCK, RAW, SOURCE, to_records
 
 # Lines sent to the JVM at a time, so that a large entry is never held as a whole.
 LINES_PER_BATCH = 20_000
@@ -58,12 +58,17 @@ def _frame(path: str, entry: str, numbers: list[int], lines: list[bytes]) -> pd.
     return pd.DataFrame({"archive": path, "entry": entry, "line_number": numbers, "line": lines})
 
 
-def archive_records(lines: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """Archive lines in the shape of file records, ready for ``parse_records``."""
+def archive_records(
+    lines: DataFrame, encoding: str = "utf-8", quoted_newlines: bool = False, delimiter: str = ","
+) -> DataFrame:
+    """Archive lines in the shape of file records, ready for ``parse_records``.
+
+    With ``quoted_newlines`` cells may hold line breaks; the lines of an entry are in one task, in order.
+    """
     text = decode_bytes(F.col("line").cast("string"), encoding)
-    return lines.select(
-        F.concat_ws("!/", "archive", "entry").alias(SOURCE),
-        F.lit(0).cast("long").alias(BLOCK),
-        F.col("line_number").alias("_row_id"),
-        F.regexp_replace(text, "\r$", "").alias(RAW),
-    ).where(F.length(RAW) > 0)
+    located = lines.select(
+        F.concat_ws("!/", "archive", "entry").alias(SOURCE), F.lit(0).cast("long").alias(BLOCK),
+        F.col("line_number").alias("_row_id"), text.alias(RAW))
+    if quoted_newlines:
+        return to_records(located.drop("_row_id"), True, delimiter)
+    return located.withColumn(RAW, F.regexp_replace(RAW, "\r$", "")).where(F.length(RAW) > 0)

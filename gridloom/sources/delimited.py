@@ -7,20 +7,22 @@ in the JVM, so the raw text stays at hand for the quarantine and rows of blank c
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gridloom.functions.text import decode_bytes, is_blank
+from gridloom.functions.text import decode_bytes, is_blank, strip
 
 SOURCE, BLOCK, ROW, RAW = "_source_file", "_block_start", "_row_id", "_raw"
 LEAD, ERROR = "_lead", "_error"
-HEADER_LINE, PREAMBLE_LINE = 1, 2
+HEADER_LINE, PREAMBLE_LINE, FILE_PROBLEM = 1, 2, 3
 
-# Spark holds no longer string. Lines further from the start of their record stay apart, so that an
-# unclosed quote cannot gather a whole file into one row; the quarantine then shows them.
+# Spark holds no longer string; a quoted cell beyond it is an error that names its file.
 MAX_RECORD_BYTES = 1 << 30
 
 
@@ -57,17 +59,45 @@ def read_lines(
 ) -> DataFrame:
     """Physical lines of files, and of all files below a folder.
 
-    Where cells hold line breaks, a carriage return may belong to the cell, so it is kept.
+    Where cells hold line breaks, a carriage return may belong to the cell, so it is kept. A file in
+    UTF-16 cannot be split at line ends and is read as a whole, up to the 2 GB of Spark's binary files.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if is_utf16(encoding):
+        files = reader.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+        lines = F.split(F.decode("content", "UTF-16"), "\n" if quoted_newlines else "\r\n|\r|\n")
+        return files.select(
+            F.col("_metadata.file_path").alias(SOURCE), F.lit(0).cast("long").alias(BLOCK), F.explode(lines).alias(RAW))
     if quoted_newlines:
         reader = reader.option("lineSep", "\n")
     text = reader.text(paths if isinstance(paths, str) else list(paths))
     return with_origin(text if where is None else text.where(where), encoding)
 
 
+def is_utf16(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-").startswith("utf-16")
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """The files that a scan of these paths reads, empty ones too, without opening them.
+
+    Spark's scans pass over files of no bytes. Only if there are such does the list that the driver
+    has made for the scan leave the JVM.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(paths if isinstance(paths, str) else list(paths))
+    shown = files.select(F.col("_metadata.file_path").alias(SOURCE))
+    listed = files._jdf.inputFiles()
+    if len(listed) == shown.count():
+        return shown
+    # the metadata column spells locations without a host with one slash
+    return spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", path),) for path in listed], f"{SOURCE} string")
+
+
 def literal_path(location: str) -> str:
     """A file's location, as the ``_metadata`` column spells it, in the form a reader takes."""
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(location))
@@ -81,76 +111,174 @@ def with_origin(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
     )
 
 
-def to_records(lines: DataFrame, quoted_newlines: bool = False) -> DataFrame:
+def to_records(lines: DataFrame, quoted_newlines: bool = False, delimiter: str = ",") -> DataFrame:
     """Records with ids that count up by one inside each split of a file. Blank lines are skipped."""
     if quoted_newlines:
-        return _stitch(lines)
+        return _stitch(lines, delimiter)
     return lines.where(F.length(RAW) > 0).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str], dialect: Dialect, glob: str | None = None) -> DataFrame:
     return to_records(
-        read_lines(spark, paths, dialect.encoding, dialect.quoted_newlines, glob), dialect.quoted_newlines
-    )
+        read_lines(spark, paths, dialect.encoding, dialect.quoted_newlines, glob), dialect.quoted_newlines, dialect.delimiter)
+
 
+# A line either leaves the text inside a quoted cell or not, by where it starts: two answers, in two bits.
+# Bit 0 answers for a line that starts outside, bit 1 for one that starts inside a quoted cell.
+KEEPS, SWAPS = 0b10, 0b01
 
-def _stitch(lines: DataFrame) -> DataFrame:
-    """Records that may span lines, from the parity of quotes, without reading a file in one task.
 
-    A line continues a record when the quotes before it in the file are odd in number. Each split
-    is summed on its own, the sums are carried over the splits of a file, and only the lines of
-    records that do span lines are grouped.
+def open_quote_patterns(delimiter: str) -> tuple[str, str]:
+    """Patterns of lines that end inside a quoted cell, for a start outside and inside of one.
+
+    A quote opens a cell only at the cell's start. Doubled quotes stay inside, and what follows a
+    closing quote up to the delimiter is text, as are quotes in cells that do not start with one.
     """
-    split = [SOURCE, BLOCK]
-    numbered = lines.withColumn(ROW, F.monotonically_increasing_id()).withColumn(
-        "_quotes", F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
-    )
-    earlier = Window.partitionBy(SOURCE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    parity = (
-        numbered.groupBy(*split)
-        .agg(F.sum("_quotes").alias("_quotes"))
-        .select(*split, F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)).alias("_before"))
-    )
-    order = Window.partitionBy(*split).orderBy(ROW)
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    open_before = (F.col("_before") + F.coalesce(F.sum("_quotes").over(above), F.lit(0))) % 2 == 1
-    flagged = (
-        numbered.join(parity, split)
-        .withColumn("_inside", open_before)
-        .where(F.col("_inside") | (F.length(F.rtrim(F.col(RAW), F.lit("\r"))) > 0))
-    )
-    first_row = F.min(ROW).over(Window.partitionBy(*split))
-    starts = F.sum((~F.col("_inside")).cast("long")).over(upto)
-    placed = flagged.withColumn("_starts", starts).withColumn("_record", first_row + F.col("_starts") - 1)
-
-    # Lines at the head of a split that still belong to the last record of an earlier split.
-    last = Window.partitionBy(SOURCE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    owners = (
-        placed.groupBy(*split)
-        .agg(F.max(F.when(F.col("_starts") > 0, F.struct(BLOCK, "_record"))).alias("_own"))
-        .select(*split, F.last("_own", ignorenulls=True).over(last).alias("_owner"))
-    )
-    own = F.col("_starts") > 0
-    carried = ~own & (F.col(BLOCK) - F.col("_owner." + BLOCK) <= MAX_RECORD_BYTES)
-    owned = placed.join(owners, split).select(
-        SOURCE,
-        F.when(carried, F.col("_owner." + BLOCK)).otherwise(F.col(BLOCK)).alias(BLOCK),
-        F.when(own, F.col("_record")).when(carried, F.col("_owner._record")).otherwise(-F.col(ROW) - 1).alias(ROW),
-        F.struct(BLOCK, ROW).alias("_at"),
-        RAW,
-        (~F.col("_inside") & (F.col("_quotes") % 2 == 0)).alias("_whole"),
-    )
-    end = F.regexp_replace(F.col(RAW), "\r$", "")
-    whole = owned.where("_whole").select(SOURCE, BLOCK, ROW, end.alias(RAW))
-    pieces = F.array_sort(F.collect_list(F.struct("_at", RAW)))
-    spanning = (
-        owned.where(~F.col("_whole"))
-        .groupBy(SOURCE, BLOCK, ROW)
-        .agg(F.array_join(F.transform(pieces, lambda p: p[RAW]), "\n").alias(RAW))
-        .select(SOURCE, BLOCK, ROW, end.alias(RAW))
-    )
-    return whole.unionByName(spanning)
+    mark, other = re.escape(delimiter), f"[^{re.escape(delimiter)}]"
+    inside = r'(?:[^"]++|"")*+'
+    cell = f'(?:"{inside}"{other}*+|(?!"){other}*+)'
+    outside = f'(?:{cell}{mark})*+"{inside}$'
+    return f"(?s)^{outside}", f'(?s)^{inside}(?:$|"{other}*+{mark}{outside})'
+
+
+def quote_code(raw: Column, delimiter: str) -> Column:
+    from_outside, from_inside = open_quote_patterns(delimiter)
+    return F.when(~raw.contains('"'), F.lit(KEEPS)).otherwise(
+        raw.rlike(from_outside).cast("int") + raw.rlike(from_inside).cast("int") * 2).cast("tinyint")
+
+
+def ends_inside_quotes(raw: Column, delimiter: str) -> Column:
+    """Whether a line that starts a record leaves a quoted cell open."""
+    return raw.contains('"') & raw.rlike(open_quote_patterns(delimiter)[0])
+
+
+def _folded(codes: np.ndarray) -> int:
+    """What a run of lines does to the state, as one code."""
+    fixed = np.flatnonzero((codes == 0) | (codes == 3))
+    start = fixed[-1] + 1 if len(fixed) else 0
+    odd = int((codes[start:] == SWAPS).sum()) % 2
+    if not len(fixed):
+        return SWAPS if odd else KEEPS
+    return 3 * ((int(codes[fixed[-1]]) & 1) ^ odd)
+
+
+def _runs(keys: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the splits that follow each other in a batch."""
+    edges = np.flatnonzero((np.diff(keys) != 0) | (np.diff(blocks) != 0)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(keys)])
+
+
+def _stitch(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Records that may span lines, without reading a file in one task and without a shuffle of its text.
+
+    A first pass asks every split what it does to the state of being inside a quoted cell, and answers
+    with one row per split. Folded in the order of each file they give the state that each split starts
+    in; the driver holds these few bytes for each split that it has planned. A second pass cuts records
+    inside its tasks. Only records that cross a split are exchanged. Were files cut differently
+    in the second pass, a split would have no state, which is an error.
+    """
+    coded = lines.select(
+        SOURCE, BLOCK, F.xxhash64(SOURCE, BLOCK).alias("_split"), quote_code(F.col(RAW), delimiter).alias("_code"),
+        F.col(RAW).cast("binary").alias(RAW))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, place, code = None, None, KEEPS
+        for batch in batches:
+            files, keys, blocks, codes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for start, stop in _runs(keys, blocks):
+                if split is not None and split != keys[start]:
+                    yield _one_row(split, place, code)
+                    code = KEEPS
+                split, place = keys[start], (files[start], blocks[start])
+                code = _folded(np.concatenate([[code], codes[start:stop]]))
+        if split is not None:
+            yield _one_row(split, place, code)
+
+    answers = coded.select(F.xxhash64(SOURCE), "_split", BLOCK, "_code").mapInArrow(
+        fold, "split long, file long, block long, code int").collect()
+    starts: dict[int, int] = {}
+    file, state = None, 0
+    for answer in sorted(answers, key=lambda a: (a["file"], a["block"])):
+        state = 0 if answer["file"] != file else state
+        file, starts[answer["split"]] = answer["file"], state
+        state = answer["code"] >> state & 1
+    known = lines.sparkSession.sparkContext.broadcast(starts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(known.value, TaskContext.get().partitionId() << 33)
+        for batch in batches:
+            yield cutter.take(*batch.to_pydict().values())
+        yield cutter.finish()
+
+    cells = coded.mapInArrow(cut, _CUT_SCHEMA)
+    text = F.regexp_replace(F.col(RAW).cast("string"), "\r$", "").alias(RAW)
+    whole = cells.where("_piece = 0").select(SOURCE, BLOCK, ROW, text)
+    earlier = Window.partitionBy(SOURCE).orderBy(BLOCK, ROW)
+    opened = F.when(F.col("_piece") == _OPENED, F.struct(BLOCK, ROW))
+    pieces = cells.where("_piece <> 0").withColumn("_owner", F.last(opened, ignorenulls=True).over(earlier))
+    part = F.struct(F.col(BLOCK).alias("b"), F.col(ROW).alias("r"), F.col(RAW).alias("t"))
+    size = F.sum(F.length(RAW) + 1)
+    too_long = F.raise_error(F.concat(F.lit("A quoted cell is too long for a row in "), F.col(SOURCE)))
+    crossing = pieces.groupBy(SOURCE, "_owner").agg(
+        F.when(size > MAX_RECORD_BYTES, too_long.cast("string")).otherwise(F.array_join(F.transform(
+            F.array_sort(F.collect_list(part)), lambda p: p["t"].cast("string")), "\n")).alias(RAW))
+    return whole.unionByName(crossing.select(SOURCE, "_owner." + BLOCK, "_owner." + ROW, text))
+
+
+_OPENED, _CARRIED = 1, 2
+_CUT_SCHEMA = f"{SOURCE} string, {BLOCK} long, {ROW} long, {RAW} binary, _piece int"
+
+
+def _one_row(split: int, place: tuple[int, int], code: int) -> pa.RecordBatch:
+    values = (int(split), int(place[0]), int(place[1]))
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array([v], pa.int64()) for v in values), pa.array([code], pa.int32())], names=["split", "file", "block", "code"])
+
+
+class _Cutter:
+    """Lines of a task as records; the ends of a split that belong to records of two splits as pieces."""
+
+    def __init__(self, starts: dict[int, int], first_id: int):
+        self.starts, self.next_id = starts, first_id
+        self.split, self.place, self.inside, self.piece, self.open = None, None, 0, 0, []
+        self.rows: list[tuple] = []
+
+    def _emit(self, piece: int) -> None:
+        self.rows.append((*self.place, self.next_id, b"\n".join(self.open), piece))
+        self.next_id += 1
+        self.open = []
+
+    def _leave(self) -> None:
+        if self.open:
+            self._emit(self.piece or _OPENED)
+
+    def take(self, files: list, blocks: list, splits: list, codes: list, texts: list) -> pa.RecordBatch:
+        for file, block, split, code, line in zip(files, blocks, splits, codes, texts):
+            if split != self.split:
+                self._leave()
+                if split not in self.starts:
+                    raise RuntimeError(f"'{file}' was cut differently in the second pass.")
+                self.split, self.place, self.inside = split, (file, block), self.starts[split]
+                self.piece = _CARRIED if self.inside else 0
+            if not self.inside and not line.rstrip(b"\r"):
+                continue
+            self.open.append(line)
+            self.inside = code >> self.inside & 1
+            if not self.inside:
+                self._emit(self.piece)
+                self.piece = 0
+        return self._batch()
+
+    def finish(self) -> pa.RecordBatch:
+        self._leave()
+        return self._batch()
+
+    def _batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [[]] * 5
+        self.rows = []
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                          names=[SOURCE, BLOCK, ROW, RAW, "_piece"])
 
 
 def _cells_of(raw: Column, delimiter: str) -> Column:
@@ -190,13 +318,27 @@ def parse_records(records: DataFrame, dialect: Dialect) -> DataFrame:
         bad = F.when(ragged, found != expected).otherwise(~full_ok)
     else:
         bad = ragged
+    # Fixed text: it is a value of the result.
     message = F.concat(F.lit(f"Expected {expected} fields, found "), found.cast("string"), F.lit("."))
 
     lead = F.lit(0)
     if dialect.has_preamble:
         lead = F.when(F.col(RAW).contains(":") & (F.size(shape) == 1), PREAMBLE_LINE).otherwise(lead)
-    if dialect.has_header and dialect.header_line is not None:
-        lead = F.when(F.col(RAW) == dialect.header_line, HEADER_LINE).otherwise(lead)
+    if dialect.has_header:
+        lead = F.when(_is_header(dialect), HEADER_LINE).otherwise(lead)
     if dialect.has_header or dialect.has_preamble:
         lead = F.when(F.col(BLOCK) == 0, lead).otherwise(0)
     return parsed.withColumn(LEAD, lead.cast("tinyint")).withColumn(ERROR, F.when(bad, message))
+
+
+def _is_header(dialect: Dialect) -> Column:
+    """Whether the cells of a record are the column names, whatever their quotes and padding."""
+    same = F.lit(True)
+    for i, name in enumerate(dialect.header):
+        cell = F.coalesce(F.col(f"_cells.c{i}"), F.lit(""))
+        wanted = name.replace("\r\n", "\n")
+        cell = F.replace(cell, F.lit("\r\n"), F.lit("\n")) if "\n" in wanted else cell
+        same = same & (strip(cell) == F.lit(wanted.strip()))
+    for i in range(len(dialect.header), dialect.width):
+        same = same & is_blank(F.col(f"_cells.c{i}"))
+    return same

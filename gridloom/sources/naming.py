@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import count
 
 # The limit and the fallback that imported names follow.
 MAX_COLUMN_NAME = 56
@@ -28,15 +29,22 @@ def generated_names(count: int) -> list[str]:
     return [f"{FALLBACK_NAME}{position}" for position in range(1, count + 1)]
 
 
+def first_free(candidates: Iterable[str], taken: set[str]) -> str:
+    """The first candidate that is not taken, case aside; it is taken from now on."""
+    name = next(c for c in candidates if c.lower() not in taken)
+    taken.add(name.lower())
+    return name
+
+
+def numbered(base: str) -> Iterable[str]:
+    """``base``, ``base_2``, ``base_3`` and so on."""
+    yield base
+    for number in count(2):
+        yield f"{base}_{number}"
+
+
 def column_names(headers: Sequence[str]) -> list[str]:
     """One usable, distinct name per header; repeats get the next free number."""
-    names: list[str] = []
     taken: set[str] = set()
-    for position, header in enumerate(headers, start=1):
-        base = identifier(header) if header and header.strip() else f"{FALLBACK_NAME}{position}"
-        name, number = base, 2
-        while name.lower() in taken:
-            name, number = f"{base}_{number}", number + 1
-        taken.add(name.lower())
-        names.append(name)
-    return names
+    given = [identifier(h) if h and h.strip() else f"{FALLBACK_NAME}{i}" for i, h in enumerate(headers, start=1)]
+    return [first_free(numbered(base), taken) for base in given]

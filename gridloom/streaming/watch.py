@@ -1,31 +1,86 @@
-"""Watched folders: new files are ingested by a stream, each path once, bad rows set apart."""
+"""Watched folders: new files are ingested by a stream, each path once, bad rows and bad files set apart."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.cluster import compiled_in_pieces, list_paths
+from gridloom.cluster import hadoop_path, list_paths, path_exists
 from gridloom.functions.convert import DATE_FORMATS
-from gridloom.operators.ingest import ColumnMapping, Staged, ingest_by_layout, typed_rows
-from gridloom.sources.delimited import Dialect, literal_path, parse_records, to_records, with_origin
+from gridloom.operators.ingest import (
+    PART, PLACED, PROBLEMS, ColumnMapping, Staged, add_problems, ingest_by_layout, stage, typed_rows)
+from gridloom.sources.delimited import SOURCE, Dialect, list_files, literal_path, parse_records, read_records
+from gridloom.sources.dialect import EMPTY_FILE
 
 # Names of files to pick up, in any case, and how often to look, in seconds.
 CSV_GLOB = "*.[cC][sS][vV]"
 RESCAN_SECONDS = 15
 
+# Files that a batch takes at most, so that the list of their paths stays short.
+FILES_PER_BATCH = 1000
+
 # The columns of Spark's binary file source; contents are not read unless asked for.
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _start(batches: DataFrame, take, checkpoint: str, once: bool) -> StreamingQuery:
-    writer = batches.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+def _watch(
+    spark: SparkSession, folder: str, checkpoint: str, files_per_batch: int, once: bool,
+    take: Callable[[list[str], int], None], refuse: Callable[[dict[str, str], int], None], known: Callable[[], set[str]],
+) -> StreamingQuery:
+    """Hands the paths of each batch to ``take``; those that cannot be read go to ``refuse``.
+
+    The stream carries paths only, so a file that cannot be read does not stop it. Files are tried one
+    by one only after a batch has failed. Files of no bytes give a scan no row; they are taken from
+    the folder's listing, unless their names are ``known`` as refused already.
+    """
+    reader = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("pathGlobFilter", CSV_GLOB)
+    paths = reader.option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        found = sorted(literal_path(row.path) for row in rows.collect())
+        refused: dict[str, str] = {}
+        try:
+            if found:
+                take(found, batch_id)
+        except Exception as error:
+            refused = {p: problem for p in found if (problem := _problem(spark, p))}
+            if not refused:
+                raise error
+            if len(refused) < len(found):
+                take([p for p in found if p not in refused], batch_id)
+        empty = [p for p in _empty_files(spark, folder) if p.rsplit("/", 1)[-1] not in known()]
+        refuse(refused | dict.fromkeys(empty, EMPTY_FILE), batch_id)
+
+    writer = paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{RESCAN_SECONDS} seconds")
     return writer.start()
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    filesystem, location = hadoop_path(spark, folder)
+    found = [s for s in filesystem.listStatus(location) if s.isFile() and s.getLen() == 0]
+    paths = [s.getPath().toUri().toString() for s in found]
+    return sorted(p for p in paths if fnmatchcase(p.rsplit("/", 1)[-1], CSV_GLOB))
+
+
+def _names_of(rejected: DataFrame) -> set[str]:
+    names = rejected.where("row_number IS NULL").select(F.substring_index("source_file", "/", -1)).distinct()
+    return {row[0] for row in names.toLocalIterator()}
+
+
+def _problem(spark: SparkSession, path: str) -> str | None:
+    """Why a file cannot be read; None if it can."""
+    try:
+        spark.read.text(path).write.format("noop").mode("overwrite").save()
+        return None
+    except Exception as error:
+        lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+        return f"The file cannot be read: {lines[0] if lines else type(error).__name__}"
+
+
 def watch_folder(
     spark: SparkSession,
     folder: str,
@@ -35,28 +90,36 @@ def watch_folder(
     mappings: Sequence[ColumnMapping] | None = None,
     trim: bool = True,
     date_formats: Sequence[str] = DATE_FORMATS,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
     once: bool = False,
 ) -> StreamingQuery:
     """Ingest the CSV files at the top of ``folder`` into ``table`` as they appear.
 
     The checkpoint remembers every path. A batch overwrites its own partition, so one that is run
-    again after a failure leaves no second copy. ``once`` takes what is there and stops.
+    again after a failure leaves no second copy. Files that are empty or cannot be read have a row in
+    the rejected ones. ``once`` takes what is there and stops.
     """
-    reader = spark.readStream.option("pathGlobFilter", CSV_GLOB).option("ignoreCorruptFiles", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if dialect.quoted_newlines:
-        reader = reader.option("lineSep", "\n")
-    lines = with_origin(reader.text(folder), dialect.encoding)
+    def rows(paths: list[str]) -> DataFrame:
+        return typed_rows(parse_records(read_records(spark, paths, dialect), dialect), dialect, mappings, trim, date_formats)
+
+    def take(paths: list[str], batch_id: int) -> None:
+        part = f"{PART}={batch_id}"
+        stage(rows(paths), f"{table}/{part}", dialect, list_files(spark, paths), f"{table}/{PLACED}/{part}")
+
+    def refuse(problems: dict[str, str], batch_id: int) -> None:
+        if problems:
+            # only the columns are needed, of a file that need not be there
+            like = typed_rows(parse_records(_no_records(spark), dialect), dialect, mappings, trim, date_formats)
+            add_problems(spark, problems, like, f"{table}/{PART}={batch_id}")
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_records(to_records(batch, dialect.quoted_newlines), dialect)
-        rows = typed_rows(parsed, dialect, mappings, trim, date_formats)
-        with compiled_in_pieces(batch.sparkSession):
-            rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    def known() -> set[str]:
+        return _names_of(watched(spark, table).rejected()) if path_exists(spark, table) else set()
 
-    return _start(lines, take, checkpoint, once)
+    return _watch(spark, folder, checkpoint, files_per_batch, once, take, refuse, known)
+
+
+def _no_records(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"{SOURCE} string, _block_start long, _raw string, _row_id long")
 
 
 def watched(spark: SparkSession, table: str) -> Staged:
@@ -70,25 +133,29 @@ def watch_any(
     tables: str,
     checkpoint: str,
     trim: bool = True,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
     once: bool = False,
 ) -> StreamingQuery:
     """Ingest files of any dialect: each is profiled, and each layout has a table below ``tables``.
 
-    The stream carries paths only; the files of a batch are then read like any others.
+    Files that are empty or cannot be read are listed in the table ``problems``.
     """
-    reader = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("pathGlobFilter", CSV_GLOB)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    def take(paths: list[str], batch_id: int) -> None:
+        ingest_by_layout(spark, paths, tables, trim=trim, part=str(batch_id))
+
+    def refuse(problems: dict[str, str], batch_id: int) -> None:
+        if problems:
+            add_problems(spark, problems, _no_records(spark).select(
+                SOURCE, "_block_start", "_row_id", F.lit(0).cast("tinyint").alias("_lead"),
+                F.lit(None).cast("string").alias("_error"), "_raw"), f"{tables}/{PROBLEMS}/{PART}={batch_id}")
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        paths = [literal_path(row.path) for row in batch.collect()]
-        if paths:
-            ingest_by_layout(spark, paths, tables, trim=trim, part=f"batch={batch_id}")
+    def known() -> set[str]:
+        place = f"{tables}/{PROBLEMS}"
+        return _names_of(Staged.open(spark, place).rejected()) if path_exists(spark, place) else set()
 
-    return _start(reader.load(folder).select("path"), take, checkpoint, once)
+    return _watch(spark, folder, checkpoint, files_per_batch, once, take, refuse, known)
 
 
 def watched_layouts(spark: SparkSession, tables: str) -> dict[str, Staged]:
-    """Every layout met so far, by name."""
+    """Every layout met so far, by name, and the ``problems``."""
     return {path.rsplit("/", 1)[-1]: Staged.open(spark, path) for path in list_paths(spark, tables)}

@@ -219,7 +219,9 @@ def test_watched_folder_of_mixed_layouts(spark, folder):
     folder("in/d.csv", "Id,Name\n4,Ada\n")
     watch_any(spark, **where).awaitTermination()
     watch_any(spark, **where).awaitTermination()
-    found = {tuple(s.columns): s for s in watched_layouts(spark, where["tables"]).values()}
+    layouts = watched_layouts(spark, where["tables"])
+    assert [r.source_file.rsplit("/", 1)[-1] for r in layouts.pop("problems").rejected().collect()] == ["empty.csv"]
+    found = {tuple(s.columns): s for s in layouts.values()}
     assert set(found) == {("Kod", "Opis"), ("Id", "Name")}
     assert rows(found["Kod", "Opis"].accepted()) == [("1", "Żaba"), ("3", "Kot")]
     assert [r.message for r in found["Kod", "Opis"].rejected().collect()] == ["Expected 2 fields, found 1."]
