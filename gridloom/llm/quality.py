@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, whole_text
+from gridloom.llm.common import free_name, saved, whole_text
 
 THRESHOLD = 0.3
 FOLDS = 5
@@ -165,4 +165,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns. Learns as above."""
     ensemble = fit(_labelled(with_statistics(docs, "doc_id"), labels))
-    return docs.where(ensemble.score(statistics(whole_text())) >= threshold)
+    names = {name: free_name(docs, f"_stat_{name}") for name in statistics(F.lit(""))}
+    fence = free_name(docs, "_fence")
+    # a filter is not moved below a column that is not deterministic, and this one uses it: else the statistics
+    # would be computed anew for every comparison of the rules
+    known = docs.withColumns({**{names[n]: c for n, c in statistics(whole_text()).items()}, fence: F.spark_partition_id()})
+    score = ensemble.score({n: F.col(c) for n, c in names.items()})
+    return known.where((score >= threshold) & (F.col(fence) >= 0)).drop(*names.values(), fence)
