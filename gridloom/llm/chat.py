@@ -44,20 +44,25 @@ def _pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     Messages in a cycle, or below one, have no root and are on no root-to-leaf path.
     """
     ids = nodes.select(F.col("id").alias("known"))
-    current = saved(
+    active = saved(
         nodes.join(ids, F.col("parent") == F.col("known"), "left").select(
             "id", F.col("known").alias("up"), F.col("id").alias("root"), F.lit(1).cast("bigint").alias("depth"),
             F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")), "jump")
+    # messages whose jump has reached the root take no part in further rounds, but others jump to them
+    placed = active.where("up IS NULL")
+    active = active.where("up IS NOT NULL")
     jumps, rounds = [], max(1, nodes.count()).bit_length()
-    while len(jumps) <= rounds and not current.where("up IS NOT NULL").isEmpty():
-        jumps.append(current.select("id", "up").where("up IS NOT NULL"))
-        above = current.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("root").alias("top"),
-                               F.col("depth").alias("more"), F.col("total").alias("plus"))
-        current = saved(current.join(above, F.col("up") == F.col("at"), "left").select(
-            "id", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), "jump")
-    return jumps, current.where("up IS NULL").drop("up")
+    while len(jumps) <= rounds and not active.isEmpty():
+        jumps.append(active.select("id", "up"))
+        above = placed.unionByName(active).select(
+            F.col("id").alias("at"), F.col("up").alias("next"), F.col("root").alias("top"),
+            F.col("depth").alias("more"), F.col("total").alias("plus"))
+        moved = saved(active.join(above, F.col("up") == F.col("at")).select(
+            "id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("total") + F.col("plus")).alias("total")), "jump")
+        placed = placed.unionByName(moved.where("up IS NULL"))
+        active = moved.where("up IS NOT NULL")
+    return jumps, placed.drop("up")
 
 
 def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
