@@ -3,7 +3,7 @@
 An item is found in a document if at least ``min_share`` of its distinct five-word shingles occur there,
 wherever the document has them and however long it is. Similarity of whole sets says nothing here: an
 item of 30 shingles in a document of 20,000 words has a Jaccard similarity of 0.0015, which bands of a
-fixed number of minima find one time in four. So the sketches are sized by the item. With n shingles,
+fixed number of minima (256) find one time in three. So the sketches are sized by the item. With n shingles,
 of which k must occur, any n - k + 1 of them include one that does. An item's sketch is its n - k + 1
 smallest hashes, a document's sketch all of its hashes up to the largest that a sketch has. To keep that
 bound tight, items are partitioned by size, with a bound for each partition. A document is a
