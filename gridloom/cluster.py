@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +12,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Writers at work, by application, and the limit that was set before the first of them.
+_IN_PIECES: dict[str, tuple[int, str | None]] = {}
+_LOCK = threading.Lock()
+
 # The folder a local session without spark.checkpoint.dir uses, by application.
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -36,15 +41,26 @@ def compiled_in_pieces(spark: SparkSession) -> Iterator[None]:
     """While rows with many expressions are written, keep generated methods small enough for the JVM.
 
     The JVM interprets methods over 8000 bytes. Above this limit Spark generates one method per
-    expression instead of one for the whole stage. The session's own limit is put back afterwards.
+    expression instead of one for the whole stage. The session's own limit is put back when the last of
+    several writers that run at a time is done.
     """
     key, jvm_limit = "spark.sql.codegen.hugeMethodLimit", 8000
-    previous = spark.conf.get(key, None)
-    spark.conf.set(key, str(min(jvm_limit, int(previous or jvm_limit))))
+    session = spark.sparkContext.applicationId
+    with _LOCK:
+        writers, previous = _IN_PIECES.get(session, (0, spark.conf.get(key, None)))
+        _IN_PIECES[session] = writers + 1, previous
+        spark.conf.set(key, str(min(jvm_limit, int(previous or jvm_limit))))
     try:
         yield
     finally:
-        spark.conf.unset(key) if previous is None else spark.conf.set(key, previous)
+        with _LOCK:
+            writers, previous = _IN_PIECES.pop(session)
+            if writers > 1:
+                _IN_PIECES[session] = writers - 1, previous
+            elif previous is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, previous)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
