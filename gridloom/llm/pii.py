@@ -44,7 +44,15 @@ _PATTERNS = {
 }
 """In order: where several fit at one place, the first counts."""
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
-_HINT = r"[@\d]|[0-9a-f]{32}|" + _HONORIFIC + r" \p{Lu}|(?i:" + "|".join(SECRET_WORDS) + ")"
+_TITLES = "".join(sorted({w[0] for ws in HONORIFICS.values() for w in ws}))
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether any pattern can fit somewhere: cheap looks, each of which settles most texts."""
+    return (text.contains("@") | text.rlike("[0-9]") | text.rlike("[a-f]{32}")
+            | text.rlike(rf"(?=[{_TITLES}]){_HONORIFIC} \p{{Lu}}")
+            | (text.rlike("[=:]") & text.rlike("(?i:" + "|".join(SECRET_WORDS) + ")")))
+
 
 _CONSONANTS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвгдзклмнпрстфхш"}
 _VOWELS = {"latin": "aeio", "cyrillic": "аеио"}
@@ -194,7 +202,7 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column:
     rows give no rows.
     """
     own = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
-    found = own.withColumn("raws", F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
+    found = own.withColumn("raws", F.when(_may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
                            .otherwise(F.array().cast("array<string>")))
     some = saved(found.where(F.size("raws") > 0).withColumn("row_id", F.monotonically_increasing_id()), "texts")
     place = some.select("row_id", F.posexplode("raws").alias("place", "match"))
