@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, saved, whole_text
+from gridloom.cluster import quoted
+from gridloom.llm.common import saved, whole_text
 
 THRESHOLD = 0.3
 FOLDS = 5
@@ -31,32 +32,50 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _per(amount: Column, whole: Column) -> Column:
-    return F.when(whole > 0, amount / whole).otherwise(F.lit(0.0))
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Name and column of each statistic; all are numbers, also for an empty text."""
-    chars = F.length(text)
-    words = F.split(F.trim(text), "\\s+")
-    count = F.when(chars > 0, F.size(words)).otherwise(F.lit(0))
-    lines = F.split(text, "\n")
-    return {
-        "chars": F.log1p(chars.cast("double")),
-        "upper": _per(_count(text, "\\p{Lu}+"), chars),
-        "symbols": _per(_count(text, "[^\\p{L}\\p{N}\\s.,;:?'-]+"), chars),
-        "digits": _per(_count(text, "[0-9]+"), chars),
-        "stops": _per(_count(text, "[.,;:?]+"), count),
-        "word_length": _per(chars - count, count),
-        "distinct_words": _per(F.size(F.array_distinct(words)), count),
-        "distinct_lines": _per(F.size(F.array_distinct(lines)), F.size(lines)),
-        "line_words": _per(count, F.size(lines)),
-    }
+def _per(amount: str, whole: str) -> Column:
+    return F.when(F.col(whole) > 0, F.col(amount) / F.col(whole)).otherwise(F.lit(0.0))
+
+
+# In three steps, each a projection of its own: Spark computes a column that the next step uses twice only once.
+_CUT = {
+    "text": lambda: whole_text("_text"),
+    "words": lambda: F.split(F.trim(whole_text("_text")), "\\s+"),
+    "lines": lambda: F.split(whole_text("_text"), "\n"),
+}
+_COUNTED = {
+    "chars": lambda: F.length("_cut_text"),
+    "uppers": lambda: _count(F.col("_cut_text"), "\\p{Lu}+"),
+    "signs": lambda: _count(F.col("_cut_text"), "[^\\p{L}\\p{N}\\s.,;:?'-]+"),
+    "digits": lambda: _count(F.col("_cut_text"), "[0-9]+"),
+    "stops": lambda: _count(F.col("_cut_text"), "[.,;:?]+"),
+    "words": lambda: F.when(F.length("_cut_text") > 0, F.size("_cut_words")).otherwise(F.lit(0)),
+    "distinct_words": lambda: F.size(F.array_distinct("_cut_words")),
+    "lines": lambda: F.size("_cut_lines"),
+    "distinct_lines": lambda: F.size(F.array_distinct("_cut_lines")),
+}
+_STATISTICS = {
+    "chars": lambda: F.log1p(F.col("_n_chars").cast("double")),
+    "upper": lambda: _per("_n_uppers", "_n_chars"),
+    "symbols": lambda: _per("_n_signs", "_n_chars"),
+    "digits": lambda: _per("_n_digits", "_n_chars"),
+    "stops": lambda: _per("_n_stops", "_n_words"),
+    "word_length": lambda: F.when(F.col("_n_words") > 0, (F.col("_n_chars") - F.col("_n_words")) / F.col("_n_words")).otherwise(F.lit(0.0)),
+    "distinct_words": lambda: _per("_n_distinct_words", "_n_words"),
+    "distinct_lines": lambda: _per("_n_distinct_lines", "_n_lines"),
+    "line_words": lambda: _per("_n_words", "_n_lines"),
+}
+STATISTICS = tuple(_STATISTICS)
+
+
+def _measured(rows: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """``keep`` and the statistics, as ``stat_`` columns, of rows with a ``_text``. All are numbers, also for an empty text."""
+    cut = rows.select(*keep, *(c().alias(f"_cut_{n}") for n, c in _CUT.items()))
+    counted = cut.select(*keep, *(c().alias(f"_n_{n}") for n, c in _COUNTED.items()))
+    return counted.select(*keep, *(c().cast("double").alias(f"stat_{n}") for n, c in _STATISTICS.items()), *more)
 
 
 def with_statistics(docs: DataFrame, *keep: str, text_column: str = "text") -> DataFrame:
-    stats = statistics(whole_text(text_column))
-    return docs.select(*keep, *(c.cast("double").alias(f"stat_{n}") for n, c in stats.items()))
+    return _measured(docs.select(*keep, F.col(text_column).alias("_text")), list(keep))
 
 
 @dataclass(frozen=True)
@@ -157,7 +176,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     stats = saved(with_statistics(docs, "doc_id"), "statistics")
     ensemble = fit(_labelled(stats, labels))
-    score = ensemble.score({n: F.col(f"stat_{n}") for n in statistics(F.lit(""))})
+    score = ensemble.score({n: F.col(f"stat_{n}") for n in STATISTICS})
     return stats.select("doc_id", is_held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
@@ -165,10 +184,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns. Learns as above."""
     ensemble = fit(_labelled(with_statistics(docs, "doc_id"), labels))
-    names = {name: free_name(docs, f"_stat_{name}") for name in statistics(F.lit(""))}
-    fence = free_name(docs, "_fence")
+    # the row in one column, so that its names cannot clash with those of the statistics
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"), F.col("text").alias("_text"))
     # a filter is not moved below a column that is not deterministic, and this one uses it: else the statistics
     # would be computed anew for every comparison of the rules
-    known = docs.withColumns({**{names[n]: c for n, c in statistics(whole_text()).items()}, fence: F.spark_partition_id()})
-    score = ensemble.score({n: F.col(c) for n, c in names.items()})
-    return known.where((score >= threshold) & (F.col(fence) >= 0)).drop(*names.values(), fence)
+    score = ensemble.score({n: F.col(f"stat_{n}") for n in STATISTICS})
+    fence = F.spark_partition_id().alias("_fence")
+    kept = _measured(rows, ["_row"], fence).where((score >= threshold) & (F.col("_fence") >= 0))
+    return kept.select(*(F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns))
