@@ -39,7 +39,7 @@ def _blocks(block_bytes: int, of: Callable[[Column], Column]) -> Column:
         lambda i: of(F.substr(F.col("raw"), (i * block_bytes + 1).cast("int"), F.lit(block_bytes))))
 
 
-def _named(distinct: DataFrame, *keys: str) -> Column:
+def _named(distinct: DataFrame, *keys: str) -> DataFrame:
     """Integer names for distinct rows: their place in the sorted partitions. Fixed once written."""
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
@@ -98,8 +98,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     keeps one row. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows = saved(_identities(docs, id_column, text_column, block_bytes, keys), "identities")
-    groups = rows.groupBy("round", "name").agg(
-        F.max(F.struct("doc_id", (-F.col("row_id")).alias("first"))).alias("keep"), F.count("*").alias("group_size"))
+    # written down, so that both sides of the join are plain shuffles, whose large groups Spark can split
+    groups = saved(rows.groupBy("round", "name").agg(
+        F.max(F.struct("doc_id", (-F.col("row_id")).alias("first"))).alias("keep"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["round", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == -F.col("keep.first")).alias("kept"), "text_sha256")
