@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.cluster import scratch_dir
@@ -39,6 +39,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def first_by_hash(rows: DataFrame, key: str, most: int, total: int | None = None) -> list[Row]:
+    """The ``most`` rows that are first by the 64-bit hash in column ``key``, then by the other columns.
+
+    A sort with a limit sends that many rows from every task. Here rows are filtered first, by a bound
+    of the hash under which about twice as many lie in all; it is raised if that was too low. ``total``
+    saves a count of the rows, and may be too large.
+    """
+    total = rows.count() if total is None else total
+    share = 2 * most / max(total, 1)
+    while True:
+        low = rows if share >= 1 else rows.where(F.col(key) < F.lit(int((share - 0.5) * 2.0 ** 64)))
+        found = low.orderBy(key, *(c for c in rows.columns if c != key)).limit(most).collect()
+        if len(found) == most or share >= 1:
+            return found
+        share *= 4
+
+
 def keep_rows(docs: DataFrame, keepers: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``docs`` for each (id, SHA-256 of the text) in ``keepers``, with the columns of ``docs``.
 

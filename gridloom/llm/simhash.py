@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import keep_rows, saved, whole_text
+from gridloom.llm.common import first_by_hash, keep_rows, saved, whole_text
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -198,7 +198,7 @@ def near_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``, enough to connect every group, none wrong."""
     spark = points.sparkSession
     count = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = first_by_hash(points.select("fp", F.xxhash64("fp").alias("hash")), "hash", SAMPLE, count)
     values = np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64)
     # shards grow with the root of the number of points, and so does their number
     per_shard = max(512.0, 8 * count ** 0.5)
