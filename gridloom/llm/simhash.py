@@ -30,6 +30,8 @@ SAMPLE = 8192
 """Distinct fingerprints that the driver sees to choose vantage points from."""
 FAN = 8
 """Distance ranges per vantage point."""
+MOST_TASKS = 20_000
+"""Tasks that compare shards, at most."""
 LEAF = 256
 """Below so many points a shard compares directly."""
 
@@ -48,10 +50,10 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        spans = zip(starts[: 1 - shingle_words].tolist(), ends[shingle_words - 1:].tolist())
+        count = len(words) - shingle_words + 1
+        spans = zip(starts[:count].tolist(), ends[shingle_words - 1:].tolist())
         digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64,
-                             count=len(words) - shingle_words + 1)
+        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=count)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[at:at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -235,6 +237,8 @@ def near_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pa.table({"a": own[linked], "b": own[roots[linked]]})
 
     routed = points.select("fp").mapInArrow(route, "shard int, piece int, fp bigint, role int")
+    # a task for each group: a group is much work for few bytes
+    routed = routed.repartition(min(MOST_TASKS, shards * slices), "shard", "piece")
     return routed.groupBy("shard", "piece").applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -252,10 +256,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = current.unionByName(current.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least"))
+        least = saved(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")), "least")
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root"))
-        large = large.where("node <> root").distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        large = saved(large.where("node <> root").distinct(), "large")
+        least = saved(large.groupBy("node").agg(F.min("root").alias("least")), "least")
         small = large.join(least, "node")
         small = small.select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(
             small.select("node", F.col("least").alias("root"))).where("node <> root").distinct()
@@ -272,9 +276,10 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, shingle_words: i
     row = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "text_sha256")
     distinct = saved(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct-fingerprints")
     roots = components(near_edges(distinct, radius))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("stays"))
+    placed = saved(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    # both sides written down: a join of plain shuffles, whose large groups Spark can split
+    smallest = saved(placed.groupBy("root").agg(F.min("first").alias("stays")), "smallest")
     return prints, saved(placed.drop("first").join(smallest, "root"), "components")
 
 
