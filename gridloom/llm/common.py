@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.cluster import scratch_dir
@@ -63,17 +63,17 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_column: str = "doc_id", te
     are rare; only they are ranked (by their other columns), all others pass a semi join.
     """
     sha, rank = free_name(docs, "_sha"), free_name(docs, "_rank")
+    key, digest = free_name(docs, "_keep_doc"), free_name(docs, "_keep_sha")
     tagged = docs.withColumn(sha, F.sha2(F.encode(whole_text(text_column), "utf-8"), 256))
-    same = F.col(id_column).eqNullSafe(F.col("keep_doc")) & (F.col(sha) == F.col("keep_sha"))
+    keepers = keepers.select(F.col("keep_doc").alias(key), F.col("keep_sha").alias(digest))
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(digest))
     kept = tagged.join(keepers, same, "left_semi")
     # only ids and digests are read here
     repeated = saved(
-        tagged.groupBy(F.col(id_column).alias("keep_doc"), F.col(sha).alias("keep_sha")).count()
-        .where("count > 1").drop("count"), "repeated")
+        tagged.groupBy(F.col(id_column).alias(key), F.col(sha).alias(digest)).agg(F.count("*").alias("_n"))
+        .where("_n > 1").drop("_n"), "repeated")
     if repeated.isEmpty():
         return kept.drop(sha)
-    from pyspark.sql import Window
-
     others = [F.to_json(F.struct(F.col(c).alias("v"))) for c in docs.columns if c not in (id_column, text_column)]
     first = Window.partitionBy(id_column, sha).orderBy(*(others or [F.lit(0)]))
     ranked = kept.join(repeated, same, "left_semi").withColumn(rank, F.row_number().over(first))

@@ -89,7 +89,7 @@ def test_surrogates_keep_format_and_coreference(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    # all 9,000 entities share a format of few surrogates: four digits differ, then two letters
+    # three hundred entities of a format that has a thousand surrogates, three hundred of which are entities
     entities = spark.range(300).select(F.lit("ssn").alias("type"), F.format_string("%03d", F.col("id")).alias("canon"))
     found = pii.surrogates(entities, "k").collect()
     given, real = [r.given for r in found], {r.canon for r in found}
