@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import first_by_hash
+
 TRAINING_PAGES = 200
 """Pages that are labelled and learnt from, at most; the first by a hash of their id and address."""
 TRAINING_CHARS = 40_000
@@ -374,8 +376,8 @@ def fit(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", h
     own = F.col(html_column)
     marked = pages.where(F.length(own).between(1, TRAINING_CHARS) & own.rlike("(?i)<(article|main)\\b"))
     order = F.xxhash64(F.col(id_column).cast("string"), F.col(url_column).cast("string"))
-    sample = marked.select(order.alias("o"), own.alias("h")).orderBy("o", "h").limit(most).collect()
-    return train(labelled_pages([r["h"] for r in sample]))
+    sample = first_by_hash(marked.select(order.alias("hash"), own.alias("page")), "hash", most, pages.count())
+    return train(labelled_pages([r["page"] for r in sample]))
 
 
 def extract(page: str, field: Field) -> str:
