@@ -28,6 +28,8 @@ SHARD_PIECES = 8192
 """Pieces that one task packs, about."""
 OPEN_BELOW = 0.97
 """Sequences filled less than this are packed again in the next round."""
+MOST_TASKS = 20_000
+"""Tasks that pack shards, at most."""
 SEARCH_STEPS = 20_000
 """Improving exchanges that a shard makes at most in a round."""
 
@@ -211,7 +213,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     while count:
         shards = max(1, round(count / SHARD_PIECES))
         shard = F.pmod(F.xxhash64("piece_id", F.lit(rounds)), F.lit(shards))
-        packed = saved(left.withColumn("shard", shard).groupBy("shard").applyInPandas(
+        # a task for each shard: a shard is much work for few bytes
+        dealt = left.withColumn("shard", shard).repartition(min(MOST_TASKS, shards), "shard")
+        packed = saved(dealt.groupBy("shard").applyInPandas(
             lambda rows: _pack(rows, capacity),
             "piece_id bigint, length bigint, sequence_id bigint, offset bigint, fill bigint"), "packed")
         again = F.col("fill") < OPEN_BELOW * capacity
