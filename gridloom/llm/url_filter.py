@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import saved
+
 ALLOW, BLOCK = "allow", "block"
 PREFIX_HEX = 8
 """Hex digits of the digest that the join compares: four bytes."""
@@ -88,8 +90,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_co
     expressions = prefixed.select("host", "path", *_keyed(F.concat("suffix", "folder")))
     hits = expressions.alias("e").join(listed.alias("r"), "prefix").where(
         (F.col("e.digest") == F.col("r.digest")) & F.col("path").startswith(F.col("rule_path")))
-    best = hits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("rule").alias("length"), "host_length", "rule", "action")).alias("best"))
-    return named.join(best, ["host", "path"], "left").select(
+    # written down, so that both sides of the last join are plain shuffles, whose hot addresses Spark can split
+    best = saved(hits.groupBy("host", "path").agg(
+        F.max(F.struct(F.length("rule").alias("length"), "host_length", "rule", "action")).alias("best")), "verdicts")
+    # addresses compress well, so the size of their files says little about a broadcast
+    return named.join(best.hint("merge"), ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.action", F.lit(default)).alias("verdict"))
