@@ -167,8 +167,8 @@ def _seek_unsorted(
 
 
 # Bounds that a round cuts the rows at, and sampled keys for each of them.
-_RANGES = 64
-_SAMPLED = 32
+_RANGES = 16
+_SAMPLED = 64
 
 
 def _seek(

@@ -18,7 +18,7 @@ from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_er
 from gridloom.functions.text import has_padding, strip
 from gridloom.sources.delimited import (
     BLOCK, ERROR, FILE_PROBLEM, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
-    Dialect, ends_inside_quotes, list_files, literal_path, parse_records, read_lines, read_records, to_records,
+    Dialect, FileIndex, ends_inside_quotes, literal_path, parse_records, read_lines, read_records, to_records,
 )
 from gridloom.sources.dialect import EMPTY_FILE, detect, dialect_of, files_of, layouts, profile
 from gridloom.sources.naming import column_names, identifier
@@ -175,7 +175,7 @@ class Staged:
         ).orderBy(F.desc("imported_at"), "source_file")
 
 
-def stage(rows: DataFrame, folder: str, dialect: Dialect, files: DataFrame | None = None, side: str | None = None) -> None:
+def stage(rows: DataFrame, folder: str, dialect: Dialect, files: FileIndex | None = None, side: str | None = None) -> None:
     """Write typed rows and settle which records lead their file, by their place.
 
     Rows that read like a header or preamble elsewhere in a file are data: they are written again as
@@ -186,8 +186,14 @@ def stage(rows: DataFrame, folder: str, dialect: Dialect, files: DataFrame | Non
     with compiled_in_pieces(spark):
         rows.write.mode("overwrite").parquet(folder)
     staged = spark.read.schema(rows.schema).parquet(folder)
+    first = staged.groupBy(SOURCE).agg(
+        F.min(F.struct(BLOCK, ROW, LEAD)).alias("_first"), F.count_if(F.col(LEAD) != 0).alias("_doubtful"))
+    headed = F.col("_first." + LEAD) == HEADER_LINE
+    seen = first.agg(F.count("*").alias("files"), F.coalesce(F.sum("_doubtful"), F.lit(0)).alias("doubtful"),
+                     F.count_if(headed).alias("headed")).first()
     more = []
-    if dialect.has_header or dialect.has_preamble:
+    leads_only = seen["doubtful"] == seen["headed"] and (seen["headed"] == seen["files"] or not dialect.has_header)
+    if (dialect.has_header or dialect.has_preamble) and (dialect.has_preamble or not leads_only):
         top = staged.where(F.col(BLOCK) == 0).groupBy(SOURCE).agg(F.min(F.struct(ROW, LEAD)).alias("_top")).select(
             SOURCE, F.col("_top." + ROW).alias("_first"), (F.col("_top." + LEAD) == PREAMBLE_LINE).alias("_preamble"))
         place = F.col("_first") + F.col("_preamble").cast("int")
@@ -199,11 +205,10 @@ def stage(rows: DataFrame, folder: str, dialect: Dialect, files: DataFrame | Non
         if dialect.has_header:
             # their own text was taken for data
             unlike = staged.where((F.col(BLOCK) == 0) & (F.col(LEAD) == 0)).select(SOURCE, ROW).join(leads, [SOURCE, ROW], "left_semi")
-            unlike = unlike.collect() if unlike.limit(1).collect() else []
-            if unlike:
-                spark.createDataFrame(unlike, f"{SOURCE} string, {ROW} long").write.mode("overwrite").parquet(side or f"{folder}/{PLACED}")
-    if files is not None:
-        empty = files.join(staged.select(SOURCE).distinct(), SOURCE, "left_anti")
+            if not unlike.isEmpty():
+                unlike.write.mode("overwrite").parquet(side or f"{folder}/{PLACED}")
+    if files is not None and len(files) != seen["files"]:
+        empty = files.rows().join(staged.select(SOURCE).distinct(), SOURCE, "left_anti")
         more.append(problem_rows(empty.withColumn("problem", F.lit(EMPTY_FILE)), rows))
     for part in more:
         if part.limit(1).collect():
@@ -241,7 +246,7 @@ def ingest(
     """
     if path_exists(spark, folder):
         raise ValueError(f"'{folder}' exists already.")
-    files = list_files(spark, paths, glob)
+    files = FileIndex(spark, paths, glob)
     attempt = f"{folder.rstrip('/')}__attempt_{uuid.uuid4().hex}"
     try:
         if dialect is None:

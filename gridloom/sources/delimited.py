@@ -80,22 +80,27 @@ def is_utf16(encoding: str) -> bool:
     return encoding.lower().replace("_", "-").startswith("utf-16")
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """The files that a scan of these paths reads, empty ones too, without opening them.
+class FileIndex:
+    """The files that a scan of some paths reads, empty ones too, as the driver has listed them for it.
 
-    Spark's scans pass over files of no bytes. Only if there are such does the list that the driver
-    has made for the scan leave the JVM.
+    Spark's scans pass over files of no bytes, so the list is compared with what a scan has shown, by
+    number; only if they differ does it leave the JVM.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(paths if isinstance(paths, str) else list(paths))
-    shown = files.select(F.col("_metadata.file_path").alias(SOURCE))
-    listed = files._jdf.inputFiles()
-    if len(listed) == shown.count():
-        return shown
-    # the metadata column spells locations without a host with one slash
-    return spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", path),) for path in listed], f"{SOURCE} string")
+
+    def __init__(self, spark: SparkSession, paths: str | Sequence[str], glob: str | None = None):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        self.spark = spark
+        self._listed = reader.load(paths if isinstance(paths, str) else list(paths))._jdf.inputFiles()
+
+    def __len__(self) -> int:
+        return len(self._listed)
+
+    def rows(self) -> DataFrame:
+        # the metadata column spells locations without a host with one slash
+        return self.spark.createDataFrame(
+            [(re.sub(r"^(\w+):///", r"\1:/", path),) for path in self._listed], f"{SOURCE} string")
 
 
 def literal_path(location: str) -> str:

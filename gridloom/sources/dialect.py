@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridloom.cluster import scratch_dir
 from gridloom.functions.text import decode_bytes
 from gridloom.sources.delimited import (
-    BLOCK, RAW, ROW, SOURCE, Dialect, ends_inside_quotes, list_files, literal_path, open_quote_patterns,
+    BLOCK, RAW, ROW, SOURCE, Dialect, FileIndex, ends_inside_quotes, literal_path, open_quote_patterns,
     read_lines)
 from gridloom.sources.naming import column_names, generated_names
 
@@ -72,7 +72,7 @@ def profile(
     Encoding and line breaks inside quotes are settled by a pass over all text; with both named, or
     ``from_head``, that pass is left out. Files without a record are listed with a ``problem``.
     """
-    checks = None
+    checks, wide = None, False
     limit = HEAD_LINES
     while True:
         facts = _head_lines(spark, paths, glob, limit)
@@ -90,7 +90,6 @@ def profile(
             decoded = F.when(F.col("_utf8"), F.col("_lines")).otherwise(_decoded_lines(FALLBACK_ENCODING))
         else:
             named, decoded = F.when(utf16, "utf-16").otherwise(encoding), _decoded_lines(encoding)
-        wide = facts.where(utf16).limit(1).collect()
         if wide:
             facts, decoded = _with_utf16(spark, facts, utf16, limit), F.coalesce("_wide", decoded)
         spanning = F.col("_odd_quotes") if quoted_newlines is None else F.lit(quoted_newlines)
@@ -98,13 +97,20 @@ def profile(
             F.col(SOURCE).alias("source_file"), named.alias("encoding"), spanning.alias("quoted_newlines"),
             decoded.alias("lines"), (F.size("_lines") >= limit).alias("more"))
         described = _kept(facts.mapInPandas(_describer(trim, assume_header, delimiter), PROFILE_SCHEMA))
-        short = described.where("_short").select("source_file").limit(1).collect()
-        if not short:
+        seen = described.agg(F.count("*").alias("files"), F.max(F.when(F.col("_short"), F.col("source_file"))).alias("short"),
+                             F.bool_or(F.col("encoding") == "utf-16").alias("wide")).first()
+        if seen["wide"] and not wide:
+            wide = True
+            continue
+        if seen["short"] is None:
             break
         if limit >= MOST_HEAD_LINES:
-            raise ValueError(f"The first {limit} lines of '{short[0][0]}' hold no {RECORDS} records: a quote does not close.")
+            raise ValueError(f"The first {limit} lines of '{seen['short']}' hold no {RECORDS} records: a quote does not close.")
         limit *= 16
-    files = list_files(spark, paths, glob).withColumnRenamed(SOURCE, "source_file")
+    index = FileIndex(spark, paths, glob)
+    if len(index) == seen["files"]:
+        return described.drop("_short")
+    files = index.rows().withColumnRenamed(SOURCE, "source_file")
     return files.join(described.drop("_short"), "source_file", "left").withColumn(
         "problem", F.when(F.col("column_names").isNull(), F.coalesce("problem", F.lit(EMPTY_FILE))))
 

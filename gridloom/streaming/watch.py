@@ -12,7 +12,7 @@ from gridloom.cluster import hadoop_path, list_paths, path_exists
 from gridloom.functions.convert import DATE_FORMATS
 from gridloom.operators.ingest import (
     PART, PLACED, PROBLEMS, ColumnMapping, Staged, add_problems, ingest_by_layout, stage, typed_rows)
-from gridloom.sources.delimited import SOURCE, Dialect, list_files, literal_path, parse_records, read_records
+from gridloom.sources.delimited import SOURCE, Dialect, FileIndex, literal_path, parse_records, read_records
 from gridloom.sources.dialect import EMPTY_FILE
 
 # Names of files to pick up, in any case, and how often to look, in seconds.
@@ -104,7 +104,7 @@ def watch_folder(
 
     def take(paths: list[str], batch_id: int) -> None:
         part = f"{PART}={batch_id}"
-        stage(rows(paths), f"{table}/{part}", dialect, list_files(spark, paths), f"{table}/{PLACED}/{part}")
+        stage(rows(paths), f"{table}/{part}", dialect, FileIndex(spark, paths), f"{table}/{PLACED}/{part}")
 
     def refuse(problems: dict[str, str], batch_id: int) -> None:
         if problems:

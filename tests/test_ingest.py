@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from gridloom.operators.ingest import ColumnMapping, ingest, preview, promote, resolve_mappings
 from gridloom.sources.delimited import Dialect
+from gridloom.sources import dialect as dialect_module
 from gridloom.sources.dialect import detect, layouts, looks_like_value, profile
 from gridloom.sources.naming import column_names, identifier
 
@@ -263,11 +264,20 @@ def test_preview_of_records_that_span_lines(spark, folder):
     assert [(r.Id, r.Text) for r in shown] == [(str(i), f"a\nb\nc\n{i}") for i in range(30)]
 
 
-def test_profile_without_a_pass_over_the_text(spark, folder):
+def test_profile_without_a_pass_over_the_text(spark, folder, monkeypatch):
     path = folder("cheap.csv", "Id;Name\n1;Ada\n")
+
+    def text_pass(raw):
+        raise AssertionError("a pass over all text")
+
+    # the heads are two scans, of large and of small files, and nothing else reads the text
+    heads = dialect_module._head_lines(spark, path, None, 64)
+    assert heads._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    monkeypatch.setattr(dialect_module, "_text_checks", text_pass)
     cheap = profile(spark, path, encoding="utf-8", quoted_newlines=False)
-    assert cheap._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
     assert cheap.first().column_names == ["Id", "Name"]
+    with pytest.raises(AssertionError):
+        profile(spark, path)
 
 
 @pytest.mark.parametrize("delimiter", [";", "\t", " "])
