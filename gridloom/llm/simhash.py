@@ -185,8 +185,9 @@ def near_links(points: np.ndarray, inner: np.ndarray, outer: np.ndarray, radius:
                 forest.link(part[a], inner[b])
             continue
         far = np.bitwise_count(points[outer] ^ vantage).astype(np.int16)
-        # everything within the radius of the vantage point is linked to it, and so to each other
-        ball = outer[far <= radius]
+        # everything within the radius of the vantage point is linked to it, and so to each other; inner
+        # points too, which need not be among the outer ones
+        ball = np.concatenate([outer[far <= radius], inner[near <= radius]])
         forest.link(ball, np.full(len(ball), inner[np.argmin(near)]))
         for distance in shells.astype(int).tolist():
             close = np.abs(far - distance) <= radius
@@ -196,8 +197,11 @@ def near_links(points: np.ndarray, inner: np.ndarray, outer: np.ndarray, radius:
     return forest.find(np.arange(len(points)))
 
 
-def near_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp``, enough to connect every group, none wrong."""
+def near_edges(points: DataFrame, radius: int = RADIUS, slices: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp``, enough to connect every group, none wrong.
+
+    What asks a shard is dealt to ``slices`` pieces, as many as the number of points needs if not given.
+    """
     spark = points.sparkSession
     count = points.count()
     sample = first_by_hash(points.select("fp", F.xxhash64("fp").alias("hash")), "hash", SAMPLE, count)
@@ -205,7 +209,7 @@ def near_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     # shards grow with the root of the number of points, and so does their number
     per_shard = max(512.0, 8 * count ** 0.5)
     tree, shards = shard_tree(values, per_shard * len(values) / max(count, 1))
-    slices = max(1, round(count / (64 * per_shard)))
+    slices = slices or max(1, round(count / (64 * per_shard)))
     tree_sent = spark.sparkContext.broadcast(tree)
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
