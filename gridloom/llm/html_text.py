@@ -37,22 +37,33 @@ ROUNDS, RATE, RIDGE = 220, 0.3, 0.00002
 SEED = 5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]+|=\s*+"
+    # a quote opens a value only after =; a value that holds > and ends in = lacks its closing quote
+    r"(?:\"[^\">]*\"|'[^'>]*'|\"[^\"]*(?<!=)\"|'[^']*(?<!=)'|[^\s>\"'][^\s>]*)?)*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-# fixed values of HTML: elements whose content is no text, that have no content, and that do not end a block
-_RAW = frozenset("script style title noscript template textarea svg math iframe object select option datalist".split())
+# fixed values of HTML: elements whose content is no mark-up, that have no content, and that do not end a block
+_RAW = frozenset("script style title textarea iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr br img".split())
+    "strong sub sup time tt u var wbr br img math mi mo mn ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace "
+    "msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd menclose semantics annotation annotation-xml".split())
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split())
+# elements that are often left open, and those that end them
+_LEFT_OPEN = frozenset("svg math object noscript select option optgroup datalist template".split())
+_CHOICES = frozenset("select option optgroup datalist".split())
+_FOREIGN = frozenset(("svg", "math"))
+_ENDS_FOREIGN = _ENDS_P | frozenset(
+    "b big body br center code dd dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+_HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+_LEFT_OPEN_END = re.compile(rf"</({'|'.join(sorted(_LEFT_OPEN))})(?![a-z0-9:-])", re.I)
 
 
 @dataclass
@@ -94,6 +105,18 @@ def blocks_of(page: str) -> list[Block]:
         links -= sum(1 for tag, _ in stack[upto:] if tag == "a")
         del stack[upto:]
 
+    def open_since(tags: frozenset, until: frozenset = frozenset()) -> int:
+        """The place of the innermost open element of ``tags`` not within one of ``until``; -1 if there is none."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                return i
+            if stack[i][0] in until:
+                break
+        return -1
+
+    # where the last closing tag of each kind starts: what opens after it is never closed
+    last_end = {m[1].lower(): m.start() for m in _LEFT_OPEN_END.finditer(page)}
+
     while at < len(page):
         token = _TOKEN.match(page, at)
         at = token.end()
@@ -117,12 +140,22 @@ def blocks_of(page: str) -> list[Block]:
             text.append(" ")
         if tag not in _INLINE:
             flush()
-        if tag in _RAW:
+        empty = token["rest"].rstrip().endswith("/")
+        if tag in _RAW and not (empty and open_since(_FOREIGN, _HOLDS_HTML) >= 0):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in _ENDS_FOREIGN:
+            while (place := open_since(_FOREIGN, _HOLDS_HTML)) >= 0:
+                flush()
+                close(place)
         if tag in _VOID:
             continue
+        if tag in _LEFT_OPEN and last_end.get(tag, -1) < at:
+            continue
+        if tag in _ENDS_P and tag != "hr" or tag == "select":
+            while (place := open_since(_CHOICES)) >= 0:
+                close(place)
         if tag in _ENDS_P:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
             if place >= 0 and not any(t in ("table", "button") for t, _ in stack[place:]):
@@ -134,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i][0] == tag or tag in ("td", "th") and stack[i][0] in ("td", "th") or tag in ("dt", "dd") and stack[i][0] in ("dt", "dd"):
                     close(i)
                     break
-        if token["rest"].rstrip().endswith("/"):
+        if empty:
             continue
         stack.append((tag, _names(token["rest"])))
         links += tag == "a"
@@ -145,7 +178,7 @@ def blocks_of(page: str) -> list[Block]:
 # -- features ----------------------------------------------------------------------------------------
 
 _MAIN_TAGS = frozenset(("article", "main"))
-_SIDE_TAGS = frozenset("nav header footer aside form button fieldset dialog menu".split())
+_SIDE_TAGS = frozenset("nav header footer aside form button fieldset dialog menu svg template select option optgroup datalist".split())
 _SIDE_NAMES = frozenset(
     "nav navbar navigation menu header footer sidebar side aside widget cookie cookies consent gdpr notice banner alert popup modal ad ads "
     "adv advert adverts advertisement sponsor sponsored promo promotion comment comments disqus reply replies respond discussion share "

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridloom.llm import simhash
+from gridloom.llm import html_text, simhash
 
 
 def dense_prints(chance):
@@ -46,3 +46,25 @@ def test_sliced_shards_find_every_group(spark, slices):
         signed = values.view(np.int64)
         want = {int(v): int(signed[root]) for v, root in zip(signed, brute_roots(values, 4)) if signed[root] != v}
         assert {v: root for v, root in found.items() if v != root} == want
+
+
+@pytest.mark.parametrize("broken", [
+    '<svg viewBox="0 0 1 1"/>', '<svg viewBox="0 0 1 1"><path d="M0 0">', "<math/>", "<math>", '<object data="x.pdf">', "<noscript>", "<select>",
+    "<select><option>", "<option>", "<datalist>", "<template>", "<svg><title/></svg>", '<p class=x">', "<p class=x'>", '<a href=u="v>'])
+def test_broken_mark_up_keeps_the_text_after_it(broken):
+    rest = '<p>Two "quoted" words, it\'s said.</p>'
+    later = "<svg><g></g></svg><math></math><object></object><noscript></noscript><select><option></option></select><datalist></datalist>"
+    for more in ("", later):
+        found = html_text.blocks_of(f'<article><p>One.</p>{broken}{rest}{more}<p class="y">Three.</p></article>')
+        assert [b.text for b in found if b.text] == ["One.", 'Two "quoted" words, it\'s said.', "Three."]
+        assert html_text.marked_labels(found) == [1, 1, 1]
+
+
+def test_text_of_formulas_and_noscript_stays_and_that_of_graphics_is_side_matter():
+    page = ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><noscript><p>Shown without scripts.</p></noscript>"
+            "<object><p>Instead.</p></object><svg><title>t</title><text>label</text></svg><select><option>A<option>B</select>"
+            "<script>if (a < b) '<p>no</p>'</script><textarea><p>typed</p></textarea><p>End.</p></article>")
+    found = html_text.blocks_of(page)
+    labels = html_text.marked_labels(found)
+    assert [b.text for b, y in zip(found, labels) if y] == ["Let x=1 hold.", "Shown without scripts.", "Instead.", "End."]
+    assert [b.text for b, y in zip(found, labels) if not y] == ["label", "A", "B"]
