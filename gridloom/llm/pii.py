@@ -8,6 +8,11 @@ surrogate, or whose surrogate is itself an entity of the corpus, draw again unti
 the replaced corpus has as many distinct entities as the original. Names are made of syllables of
 their script, with an ending of their gender.
 
+Persons are found by their titles. Every word of a name is an entity of its script, with one gender, or
+none as a family name, settled by its titled mentions in the corpus. Where the words of a name found in a
+document stand there without a title, they get the same surrogates. Names without a title anywhere in
+their document stay.
+
 Everything is a column expression or a join. Texts without entities are not moved; of the others, the
 entities alone meet the table of surrogates.
 """
@@ -29,6 +34,10 @@ SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "a
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HONORIFIC = "(?:" + "|".join(sorted((w for ws in HONORIFICS.values() for w in ws), key=lambda w: (-len(w), w))) + r")\.?"
 _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}]+)?"
+_CAPITAL = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)*+"
+"""A word that can be part of a name found elsewhere in the document."""
+_TAIL = r"['’]+(?:[sS]['’]*)?$"
+"""What is not part of a name: the ending of a possessive, a closing quote."""
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.[\p{L}]{2,24})"
 _SECRET_LEAD = r"(?i:" + "|".join(SECRET_WORDS) + r")\s{0,3}[=:]\s{0,3}[\"']?"
 _PATTERNS = {
@@ -77,22 +86,31 @@ def _plain(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[^\p{L}\p{N}]", "")
 
 
+def _stem(word: Column) -> Column:
+    return F.regexp_replace(word, _TAIL, "")
+
+
 def _parts(raw: Column, kind: Column) -> tuple[Column, Column]:
-    """What stands before the replaced part, and the replaced parts: (type, raw, canonical form)."""
+    """What stands before the replaced part, and the replaced parts: (type, raw, canonical form, tail, hint).
+
+    The hint of a name word is the gender of its title, or its place: ``s`` as the last of several
+    words, ``l`` as the only one.
+    """
     lead = (F.when(kind == "person", F.regexp_extract(raw, rf"\A{_HONORIFIC} ", 0))
             .when(kind == "secret", F.regexp_extract(raw, rf"\A(?:{_SECRET_LEAD})?", 0)).otherwise(F.lit("")))
     rest = F.substr(raw, F.length(lead) + 1)
     title = F.regexp_replace(lead, r"[. ]+$", "")
     gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("n")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     words = F.split(rest, " ")
 
     def word(w: Column, i: Column) -> Column:
-        side = F.when(i == F.size(words) - 1, F.lit("s")).otherwise(gender)
-        return F.struct(F.concat_ws(":", F.lit("person"), script, side).alias("type"), w.alias("raw"), F.lower(w).alias("canon"))
+        hint = F.when(F.size(words) == 1, F.lit("l")).when(i == F.size(words) - 1, F.lit("s")).otherwise(gender)
+        script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        return F.struct(F.concat_ws(":", F.lit("person"), script).alias("type"), _stem(w).alias("raw"),
+                        F.lower(_stem(w)).alias("canon"), F.substr(w, F.length(_stem(w)) + 1).alias("tail"), hint.alias("hint"))
 
     canon = F.when(kind == "email", F.lower(rest)).when(kind.isin("secret", "ip"), rest).otherwise(_plain(rest))
-    one = F.array(F.struct(kind.alias("type"), rest.alias("raw"), canon.alias("canon")))
+    one = F.array(F.struct(kind.alias("type"), rest.alias("raw"), canon.alias("canon"), F.lit("").alias("tail"), F.lit("").alias("hint")))
     return lead, F.when(kind == "person", F.transform(words, word)).otherwise(one)
 
 
@@ -165,20 +183,49 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return made.otherwise(like)
 
 
+def _settled(place: DataFrame) -> DataFrame:
+    """type, canon, full type: of a name word with the gender that most of its mentions have."""
+    def votes(hint: str) -> Column:
+        return F.count_if(F.col("hint") == hint)
+
+    gender = F.when(votes("f") > votes("m"), "f").when(votes("m") > votes("f"), "m").otherwise("n")
+    first = votes("f") + votes("m") + votes("n")
+    side = F.when((first > 0) & (first >= votes("s")), gender).otherwise("s")
+    full = F.when(F.col("type").startswith("person"), F.concat_ws(":", "type", side)).otherwise(F.col("type"))
+    return saved(place.groupBy("type", "canon").agg(full.alias("full")), "settled")
+
+
+def _untitled(piece: Column, names: Column) -> Column:
+    """Text between entities with surrogates for the words of ``names`` (by canonical form), and how many it has."""
+    words, gaps = F.regexp_extract_all(piece, F.lit(_CAPITAL), F.lit(0)), F.split(piece, _CAPITAL, -1)
+
+    def new(w: Column, i: Column) -> Column:
+        given, stem = F.element_at(names, F.lower(_stem(w))), _stem(w)
+        return F.concat(F.get(gaps, i), F.when(given.isNull(), w).otherwise(
+            F.concat(_written(stem, F.lit("person"), given), F.substr(w, F.length(stem) + 1))))
+
+    known = F.filter(words, lambda w: F.element_at(names, F.lower(_stem(w))).isNotNull())
+    text = F.concat(F.array_join(F.transform(words, new), ""), F.element_at(gaps, -1))
+    held = (F.size(names) > 0) & (F.size(known) > 0)
+    return F.struct(F.when(held, text).otherwise(piece).alias("text"), F.when(held, F.size(known)).otherwise(0).alias("n"))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, canon, given: a surrogate for each distinct entity, all distinct and none an entity itself."""
     table = saved(entities.select("type", "canon", F.lit(0).alias("attempt"), surrogate(
         F.col("type"), F.col("canon"), F.lit(0), key).alias("given")), "surrogates")
     first = Window.partitionBy("type", "given").orderBy("attempt", "canon")
     while True:
-        real = table.select("type", F.col("canon").alias("given"), F.lit(True).alias("real"))
+        # a name is a real one whatever its gender
+        table = table.withColumn("base", F.substring_index("type", ":", 2))
+        real = table.select("base", F.col("canon").alias("given"), F.lit(True).alias("real"))
         shared = table.groupBy("type", "given").count().where("count > 1").select("type", "given")
         losers = table.join(shared, ["type", "given"], "left_semi").withColumn("n", F.row_number().over(first)).where("n > 1")
         again = losers.select("type", "canon").unionByName(
-            table.join(real, ["type", "given"], "left_semi").select("type", "canon")).distinct()
+            table.join(real, ["base", "given"], "left_semi").select("type", "canon")).distinct()
         again = saved(again.withColumn("again", F.lit(True)), "again")
         if again.isEmpty():
-            return table.drop("attempt")
+            return table.drop("attempt", "base")
         attempt = F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)
         table = saved(table.join(again, ["type", "canon"], "left").select("type", "canon", attempt.alias("attempt"), F.when(
             F.col("again"), surrogate(F.col("type"), F.col("canon"), attempt, key)).otherwise(F.col("given")).alias("given")), "surrogates")
@@ -195,7 +242,8 @@ def _written(raw: Column, kind: Column, given: Column) -> Column:
 
 
 def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per document: doc_id, text with surrogates, n_entities.
+    """A row per document: doc_id, text with surrogates, n_entities: what the patterns found, and each
+    word that repeats a name of the document without a title.
 
     Null and empty texts come back empty, texts without entities unchanged. Repeated rows and ids are
     each replaced, with the same surrogates. Texts are searched whole. Other columns are ignored. No
@@ -209,15 +257,22 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column:
     lead, parts = _parts(F.col("match"), F.col("kind"))
     place = place.withColumn("kind", _type_of(F.col("match"))).select("row_id", "place", lead.alias("lead"), parts.alias("parts"))
     place = saved(place.select("row_id", "place", "lead", F.posexplode("parts").alias("word", "part")).select(
-        "row_id", "place", "lead", "word", "part.type", "part.raw", "part.canon"), "entities")
-    given = surrogates(place.select("type", "canon").distinct(), key)
-    word = F.struct("place", "word", "lead", _written(F.col("raw"), F.col("type"), F.col("given")).alias("new"))
-    news = place.join(given, ["type", "canon"]).groupBy("row_id").agg(F.array_sort(F.collect_list(word)).alias("words"))
+        "row_id", "place", "lead", "word", "part.*"), "entities")
+    full = _settled(place)
+    given = surrogates(full.select(F.col("full").alias("type"), "canon"), key)
+    given = full.join(given.withColumnRenamed("type", "full"), ["full", "canon"]).drop("full")
+    new = F.concat(_written(F.col("raw"), F.col("type"), F.col("given")), F.col("tail"))
+    word = F.struct("place", "word", "lead", new.alias("new"))
+    name = F.when(F.col("type").startswith("person"), F.struct("canon", "given"))
+    news = place.join(given, ["type", "canon"]).groupBy("row_id").agg(
+        F.array_sort(F.collect_list(word)).alias("words"), F.map_from_entries(F.collect_set(name)).alias("names"))
     # words of one entity are joined by a blank, its lead stands before the first
-    pieces = F.split("text", _ANY, -1)
+    pieces = F.transform(F.split("text", _ANY, -1), lambda p: _untitled(p, F.col("names")))
     between = F.transform("words", lambda w: F.concat(
-        F.when(w["word"] == 0, F.concat(F.get(pieces, w["place"]), w["lead"])).otherwise(F.lit(" ")), w["new"]))
-    text = F.concat(F.array_join(between, ""), F.element_at(pieces, -1))
-    changed = some.join(saved(news, "words"), "row_id").select("doc_id", text.alias("text"), F.size("raws").cast("bigint").alias("n_entities"))
+        F.when(w["word"] == 0, F.concat(F.get("pieces", w["place"])["text"], w["lead"])).otherwise(F.lit(" ")), w["new"]))
+    text = F.concat(F.array_join(between, ""), F.element_at("pieces", -1)["text"])
+    more = F.aggregate("pieces", F.lit(0), lambda n, p: n + p["n"])
+    changed = some.join(saved(news, "words"), "row_id").withColumn("pieces", pieces).select(
+        "doc_id", text.alias("text"), (F.size("raws") + more).cast("bigint").alias("n_entities"))
     untouched = found.where(F.size("raws") == 0).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
     return untouched.unionByName(changed)

@@ -1,9 +1,11 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
+import re
+
 import numpy as np
 import pytest
 
-from gridloom.llm import html_text, simhash
+from gridloom.llm import html_text, pii, simhash
 
 
 def dense_prints(chance):
@@ -68,3 +70,21 @@ def test_text_of_formulas_and_noscript_stays_and_that_of_graphics_is_side_matter
     labels = html_text.marked_labels(found)
     assert [b.text for b, y in zip(found, labels) if y] == ["Let x=1 hold.", "Shown without scripts.", "Instead.", "End."]
     assert [b.text for b, y in zip(found, labels) if not y] == ["label", "A", "B"]
+
+
+def test_a_name_has_one_surrogate_however_it_is_written(spark):
+    rows = [
+        (1, "Dr Anna Smith came. Anna Smith said that Smith's dog and ANNA left, annals aside; mail a@b.de."),
+        (2, "Mrs Anna Smith. Mrs. Anna. Mr Smith’s son, (Smith)."), (3, "Anna Smith is named without a title."),
+        (4, "Dr Anna Smith's cat."), (5, "Ms Anna Иванов und Frau Иванов, Иванов.")]
+    made = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    first, last = re.match(r"Dr (\w+) (\w+) came", made[1].text).groups()
+    assert first not in ("Anna", "Smith") and last not in ("Anna", "Smith") and first.endswith(pii._ENDINGS["latin", "f"])
+    mail = made[1].text.split("mail ")[1]
+    assert made[1].text == (f"Dr {first} {last} came. {first} {last} said that {last}'s dog and {first.upper()} left, annals aside; mail {mail}")
+    assert mail != "a@b.de." and made[1].n_entities == 6
+    assert made[2].text == f"Mrs {first} {last}. Mrs. {first}. Mr {last}’s son, ({last})." and made[2].n_entities == 4
+    assert made[3].text == rows[2][1] and made[3].n_entities == 0
+    assert made[4].text == f"Dr {first} {last}'s cat."
+    other = made[5].text.split()[2]
+    assert made[5].text == f"Ms {first} {other} und Frau {other}, {other}." and other != "Иванов"
