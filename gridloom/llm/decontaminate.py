@@ -112,24 +112,28 @@ class ItemIndex:
 
 
 def _finder(spark, items: list[tuple[int, str]], shingle_words: int, min_share: Fraction):
+    """A function of texts that finds the items, and the broadcast that it needs."""
     index = spark.sparkContext.broadcast(ItemIndex(items, shingle_words, min_share))
 
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([[{"item_id": i, "containment": c} for i, c in index.value.found(t)] for t in part], dtype=object)
 
-    return F.pandas_udf(find, _FOUND)
+    return F.pandas_udf(find, _FOUND), index
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items, in blocks of about ``block_chars`` characters."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The distinct items, in blocks of about ``block_chars`` characters: how many, and each when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text().alias("text")).where(
         F.col("item_id").isNotNull()).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    for block in range(blocks):
+
+    def collected(block: int) -> list[tuple[int, str]]:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+        return sorted((r["item_id"], r["text"]) for r in part.collect())
+
+    return blocks, map(collected, range(blocks))
 
 
 def with_items(docs: DataFrame, benchmark: DataFrame, into: str, id_column: str = "doc_id", text_column: str = "text",
@@ -142,14 +146,20 @@ def with_items(docs: DataFrame, benchmark: DataFrame, into: str, id_column: str
     without an id are left out. Rows that repeat are each searched. Other columns pass unchanged.
     """
     spark, text = docs.sparkSession, whole_text(text_column)
-    blocks = [_finder(spark, items, shingle_words, min_share) for items in _blocks(benchmark, block_chars)]
-    if len(blocks) == 1:
-        found = docs.withColumn(into, blocks[0](text))
+    count, blocks = _blocks(benchmark, block_chars)
+    # one block at a time is collected, indexed and broadcast
+    finders = (_finder(spark, items, shingle_words, min_share) for items in blocks)
+    if count == 1:
+        found = docs.withColumn(into, next(finders)[0](text))
     else:
         sha, key, digest = free_name(docs, "_sha"), free_name(docs, "_key"), free_name(docs, "_digest")
         tagged = docs.withColumn(sha, F.sha2(F.encode(text, "utf-8"), 256))
-        parts = [saved(tagged.select(F.col(id_column).alias(key), F.col(sha).alias(digest), F.explode(block(text)).alias(into)), "items")
-                 for block in blocks]
+        parts = []
+        for find, index in finders:
+            hits = tagged.select(F.col(id_column).alias(key), F.col(sha).alias(digest), F.explode(find(text)).alias(into))
+            parts.append(saved(hits, "items"))
+            index.destroy()
+            del find, index, hits
         every = parts[0]
         for part in parts[1:]:
             every = every.unionByName(part)

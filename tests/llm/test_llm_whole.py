@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm import html_text, pii, simhash
+from gridloom.llm import decontaminate, html_text, pii, simhash
 
 
 def dense_prints(chance):
@@ -88,3 +88,15 @@ def test_a_name_has_one_surrogate_however_it_is_written(spark):
     assert made[4].text == f"Dr {first} {last}'s cat."
     other = made[5].text.split()[2]
     assert made[5].text == f"Ms {first} {other} und Frau {other}, {other}." and other != "Иванов"
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    order, finder, saved = [], decontaminate._finder, decontaminate.saved
+    monkeypatch.setattr(decontaminate, "_finder", lambda *a: order.append("index") or finder(*a))
+    monkeypatch.setattr(decontaminate, "saved", lambda df, purpose: order.append("saved") or saved(df, purpose))
+    items = [(i, f"one two three four five six item{i}") for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + items[3][1] + " y"), (2, "none"), (3, items[7][1])], "doc_id long, text string")
+    found = decontaminate.with_items(docs, benchmark, "found", block_chars=150, min_share=decontaminate.Fraction(1))
+    assert order == ["index", "saved"] * (len(order) // 2) and len(order) > 2
+    assert {r.doc_id: [x.item_id for x in r.found] for r in found.collect()} == {1: [3], 2: [], 3: [7]}
