@@ -30,8 +30,6 @@ OPEN_BELOW = 0.97
 """Sequences filled less than this are packed again in the next round."""
 MOST_TASKS = 20_000
 """Tasks that pack shards, at most."""
-SEARCH_STEPS = 20_000
-"""Improving exchanges that a shard makes at most in a round."""
 
 
 def default_tokenizer() -> str:
@@ -130,12 +128,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, max_steps: int = SEARCH_STEPS) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchanges pieces between underfull bins while that raises the sum of squared fills.
 
     The emptiest bin gives: one of its pieces moves to a fuller bin, or changes places with a smaller
     one there, or two of them with one. Of all exchanges that fit, the one that raises the sum most is
-    made. A bin that can give nothing is left; one that runs empty is dropped.
+    made. A bin that can give nothing is left; one that runs empty is dropped. Every exchange raises the
+    sum, which is bounded, so the search ends by itself, when no bin can give.
     """
     fills = [int(sum(sizes[i] for i in b)) for b in bins]
     full = [b for b, fill in zip(bins, fills) if fill >= capacity]
@@ -145,8 +144,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, max_st
     item = np.array([i for b in part for i in b], dtype=np.int64)
     size = sizes[item].astype(np.int64) if len(item) else np.zeros(0, dtype=np.int64)
     waiting = np.ones(len(part), dtype=bool)
-    steps = 0
-    while waiting.any() and steps < max_steps:
+    while waiting.any():
         giver = int(np.where(waiting & (fill > 0), fill, capacity + 1).argmin())
         if not waiting[giver] or fill[giver] <= 0:
             break
@@ -169,7 +167,6 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, max_st
         if gain <= 0:
             waiting[giver] = False
             continue
-        steps += 1
         moved = int(size[list(given)].sum()) - (int(size[taken]) if taken is not None else 0)
         owner[list(given)] = receiver
         if taken is not None:

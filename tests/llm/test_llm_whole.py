@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm import decontaminate, html_text, pii, simhash
+from gridloom.llm import decontaminate, html_text, packing, pii, simhash
 
 
 def dense_prints(chance):
@@ -100,3 +100,10 @@ def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
     found = decontaminate.with_items(docs, benchmark, "found", block_chars=150, min_share=decontaminate.Fraction(1))
     assert order == ["index", "saved"] * (len(order) // 2) and len(order) > 2
     assert {r.doc_id: [x.item_id for x in r.found] for r in found.collect()} == {1: [3], 2: [], 3: [7]}
+
+
+def test_the_search_ends_when_nothing_improves():
+    # every piece alone: more exchanges than a fixed number would allow
+    count = 26_800
+    found = packing.local_search([[i] for i in range(count)], np.ones(count, dtype=np.int64), 4)
+    assert len(found) == count // 4 and sorted(i for b in found for i in b) == list(range(count))
