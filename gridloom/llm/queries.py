@@ -1,6 +1,6 @@
 """The registered queries of the operators, by number, and their SQL.
 
-Operators 2, 4, 5, 7, 8 and 10 have no SQL: their tests compare them with brute force, with the tokenizer,
+Operators 2, 4, 5, 7, 8, 10 and 11 have no SQL: their tests compare them with brute force, with the tokenizer,
 or measure held-out accuracy.
 """
 
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.chat import formatted_digests
 from gridloom.llm.common import table
 from gridloom.llm.decontaminate import contamination
+from gridloom.llm.divergence import source_divergence
 from gridloom.llm.exact_dedup import exact_groups
+from gridloom.llm.filter_audit import filter_audit
 from gridloom.llm.html_text import main_texts
 from gridloom.llm.packing import pack
 from gridloom.llm.pii import replaced
@@ -76,6 +78,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +97,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
+    "op12_divergence": op12_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -149,4 +161,71 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(masked) AS loss_chars,
        sha256(masked) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM joined""",
+    "op12_divergence": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), word AS (
+  SELECT row_id, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM doc
+), kept AS (
+  SELECT lang, term, count(*) AS lang_count FROM word GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30
+), lang_size AS (
+  SELECT lang, count(*) AS v, sum(lang_count) AS total FROM kept GROUP BY lang
+), here AS (
+  SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term
+), dense AS (
+  SELECT lang, source, term, lang_count, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+  FROM (SELECT DISTINCT lang, source FROM doc) JOIN kept USING (lang) LEFT JOIN here USING (lang, source, term)
+), share AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (dense.total + 5 * v) AS p,
+         1 + 1000000000::HUGEINT * (lang_count + 5) // (lang_size.total + 5 * v) AS q
+  FROM dense JOIN lang_size USING (lang)
+), two AS (
+  SELECT DISTINCT a.lang, a.source, b.source AS item FROM doc a JOIN doc b ON a.lang = b.lang AND a.source <> b.source
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM two LEFT JOIN apart USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM share WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_filter_audit": r"""
+WITH doc AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), failed AS (
+  SELECT part, doc_id, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS bits FROM doc
+), kind AS (
+  SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+  GROUP BY part, bits
+), f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(list_sum(bits[:step]) AS INT) - bits[step] AS before
+  FROM orders, range(1, 6) AS t(step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN bits & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN bits & before = 0 AND bits & own > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN bits & before > 0 AND bits & own > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN bits = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN bits & before = 0 AND bits & own > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN bits & before = 0 AND bits & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM kind, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted""",
 }
