@@ -15,6 +15,7 @@ from gridloom.llm.divergence import source_divergence
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.filter_audit import filter_audit
 from gridloom.llm.html_text import main_texts
+from gridloom.llm.jaccard_join import jaccard_groups
 from gridloom.llm.packing import pack
 from gridloom.llm.pii import replaced
 from gridloom.llm.quality import quality_scores
@@ -78,6 +79,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_divergence": op12_divergence,
     "op13_filter_audit": op13_filter_audit,
 }

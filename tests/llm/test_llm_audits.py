@@ -1,0 +1,325 @@
+"""Jaccard join, source divergence and filter audit against brute force, and their edge cases."""
+
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import permutations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from gridloom.llm import divergence, filter_audit, jaccard_join
+
+# -- Jaccard join ------------------------------------------------------------------------------------
+
+
+def brute_set(text, width=3):
+    words = [w for w in "".join(c.lower() if c < "\x7f" else c for c in text or "").replace("\x0b", " ").split(" ") for w in w.split("\t") if w]
+    words = [w for x in words for w in x.replace("\n", " ").replace("\r", " ").replace("\x0c", " ").split(" ") if w]
+    if not words:
+        return frozenset()
+    size = min(width, len(words))
+    return frozenset(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+
+
+def brute_components(rows, threshold=Fraction(9, 10)):
+    """{place: (n, smallest id reachable)} for rows (id, text)."""
+    sets = [brute_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and len(a & b) * threshold.denominator >= len(a | b) * threshold.numerator:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    found = []
+    for i, (own, _) in enumerate(rows):
+        ids = [rows[j][0] for j in groups[find(i)] if rows[j][0] is not None]
+        found.append((own, len(sets[i]), min(ids) if ids else None))
+    return sorted(found, key=str)
+
+
+def found_groups(spark, rows, **more):
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, n int, hash string, cid int")
+    return sorted((tuple(r) for r in jaccard_join.jaccard_groups(table.repartition(3), **more).collect()), key=str)
+
+
+def edited(chance, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at = chance.randrange(len(words))
+        kind = chance.randrange(3)
+        if kind == 0:
+            words[at] = f"w{chance.randrange(5000)}"
+        elif kind == 1:
+            del words[at]
+        else:
+            words.insert(at, f"w{chance.randrange(5000)}")
+    return words
+
+
+def near_copies(chance, groups, most):
+    rows, shared = [], [f"s{i}" for i in range(60)]
+    for group in range(groups):
+        base = [f"w{chance.randrange(5000)}" for _ in range(chance.choice([4, 12, 25, 60, 150, 400]))]
+        if chance.random() < 0.4:
+            base[len(base) // 2:len(base) // 2] = shared
+        for _ in range(chance.randint(1, most)):
+            base = base if chance.random() < 0.5 else edited(chance, base, chance.randint(0, 2))
+            rows.append(" ".join(edited(chance, base, chance.randint(0, 4))))
+    return rows
+
+
+EDGES = [
+    (1, "A b c d"), (2, "a B\tc\n d"), (3, None), (4, ""), (5, " \n"), (6, "two words"), (7, "TWO words"), (8, "two  words more"), (9, "É b c"),
+    (10, "é b c"), (None, "a b c d"), (None, "alone here now"), (None, "alone here now"), (11, "x " * 5000), (12, "x " * 9000), (1, "other text of one"),
+    (1, "A b c d"), (13, "a b c"), (14, "two")]
+
+
+def test_jaccard_edges(spark):
+    assert found_groups(spark, EDGES) == brute_components(EDGES)
+
+
+def test_jaccard_empty_table(spark):
+    assert found_groups(spark, EDGES[:0]) == []
+    assert found_groups(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
+
+
+@pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(3, 4), Fraction(1)])
+def test_jaccard_equals_brute_force(spark, threshold):
+    chance = random.Random(threshold.numerator)
+    rows = [(i, t) for i, t in enumerate(near_copies(chance, 40, 9))]
+    chance.shuffle(rows)
+    assert found_groups(spark, rows, threshold=threshold) == brute_components(rows, threshold)
+
+
+def test_jaccard_cuts_lose_no_link(spark, monkeypatch):
+    """Blocks of few sets and lists of few rows, so that groups meet only across pieces."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", 0)
+    chance = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(near_copies(chance, 12, 40))]
+    assert found_groups(spark, rows) == brute_components(rows)
+
+
+def test_links_across_without_blocks(spark, monkeypatch):
+    """All links come from the lists when no block finds any."""
+    monkeypatch.setattr(jaccard_join, "block_links", lambda sets, threshold: [])
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 8)
+    chance = random.Random(5)
+    rows = [(i, t) for i, t in enumerate(near_copies(chance, 15, 12))]
+    assert found_groups(spark, rows) == brute_components(rows)
+
+
+def test_t_occurrences():
+    chance = random.Random(1)
+    for _ in range(300):
+        lists = [sorted(chance.sample(range(30), chance.randint(1, 25))) for _ in range(chance.randint(1, 20))]
+        counts = Counter(n for one in lists for n in one)
+        needed = chance.randint(1, 20)
+        assert jaccard_join.t_occurrences(lists, needed) == {n: c for n, c in counts.items() if c >= needed}
+    assert jaccard_join.t_occurrences([], 1) == {}
+
+
+def test_block_links_connect_what_is_linked():
+    for seed in range(12):
+        chance = random.Random(seed)
+        sets = [jaccard_join.shingle_set(t) for t in near_copies(chance, 6, 14)]
+        root = list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        links = jaccard_join.block_links(sets)
+        for a, b in links:
+            assert jaccard_join._links(jaccard_join._overlap(sets[a], sets[b]), len(sets[a]), len(sets[b]), jaccard_join.THRESHOLD)
+            root[find(a)] = find(b)
+        for i in range(len(sets)):
+            for j in range(i):
+                if jaccard_join._links(jaccard_join._overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]), jaccard_join.THRESHOLD):
+                    assert find(i) == find(j)
+
+
+def test_parities_bound_the_difference():
+    chance = np.random.default_rng(2)
+    for size in (1, 3, 70, 900, 5000):
+        a = np.unique(chance.integers(0, 2 ** 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 9:], chance.integers(0, 2 ** 63, size // 7).astype(np.uint64)]))
+        x, y = (np.frombuffer(jaccard_join.parities(s), dtype=np.uint64) for s in (a, b))
+        while len(x) != len(y):
+            longer = max((x, y), key=len)
+            folded = longer[:len(longer) // 2] ^ longer[len(longer) // 2:]
+            x, y = (folded, y) if longer is x else (x, folded)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+# -- source divergence -------------------------------------------------------------------------------
+
+WORDS = ["Alpha", "beta", "GAMMA", "delta", "épsilon", "Éta", "zeta", "a", "b", "日本", "ß"]
+
+
+def brute_divergence(rows, min_docs, first):
+    import re
+
+    counts, docs, total, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), set()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        words = ["".join(c.lower() if c < "\x7f" else c for c in w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        counts[lang, source].update(words)
+        total[lang].update(words)
+        docs[lang].update(set(words))
+    found = []
+    for lang, source in groups:
+        kept = sorted(t for t, n in docs[lang].items() if n >= min_docs)
+
+        def share(held):
+            n = sum(held[t] for t in kept)
+            return {t: 1 + 10 ** 9 * (held[t] + 5) // (n + 5 * len(kept)) for t in kept}
+
+        p, q = share(counts[lang, source]), share(total[lang])
+        pairs = []
+        for a, other in groups:
+            if a == lang and other != source:
+                theirs = share(counts[lang, other])
+                pairs.append((other, sum(abs(p[t] - theirs[t]) for t in kept)))
+        terms = [(t, p[t] - q[t]) for t in kept if counts[lang, source][t] and p[t] > q[t]]
+        for part, items, most in (("pair", pairs, None), ("term", terms, first)):
+            items.sort(key=lambda x: (-x[1], x[0].encode()))
+            found += [(lang, source, part, item, value, rank) for rank, (item, value) in enumerate(items[:most], 1)]
+    return sorted(found)
+
+
+def divergence_rows(chance, count):
+    return [(chance.choice(["en", "de", None, "", "xx"]), chance.choice(["s1", "s2", "s3", None, "é"]),
+             chance.choice([None, "", "12 3", " ".join(chance.choices(WORDS, k=chance.randint(1, 30))) + "!x1Y"])) for _ in range(count)]
+
+
+@pytest.mark.parametrize("min_docs, first", [(1, 3), (4, 2), (6, 50), (1000, 5)])
+def test_divergence_equals_brute_force(spark, monkeypatch, min_docs, first):
+    monkeypatch.setattr(divergence, "BLOCK_CELLS", 6)
+    rows = divergence_rows(random.Random(min_docs), 120) + [("lone", "only", "alpha " * 50), ("lone", "only", "alpha")]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, source string, text string, count int, term string")
+    found = divergence.source_divergence(table.repartition(5), min_docs=min_docs, first=first)
+    assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(map(tuple, found.collect())) == brute_divergence(rows, min_docs, first)
+    assert divergence.source_divergence(table.limit(0)).collect() == []
+
+
+def test_blocks_of_the_vocabulary_add_up(spark):
+    rows = divergence_rows(random.Random(3), 60)
+    table = spark.createDataFrame(rows, "lang string, source string, text string")
+    counts = divergence.term_counts(table, held=5)
+    whole = divergence.term_counts(table)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_skyband_holds_the_first_ones():
+    chance = np.random.default_rng(4)
+    for k in (1, 3, 10):
+        for size in (0, 1, 5, 400):
+            here, overall = chance.integers(1, 12, size), chance.integers(1, 30, size)
+            terms = [f"t{i:04}" for i in chance.permutation(size)]
+            kept = set(divergence.skyband(here, overall, terms, k))
+            for i in range(size):
+                better = [j for j in range(size) if here[j] >= here[i] and overall[j] <= overall[i] and terms[j] < terms[i]]
+                assert (len(better) < k) == (i in kept)
+
+
+def test_partitions_merge_to_the_skyband_of_all(monkeypatch):
+    monkeypatch.setattr(divergence, "CUT_AT", 16)
+    chance = np.random.default_rng(9)
+    rows = pa.table({"lang": ["a"] * 600, "source": ["b"] * 600, "term": [f"t{i}" for i in chance.permutation(600)],
+                     "count": chance.integers(1, 40, 600), "lang_count": chance.integers(1, 60, 600)})
+    for held in (10, 10_000):
+        bands = [pa.Table.from_batches(list(divergence._partition_bands(4, held)(iter(rows.slice(at, 200).to_batches(max_chunksize=37)))))
+                 for at in (0, 200, 400)]
+        merged = divergence._banded(4)(pa.concat_tables(bands))
+        assert sorted(merged.column("term").to_pylist()) == sorted(divergence._banded(4)(rows).column("term").to_pylist())
+
+
+# -- filter audit ------------------------------------------------------------------------------------
+
+
+def brute_audit(rows, labels):
+    """Every order, applied to every document, filter by filter."""
+    firsts, good, toxic = {}, {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
+    for doc, _, text in rows:
+        if doc is not None:
+            firsts[text or ""] = min(doc, firsts.get(text or "", doc))
+    parts = defaultdict(list)
+    for doc, lang, text in rows:
+        text = text or ""
+        words = text.replace(" ", "_").replace("\x1c", "_").split()
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words),
+                 "C": 100 * sum("A" <= c <= "Z" for c in text) > 3 * len(text), "D": any(c in "#$%&*|" for c in text),
+                 "E": doc is not None and doc > firsts[text]}
+        parts[lang or ""].append((doc, {f for f, failed in fails.items() if failed}))
+    found = []
+    for part, members in parts.items():
+        sums = Counter()
+        steps = {}
+        for order in permutations("ABCDE"):
+            left = list(members)
+            for step, f in enumerate(order, 1):
+                gone = [m for m in left if f in m[1]]
+                left = [m for m in left if f not in m[1]]
+                sums[f] += len(gone)
+                steps["".join(order), step] = (
+                    f, len(left), len(gone), sum(f in m[1] for m in members) - len(gone), sum(m[1] == {f} for m in members),
+                    sum(m[0] in good for m in gone), sum(m[0] in toxic for m in gone))
+        found += [(part, order, step, *rest, sums[f]) for (order, step), (f, *rest) in steps.items()]
+    return sorted(found)
+
+
+def audit_rows(chance, count):
+    def text():
+        kind = chance.randrange(6)
+        if kind == 0:
+            return chance.choice([None, "", "  ", "same #text", "same #text", "UP"])
+        words = [f"w{chance.randrange(chance.choice([20, 2000]))}" for _ in range(chance.choice([3, 199, 200, 260]))]
+        if kind == 1:
+            words.append(chance.choice("#$%&*|"))
+        return chance.choice([" ", "\n", "\x0b"]).join(words[:-1] + ["ABC" * chance.randrange(40) + words[-1]])
+
+    texts = [text() for _ in range(count)]
+    return [(chance.choice([i, None]) if chance.random() < 0.1 else i, chance.choice(["en", "de", None, ""]), chance.choice(texts)) for i in range(count)]
+
+
+def test_filter_audit_equals_brute_force(spark):
+    chance = random.Random(6)
+    rows = audit_rows(chance, 260) + [(3, "en", "w " * 60_000), (3, "en", "w " * 60_000)]
+    labels = [(chance.randrange(300), chance.choice([0, 1, None]), chance.choice([0, 1])) for _ in range(200)] + [(None, 1, 1)]
+    table = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, lang string, text string, failed int, good string")
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = filter_audit.filter_audit(table.repartition(3), said)
+    assert sorted(map(tuple, found.collect())) == brute_audit(rows, labels)
+    assert filter_audit.filter_audit(table.limit(0), said).collect() == []
+    none = filter_audit.filter_audit(table, said.limit(0)).agg({"good_lost": "sum", "toxic_lost": "sum"}).first()
+    assert tuple(none) == (0, 0)
+
+
+def test_least_squares_gives_shapley_values():
+    chance = random.Random(2)
+    for n in (1, 2, 3, 5):
+        removed = [0] + [chance.randrange(100) for _ in range((1 << n) - 1)]
+        want = [Fraction(0)] * n
+        orders = list(permutations(range(n)))
+        for order in orders:
+            before = 0
+            for i in order:
+                want[i] += Fraction(removed[before | 1 << i] - removed[before], len(orders))
+                before |= 1 << i
+        assert filter_audit.shapley_values(removed) == want
