@@ -11,10 +11,10 @@ from gridloom.plans.workspace import Workspace, prepare_session, run_script
 
 
 def _sql(text: str, *names: str):
+    """A statement as a workspace's users write it, over the given tables."""
     def query(spark, sf):
-        prepare_session(spark)
         show_tables(spark, sf, *names)
-        return spark.sql(text)
+        return Workspace(spark, scratch_dir(spark, "workspace")).sql(text)
     return query
 
 
@@ -115,6 +115,36 @@ _GLOB = """SELECT p_partkey, p_name FROM part WHERE p_name GLOB '[a-r]* ?o*' AND
 _LIKE = """SELECT p_partkey, p_name LIKE 'COLD%' AS cold, p_type NOT LIKE '%ECO_omy' AS other FROM part WHERE p_brand LIKE 'BRAND#%'"""
 _TIME = "SELECT event_id, TIME(ts) AS time_of_day, strftime('%J', ts) = CAST(julianday(ts) AS TEXT) AS same_day FROM events"
 
+_NAMES = """SELECT "o"."o_orderstatus" AS "order ""by"" status", [c_mktsegment], {building} AS building, {said} AS said,
+    count("o_orderkey") AS "count of [o]" FROM "orders" AS "o" JOIN {customer} ON "o"."o_custkey" = "c_custkey"
+    WHERE "o_orderstatus" <> {p} AND {nothing} IS NOT [o_orderpriority] GROUP BY [o].[o_orderstatus], "c_mktsegment" """
+_BACKSLASH = r"""SELECT p_partkey, length('a\nb') AS four, p_name || '\' AS tail, replace(p_name, ' ', '\\') AS doubled,
+    instr(p_name || '\t', '\') AS place, '\' || p_brand || '''\''' AS quoted, replace(p_name, ' ', '\') {like} '%\B%' AS low
+    FROM part WHERE p_name <> 'it''s \'"""
+_LIKE_BRACKETS = r"""SELECT p_partkey, p_name {like} ('COLD%') AS cold, p_name {like} ('c' || '%') AS c, NOT p_type {like} (('%ECO_omy')) AS other,
+    CASE WHEN p_brand NOT {like} lower('BRAND#' || '1%') THEN p_type {like} '%' || 'BRASS' ELSE p_size = 1 END AS brass,
+    {call} AS called, p_name {like} 'a!_%' ESCAPE '!' AS escaped, count(*) OVER (PARTITION BY p_brand {like} ('brand#5_')) AS alike
+    FROM part WHERE p_type {like} ('%' || 'b' || 'r%') OR (p_name {like} '%o%' AND p_size {like} ('1_'))"""
+_TOTAL_OVER = """SELECT l_orderkey, l_linenumber, l_partkey,
+    TOTAL(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS running,
+    total(l_quantity) FILTER (WHERE l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS returned,
+    TOTAL(CASE WHEN l_quantity > 100 THEN 1 END) OVER w AS nothing FROM lineitem WHERE l_orderkey < 4000 WINDOW w AS (PARTITION BY l_linenumber)"""
+_CONCAT_ORDERED = r"""SELECT l_orderkey, GROUP_CONCAT(l_partkey ORDER BY l_quantity DESC, l_partkey, l_suppkey) AS by_size,
+    GROUP_CONCAT(l_returnflag || l_partkey, '\' ORDER BY l_partkey DESC, l_returnflag) FILTER (WHERE l_linestatus = 'F') AS shipped,
+    GROUP_CONCAT(DISTINCT l_returnflag ORDER BY l_returnflag DESC) AS flags, TOTAL(DISTINCT l_linenumber) AS numbers,
+    total(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS returned, GROUP_CONCAT(DISTINCT l_linenumber) FILTER (WHERE l_quantity > 25) AS large
+    FROM lineitem GROUP BY l_orderkey"""
+_CONCAT_OVER = """SELECT c_custkey, GROUP_CONCAT(c_custkey, '-') OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last,
+    GROUP_CONCAT(c_custkey) FILTER (WHERE c_acctbal < 0) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS owing FROM customer"""
+_DATE_MODIFIERS = """SELECT event_id, date(ts, '+1 month') AS month_later, datetime(ts, 'start of day', '-90 minutes') AS before,
+    date(ts, 'weekday 1') AS monday, datetime(event_id * 1000, 'unixepoch') AS counted, date(ts, '-' || (event_id % 40) || ' days') AS back,
+    strftime('%Y-%j', ts, '+1.5 days') AS third, time(ts, '-01:30') AS earlier, date('2024-02-29', '+1 year') AS no_leap,
+    date(ts, 'start of month', '+1 month', '-1 day') AS month_end, unixepoch(ts, 'start of year') AS year_start,
+    CAST(julianday(ts, 'start of day', '+12 hours') - julianday(ts, 'start of day') AS TEXT) AS half,
+    date(ts, 'rubbish') IS NULL AS nothing, date('2024-13-01') IS NULL AS no_date FROM events"""
+_CASTS = """SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 3) AS INTEGER) AS place, CAST(o_orderpriority AS REAL) AS real_place,
+    CAST('x' || o_orderstatus AS INTEGER) AS none, CAST(NULLIF(o_orderstatus, 'O') AS NUMERIC) AS open, CAST(o_orderkey AS TEXT) AS key_text FROM orders"""
+
 _SCRIPT = """-- big orders; and their buyers
 CREATE OR REPLACE TEMPORARY VIEW script_orders AS SELECT * FROM orders WHERE o_totalprice > 250000;
 SELECT count(*) AS ignored, ';' AS mark FROM script_orders; /* ; */
@@ -203,7 +233,7 @@ QUERIES = {
     "sql_ctas": sql_ctas,
     "sql_joins": _sql(_JOINS, "customer", "nation", "orders", "supplier"),
     "sql_right_join": _sql(_RIGHT_JOIN, "customer", "orders"),
-    "sql_predicates": _sql(_PREDICATES.format(like="ILIKE"), "orders", "customer"),
+    "sql_predicates": _sql(_PREDICATES.format(like="LIKE"), "orders", "customer"),
     "sql_glob": sql_glob,
     "sql_group_having": _sql(_GROUPS, "lineitem"),
     "sql_union": _sql(_UNIONS, "customer", "supplier", "nation"),
@@ -218,11 +248,20 @@ QUERIES = {
     "sql_total": _text(_TOTAL, "lineitem"),
     "sql_glob_text": _text(_GLOB, "part"),
     "sql_like_case": _text(_LIKE, "part"),
-    "sql_time": _text(_TIME.replace("TEXT", "STRING"), "events"),
+    "sql_time": _text(_TIME, "events"),
+    "sql_quoted_names": _sql(_NAMES.format(
+        building='"c_mktsegment" = "BUILDING"', said='"no such word"', customer="[customer]", p='"P"', nothing='"nothing"'), "orders", "customer"),
+    "sql_backslash": _sql(_BACKSLASH.format(like="LIKE"), "part"),
+    "sql_like_brackets": _sql(_LIKE_BRACKETS.format(like="LIKE", call="like('%LINEN%', p_name)"), "part"),
+    "sql_total_over": _sql(_TOTAL_OVER, "lineitem"),
+    "sql_group_concat_ordered": _sql(_CONCAT_ORDERED, "lineitem"),
+    "sql_group_concat_over": _sql(_CONCAT_OVER, "customer"),
+    "sql_date_modifiers": _sql(_DATE_MODIFIERS, "events"),
+    "sql_casts": _sql(_CASTS, "orders"),
     "fn_agg": fn_agg,
     "fn_group_concat": fn_group_concat,
     "fn_string": _sql(_STRINGS, "part"),
-    "fn_math_null": _sql(_NULLS.format(text="STRING", safe="try_cast", kind="typeof(c_acctbal)"), "customer"),
+    "fn_math_null": _sql(_NULLS.format(text="TEXT", safe="try_cast", kind="typeof(c_acctbal)"), "customer"),
     "fn_date": fn_date,
 }
 
@@ -254,6 +293,37 @@ ORACLES = {
     "sql_glob_text": """SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-r].* .o.*$') AND NOT starts_with(p_brand, 'Brand#1')""",
     "sql_like_case": """SELECT p_partkey, p_name ILIKE 'COLD%' AS cold, p_type NOT ILIKE '%ECO_omy' AS other FROM part WHERE p_brand ILIKE 'BRAND#%'""",
     "sql_time": "SELECT event_id, strftime(ts, '%H:%M:%S') AS time_of_day, true AS same_day FROM events",
+    "sql_quoted_names": _NAMES.replace("[c_mktsegment]", '"c_mktsegment"').replace("[o].[o_orderstatus]", "o.o_orderstatus").replace(
+        "IS NOT [o_orderpriority]", "IS DISTINCT FROM o_orderpriority").format(
+        building="c_mktsegment = 'BUILDING'", said="'no such word'", customer="customer", p="'P'", nothing="'nothing'"),
+    "sql_backslash": _BACKSLASH.format(like="ILIKE"),
+    "sql_like_brackets": _LIKE_BRACKETS.format(like="ILIKE", call="p_name ILIKE '%LINEN%'").replace("p_size ILIKE", "CAST(p_size AS VARCHAR) ILIKE"),
+    "sql_total_over": """SELECT l_orderkey, l_linenumber, l_partkey,
+        CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS DOUBLE) AS running,
+        CAST(coalesce(sum(l_quantity) FILTER (l_returnflag = 'R') OVER (PARTITION BY l_orderkey), 0) AS DOUBLE) AS returned,
+        CAST(0 AS DOUBLE) AS nothing FROM lineitem WHERE l_orderkey < 4000""",
+    "sql_group_concat_ordered": r"""SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_quantity DESC, l_partkey, l_suppkey) AS by_size,
+        string_agg(l_returnflag || l_partkey, '\' ORDER BY l_partkey DESC, l_returnflag) FILTER (l_linestatus = 'F') AS shipped,
+        array_to_string(list_reverse_sort(list(DISTINCT l_returnflag)), ',') AS flags,
+        CAST(sum(DISTINCT l_linenumber) AS DOUBLE) AS numbers,
+        CAST(coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS returned,
+        nullif(array_to_string(list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (l_quantity > 25)), ','), '') AS large
+        FROM lineitem GROUP BY l_orderkey""",
+    "sql_group_concat_over": """SELECT c_custkey,
+        string_agg(CAST(c_custkey AS VARCHAR), '-') OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last,
+        string_agg(CASE WHEN c_acctbal < 0 THEN CAST(c_custkey AS VARCHAR) END, ',') OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS owing FROM customer""",
+    "sql_date_modifiers": """SELECT event_id,
+        strftime(date_trunc('month', ts) + INTERVAL 1 MONTH + (day(ts) - 1) * INTERVAL 1 DAY, '%Y-%m-%d') AS month_later,
+        strftime(date_trunc('day', ts) - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS before,
+        strftime(ts + ((8 - dayofweek(ts)) % 7) * INTERVAL 1 DAY, '%Y-%m-%d') AS monday,
+        strftime(make_timestamp(event_id * 1000000000), '%Y-%m-%d %H:%M:%S') AS counted,
+        strftime(ts - (event_id % 40) * INTERVAL 1 DAY, '%Y-%m-%d') AS back, strftime(ts + INTERVAL 36 HOUR, '%Y-%j') AS third,
+        strftime(ts - INTERVAL 90 MINUTE, '%H:%M:%S') AS earlier, '2025-03-01' AS no_leap,
+        strftime(last_day(ts), '%Y-%m-%d') AS month_end, CAST(epoch(date_trunc('year', ts)) AS BIGINT) AS year_start,
+        '0.5' AS half, true AS nothing, true AS no_date FROM events""",
+    "sql_casts": """SELECT o_orderkey, CAST(coalesce(try_cast(regexp_extract(o_orderpriority, '^[0-9]+') AS BIGINT), 0) AS BIGINT) AS place,
+        coalesce(try_cast(regexp_extract(o_orderpriority, '^[0-9]+') AS DOUBLE), 0) AS real_place, CAST(0 AS BIGINT) AS none,
+        CASE WHEN o_orderstatus <> 'O' THEN CAST(0 AS DOUBLE) END AS open, CAST(o_orderkey AS VARCHAR) AS key_text FROM orders""",
     "workspace_sql": """SELECT p_brand, count(*) AS part_count, max(p_size) AS largest FROM part GROUP BY p_brand""",
     "fn_agg": """SELECT l_returnflag, l_linestatus, count(*) AS row_count, sum(l_quantity) AS quantity_sum,
         avg(l_quantity) AS quantity_avg, min(l_extendedprice) AS price_min, max(l_extendedprice) AS price_max,

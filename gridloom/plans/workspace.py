@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.cluster import hadoop_path, list_paths, path_exists, quoted, scratch_dir
 from gridloom.functions.sqlite import register_functions
-from gridloom.plans.sqltext import spark_text, statements, tokens
+from gridloom.plans.sqltext import analyzed, statements, tokens
 
 
 def prepare_session(spark: SparkSession) -> None:
@@ -47,7 +47,7 @@ class Workspace:
 
     def sql(self, statement: str) -> DataFrame:
         """One statement; the result is lazy and complete."""
-        return self._within(lambda: self.spark.sql(spark_text(statement)))
+        return self._within(lambda: analyzed(self.spark, statement))
 
     def script(self, text: str | Sequence[str]) -> DataFrame:
         return self._within(lambda: run_script(self.spark, text))
@@ -85,7 +85,7 @@ def run_script(spark: SparkSession, script: str | Sequence[str]) -> DataFrame:
             folder = scratch_dir(spark, "result")
             result.write.parquet(folder)
             result, fixed = spark.read.schema(result.schema).parquet(folder), True
-        answer = spark.sql(spark_text(statement))
+        answer = analyzed(spark, statement)
         if answer.columns:
             result, fixed = answer, False
     if result is None:
