@@ -14,6 +14,7 @@ from gridloom.sinks.export import export_csv
 from gridloom.sinks.materialize import compact
 from gridloom.sources.archive import archive_lines, archive_records, read_archives
 from gridloom.sources.delimited import Dialect, parse_records
+from gridloom.sources.dialect import EMPTY_FILE
 from gridloom.streaming.watch import watch_any, watch_folder, watched, watched_layouts
 
 
@@ -136,6 +137,49 @@ def watch_bad_file(spark, sf):
     return result
 
 
+def compact_watched_headers(spark, sf):
+    """A watched table is compacted between waves of files, of which some name their columns otherwise."""
+    inbox, tables, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "table"), scratch_dir(spark, "check")
+    for wave, header in enumerate(("o_orderkey;o_custkey;o_orderstatus", "nr;kunde;stand", _QUOTED_HEAD, "nr;kunde;stand")):
+        _move_in(spark, _order_lines(spark, sf, header, f"o_orderkey % 4 = {wave}"), inbox, f"wave{wave}")
+        watch_folder(spark, inbox, tables, checkpoint, _ORDERS, once=True).awaitTermination()
+        compact(spark, tables)
+    return watched(spark, tables).accepted()
+
+
+def watch_many_empty(spark, sf):
+    """Empty files beside good ones, met by several batches: each is noted once, and stays so when compacted."""
+    inbox, tables, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "table"), scratch_dir(spark, "check")
+    for wave in range(3):
+        _move_in(spark, _order_lines(spark, sf, "o_orderkey;o_custkey;o_orderstatus", f"o_orderkey % 3 = {wave}"), inbox, f"wave{wave}")
+        for number in range(5):
+            _put(spark, f"{inbox}/empty{wave}-{number}.csv", b"")
+        watch_folder(spark, inbox, tables, checkpoint, _ORDERS, once=True).awaitTermination()
+    compact(spark, tables)
+    staged = watched(spark, tables)
+    return staged.accepted().groupBy("o_orderstatus").agg(F.count("*").alias("row_count")).unionByName(
+        staged.rejected().groupBy(F.col("message").alias("o_orderstatus")).agg(F.count("*").alias("row_count")))
+
+
+def stream_changed_file(spark, sf):
+    """A file that was taken is written anew, before new files come: its new rows replace the old ones."""
+    inbox, tables, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "table"), scratch_dir(spark, "check")
+    head = "o_orderkey;o_custkey;o_orderstatus"
+    for name, condition in (("early", "o_orderkey % 2 = 0"), ("wrong", "o_orderkey % 5 = 0")):
+        _move_in(spark, _order_lines(spark, sf, head, condition), inbox, name)
+    watch_folder(spark, inbox, tables, checkpoint, _ORDERS, once=True).awaitTermination()
+    compact(spark, tables)
+    filesystem, _ = hadoop_path(spark, inbox)
+    for path in list_paths(spark, inbox):
+        if "/wrong-" in path:
+            filesystem.delete(hadoop_path(spark, path)[1], False)
+            _put(spark, path, head.encode() + b"\n")
+    late = _order_lines(spark, sf, head, "o_orderkey % 2 = 1")
+    _move_in(spark, late, inbox, "late")
+    watch_folder(spark, inbox, tables, checkpoint, _ORDERS, once=True).awaitTermination()
+    return watched(spark, tables).accepted()
+
+
 def compact_partitioned(spark, sf):
     """Parts of a table stay apart when it is compacted, so one more part can be added."""
     folder = scratch_dir(spark, "parts")
@@ -192,6 +236,9 @@ QUERIES = {
     "stream_header_quoted": stream_header_quoted,
     "watch_bad_file": watch_bad_file,
     "compact_partitioned": compact_partitioned,
+    "compact_watched_headers": compact_watched_headers,
+    "watch_many_empty": watch_many_empty,
+    "stream_changed_file": stream_changed_file,
     "csv_utf16": csv_utf16,
     "zip_files": zip_files,
     "preview_open_quote": preview_open_quote,
@@ -214,6 +261,10 @@ ORACLES = {
     "watch_bad_file": f"""SELECT 'named' AS way, 'accepted' AS kind, count(*) AS row_count FROM events WHERE event_id % {BROKEN_EVERY} <> 0
         UNION ALL SELECT 'any', 'accepted', count(*) FROM events
         UNION ALL SELECT 'named', 'problem', 2 UNION ALL SELECT 'any', 'problem', 2""",
+    "compact_watched_headers": _ORDER_TEXT,
+    "watch_many_empty": f"""SELECT o_orderstatus, count(*) AS row_count FROM orders GROUP BY o_orderstatus
+        UNION ALL SELECT '{EMPTY_FILE}', 15""",
+    "stream_changed_file": _ORDER_TEXT,
     "compact_partitioned": f"""SELECT event_type, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (
         SELECT event_type, event_id FROM events UNION ALL SELECT 'again', event_id FROM events WHERE event_id % {BROKEN_EVERY} = 0)
         GROUP BY event_type""",

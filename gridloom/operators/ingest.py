@@ -20,15 +20,17 @@ from gridloom.sources.delimited import (
     BLOCK, ERROR, FILE_PROBLEM, HEADER_LINE, LEAD, PREAMBLE_LINE, RAW, ROW, SOURCE,
     Dialect, FileIndex, ends_inside_quotes, literal_path, parse_records, read_lines, read_records, to_records,
 )
+from gridloom.operators.versions import PART, Version, current, generation_of, parts_of
 from gridloom.sources.dialect import EMPTY_FILE, detect, dialect_of, files_of, layouts, profile
 from gridloom.sources.naming import column_names, identifier
 
 # Column names that are made from headers never start with an underscore, so these are free.
-PART = "_batch"
-INTERNAL = (SOURCE, BLOCK, ROW, RAW, LEAD, ERROR, PART)
+AT = "_at"
+INTERNAL = (SOURCE, BLOCK, ROW, RAW, LEAD, ERROR, PART, AT)
 
-# A side folder of staged rows: leading records that do not read like one. Spark's readers pass over it.
-PLACED = "_leads"
+# Side folders of staged rows, which Spark's readers pass over: leading records that do not read like one,
+# and files whose newer rows replace older ones.
+PLACED, SUPERSEDED = "_leads", "_superseded"
 
 # The table of files that could not be taken, beside the tables of layouts.
 PROBLEMS = "problems"
@@ -116,18 +118,42 @@ def typed_rows(
 class Staged:
     """Ingested records in a folder: the good rows, the rejected ones and the manifest.
 
-    Which records lead a file was settled when they were staged: data has lead 0.
+    Which records lead a file was settled when they were staged: data has lead 0. ``placed`` lists further
+    leads; ``newest`` has, for each file that was taken again, the part whose rows count.
     """
 
-    def __init__(self, rows: DataFrame, placed: DataFrame | None = None):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, placed: DataFrame | None = None, newest: DataFrame | None = None):
+        self.rows = rows if newest is None else rows.join(newest, SOURCE, "left").where(
+            F.col("_newest").isNull() | (F.col("_newest") == F.col(PART))).drop("_newest")
         self.placed = placed
         self.columns = [c for c in rows.columns if c not in INTERNAL]
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> "Staged":
-        side = f"{folder.rstrip('/')}/{PLACED}"
-        return cls(spark.read.parquet(folder), spark.read.parquet(side) if path_exists(spark, side) else None)
+    def open(cls, spark: SparkSession, folder: str, version: Version | None = None) -> "Staged":
+        """The rows of a folder; of a table with versions, those of the one that holds or is given."""
+        folder = folder.rstrip("/")
+        version = version or current(spark, folder)
+        if version is None:
+            side = f"{folder}/{PLACED}"
+            return cls(_timed(spark.read.parquet(folder)), spark.read.parquet(side) if path_exists(spark, side) else None)
+        parts, whole = parts_of(spark, folder, version), generation_of(spark, folder, version)
+        found = [rows for rows in (whole, _timed(parts) if parts is not None else None) if rows is not None]
+        if not found:
+            raise ValueError(f"'{folder}' has no rows yet.")
+        rows = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+        placed, again = parts_of(spark, folder, version, PLACED), parts_of(spark, folder, version, SUPERSEDED)
+        if again is not None:
+            order = F.array_position(F.array(*map(F.lit, version.parts)), F.col(PART))
+            again = again.groupBy(SOURCE).agg(F.max_by(PART, order).alias("_newest"))
+        return cls(rows, None if placed is None else placed.select(SOURCE, ROW), again)
+
+    def settled(self) -> DataFrame:
+        """All rows that count, with every lead marked in the row itself."""
+        if self.placed is None:
+            return self.rows
+        marked = self.rows.join(self.placed.withColumn("_out", F.lit(True)), [SOURCE, ROW], "left")
+        return marked.select(*[F.when(F.col("_out"), F.lit(HEADER_LINE)).otherwise(F.col(c)).cast("tinyint").alias(c) if c == LEAD
+                               else F.col(c) for c in self.rows.columns])
 
     def _body(self) -> DataFrame:
         """All records but the leading ones: a filter, unless a header had other names than were asked for."""
@@ -161,7 +187,7 @@ class Staged:
 
     def manifest(self) -> DataFrame:
         """Per file: rows taken, rows rejected, columns, time and what is wrong with it as a whole; newest first."""
-        flagged = self.rows.select(SOURCE, ROW, LEAD, ERROR, F.col("_metadata.file_modification_time").alias("_at"))
+        flagged = self.rows.select(SOURCE, ROW, LEAD, ERROR, AT)
         data, bad = F.col(LEAD) == 0, F.col(ERROR).isNotNull()
         if self.placed is not None:
             flagged = flagged.join(self.placed.withColumn("_out", F.lit(True)), [SOURCE, ROW], "left")
@@ -170,11 +196,16 @@ class Staged:
             F.count_if(data & ~bad).alias("row_count"),
             F.count_if(data & bad).alias("rejected_count"),
             F.first(F.array(*map(F.lit, self.columns))).alias("column_names"),
-            F.max("_at").alias("imported_at"),
+            F.max(AT).alias("imported_at"),
             F.max(F.when(F.col(LEAD) == FILE_PROBLEM, F.col(ERROR))).alias("problem"),
         ).orderBy(F.desc("imported_at"), "source_file")
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    """Staged rows with the time at which they were written."""
+    return rows.withColumn(AT, F.col("_metadata.file_modification_time"))
+
+
 def stage(rows: DataFrame, folder: str, dialect: Dialect, files: FileIndex | None = None, side: str | None = None) -> None:
     """Write typed rows and settle which records lead their file, by their place.
 
@@ -267,42 +298,41 @@ def ingest(
     return Staged.open(spark, folder)
 
 
-def ingest_by_layout(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    folder: str,
-    trim: bool = True,
-    glob: str | None = None,
-    part: str | None = None,
-) -> dict[str, Staged]:
-    """Detect every file's dialect and read the files of each layout into a folder of their own.
+def stage_layouts(
+    spark: SparkSession, paths: str | Sequence[str], folder: str, trim: bool = True, glob: str | None = None, part: str = "all"
+) -> dict[str, list[str]]:
+    """Detect every file's dialect and stage the files of each layout below a folder of their own.
 
     A layout is known by its column names and a digest of them, so that equal files that come later
-    land in the same folder; ``part`` names their place in it. Files that hold no records, or cannot be
-    read, are listed in the table ``problems``.
+    land in the same folder. Files that hold no records, or cannot be read, are listed in the table
+    ``problems``. Returns the parts of each table: one for each dialect that its files have.
     """
     profiled = profile(spark, paths, trim=trim, glob=glob)
-    taken: dict[str, str] = {}
+    parts: dict[str, list[str]] = {}
     for row in layouts(profiled).collect():
         names = list(row.column_names)
         name = f"{identifier('_'.join(names))}_{md5(repr(names).encode()).hexdigest()[:12]}"
         dialect = dialect_of(row)
         files = files_of(profiled, row)
         rows = parse_records(read_records(spark, [literal_path(p) for p in files], dialect), dialect)
-        # A table has a part for each dialect that its files have.
-        own = f"{PART}={part if part is not None else 'all'}-{list(taken.values()).count(name)}"
-        place = f"{folder}/{name}/{own}"
-        if part is None and path_exists(spark, place):
-            raise ValueError(f"'{place}' exists already.")
-        stage(typed_rows(rows, dialect, trim=trim), place, dialect, side=f"{folder}/{name}/{PLACED}/{own}")
-        taken[place] = name
+        parts.setdefault(name, []).append(f"{part}-{len(parts.get(name, []))}")
+        own = f"{PART}={parts[name][-1]}"
+        if part == "all" and path_exists(spark, f"{folder}/{name}/{own}"):
+            raise ValueError(f"'{folder}/{name}/{own}' exists already.")
+        stage(typed_rows(rows, dialect, trim=trim), f"{folder}/{name}/{own}", dialect, side=f"{folder}/{name}/{PLACED}/{own}")
     bad = profiled.where("problem IS NOT NULL").select(F.col("source_file").alias(SOURCE), "problem")
-    place = f"{folder}/{PROBLEMS}/{PART}={part if part is not None else 'all'}"
     if bad.limit(1).collect():
         empty = spark.createDataFrame([], f"{SOURCE} string, {BLOCK} long, {ROW} long, {LEAD} tinyint, {ERROR} string, {RAW} string")
-        problem_rows(bad, empty).write.mode("overwrite").parquet(place)
-        taken[place] = PROBLEMS
-    return {name: Staged.open(spark, f"{folder}/{name}") for name in dict.fromkeys(taken.values())}
+        problem_rows(bad, empty).write.mode("overwrite").parquet(f"{folder}/{PROBLEMS}/{PART}={part}")
+        parts[PROBLEMS] = [part]
+    return parts
+
+
+def ingest_by_layout(
+    spark: SparkSession, paths: str | Sequence[str], folder: str, trim: bool = True, glob: str | None = None
+) -> dict[str, Staged]:
+    """Files of mixed dialects, each layout in a table of its own, and the ``problems``."""
+    return {name: Staged.open(spark, f"{folder}/{name}") for name in stage_layouts(spark, paths, folder, trim, glob)}
 
 
 def promote(staged: Staged, mappings: Sequence[ColumnMapping] | None = None) -> DataFrame:

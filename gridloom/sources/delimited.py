@@ -98,9 +98,12 @@ class FileIndex:
         return len(self._listed)
 
     def rows(self) -> DataFrame:
-        # the metadata column spells locations without a host with one slash
-        return self.spark.createDataFrame(
-            [(re.sub(r"^(\w+):///", r"\1:/", path),) for path in self._listed], f"{SOURCE} string")
+        return self.spark.createDataFrame([(metadata_path(path),) for path in self._listed], f"{SOURCE} string")
+
+
+def metadata_path(location: str) -> str:
+    """A file's location as the ``_metadata`` column spells it: without a host, with one slash."""
+    return re.sub(r"^(\w+):///", r"\1:/", location)
 
 
 def literal_path(location: str) -> str:
