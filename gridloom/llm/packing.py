@@ -11,6 +11,7 @@ Sizes and ids take part in the search, not tokens. A shard's size is bounded by
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ OPEN_BELOW = 0.97
 """Sequences filled less than this are packed again in the next round."""
 MOST_TASKS = 20_000
 """Tasks that pack shards, at most."""
+LONG_RUN = 1 << 16
+"""Runs of white space from this length on are cut out before the tokenizer's pattern, whose matcher steps back
+over a run, a stack frame for each character."""
+# white space as the tokenizer's pattern has it, which is not that of Python's \s
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def default_tokenizer() -> str:
@@ -71,7 +77,16 @@ class _Encoder:
 
                 self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        if len(text) < LONG_RUN:
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        found, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            # all of a run but its last character is one piece of the pattern; at the end of a text, the whole run
+            start, stop = run.start(), run.end() if run.end() == len(text) else run.end() - 1
+            found += [self.fast.encode_ordinary(text[at:start]), self.fast._encode_single_piece(text[start:stop])]
+            at = stop
+        found.append(self.fast.encode_ordinary(text[at:]))
+        return np.concatenate([np.array(ids, dtype="<u4") for ids in found])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None,

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm import decontaminate, html_text, packing, pii, simhash
+from gridloom.llm import decontaminate, html_text, packing, pii, quality, simhash
 
 
 def dense_prints(chance):
@@ -107,3 +107,61 @@ def test_the_search_ends_when_nothing_improves():
     count = 26_800
     found = packing.local_search([[i] for i in range(count)], np.ones(count, dtype=np.int64), 4)
     assert len(found) == count // 4 and sorted(i for b in found for i in b) == list(range(count))
+
+
+@pytest.mark.parametrize("text", [
+    " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\t" * 1_000_000 + " x", "x" + " " * 5_000_000 + "\n\n y" + "　" * 200_000 + "\x1c" * 100_000 + "z",
+    "\r\n" * 100_000 + "'s" + "\xa0" * 70_000], ids=["blanks", "line ends", "tabs", "five million", "mixed"])
+def test_long_runs_of_white_space_have_the_ids_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.array_equal(packing._Encoder(path)(text), np.array(want, dtype="<u4"))
+
+
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_runs_are_cut_where_the_pattern_cuts(monkeypatch, run):
+    monkeypatch.setattr(packing, "LONG_RUN", run)
+    monkeypatch.setattr(packing, "_LONG_RUN", re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % run))
+    encode = packing._Encoder(packing.default_tokenizer())
+    chance = np.random.default_rng(run)
+    for _ in range(300):
+        text = "".join(chance.choice(list(" \n\t\xa0 \x1cab1é'!"), size=chance.integers(1, 40), p=[.2, .15, .1, .05, .05, .05, .1, .1, .05, .05, .05, .05]))
+        assert encode(text).tolist() == encode.fast.encode_ordinary(text), repr(text)
+
+
+def test_a_white_page_is_packed(spark):
+    from test_llm_texts import check_packing
+
+    rows = [(1, " " * 1_000_000), (2, "words " * 50)]
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), dict(rows))
+
+
+def test_shingles_that_share_a_hash_are_told_apart(monkeypatch):
+    # eight hashes for everything: only the words decide
+    monkeypatch.setattr(decontaminate, "_mixed", lambda columns: (sum(c.astype(np.int64) * 31 for c in columns) % 8).astype(np.uint64))
+    chance = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    for _ in range(20):
+        items = [(i, " ".join(chance.choice(words, size=chance.integers(1, 14)))) for i in range(8)]
+        text = " ".join([*chance.choice(words, size=30), items[0][1], "unknown", items[1][1].upper()])
+        have = text.lower().split()
+        want = []
+        for item, own in items:
+            split = own.split()
+            width = min(5, len(split))
+            mine = {tuple(split[i:i + width]) for i in range(len(split) - width + 1)}
+            theirs = {tuple(have[i:i + width]) for i in range(len(have) - width + 1)}
+            if len(mine & theirs) * 5 >= len(mine) * 4:
+                want.append((item, len(mine & theirs) / len(mine)))
+        assert decontaminate.ItemIndex(items, 5, decontaminate.Fraction(4, 5)).found(text) == want
+
+
+def test_labels_are_written_to_files_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABEL_FILES", 2)
+    monkeypatch.setattr(quality, "ROWS_OF_A_FILE", 10)
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1)) for i in range(90)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 7 > 3) AS quality")
+    held = quality._labelled(quality.with_statistics(docs, "doc_id"), labels)
+    assert len(held.inputFiles()) == 9
