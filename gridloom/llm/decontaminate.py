@@ -30,8 +30,8 @@ from gridloom.llm.common import free_name, saved, whole_text
 
 SHINGLE_WORDS = 5
 MIN_SHARE = Fraction(4, 5)
-BLOCK_CHARS = 32_000_000
-"""Characters of items that are broadcast at a time."""
+BLOCK_CHARS = 8_000_000
+"""Characters of items that are broadcast at a time; the index of a block takes about ten bytes for each."""
 _WORD = re.compile(r"[^\W_]+")
 _FOUND = "array<struct<item_id: bigint, containment: double>>"
 
@@ -41,71 +41,98 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingles_of(words: list[str], width: int) -> set[tuple[str, ...]]:
-    return set(zip(*(words[i:] for i in range(width))))
+def _mixed(columns) -> np.ndarray:
+    """A hash for each row of word numbers, given by columns."""
+    mixed = np.zeros(len(columns[0]), dtype=np.uint64)
+    for part in columns:
+        mixed = (mixed ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
 
-def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of ``width`` word ids; id 0 stands for words that no item has."""
+def _hashes(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words that are all known, and which runs those are; number 0 stands for other words."""
     count = len(ids) - width + 1
     if count <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    mixed = np.zeros(count, dtype=np.uint64)
-    known = np.ones(count, dtype=bool)
-    for i in range(width):
-        part = ids[i:i + count]
-        known &= part > 0
-        mixed = (mixed ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed[known]
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    columns = [ids[i:i + count] for i in range(width)]
+    known = np.logical_and.reduce([c > 0 for c in columns])
+    return _mixed([c[known] for c in columns]), known
+
+
+class _Runs:
+    """The runs of ``width`` words of a text that an index knows, by hash."""
+
+    def __init__(self, ids: np.ndarray, width: int):
+        hashes, known = _hashes(ids, width)
+        self.ids, self.width = ids, width
+        self.places = np.flatnonzero(known)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], self.places[order]
+        self.distinct = np.unique(self.hashes)
+
+    def count(self, hashes: np.ndarray, shingles: np.ndarray) -> int:
+        """How many of the shingles (rows of word ids, with their hashes) occur, compared word by word."""
+        left = np.searchsorted(self.hashes, hashes, "left")
+        right = np.searchsorted(self.hashes, hashes, "right")
+        there = np.flatnonzero(left < right)
+        steps = np.arange(self.width)
+        same = (self.ids[self.places[left[there]][:, None] + steps] == shingles[there]).all(axis=1)
+        found = int(same.sum())
+        for i in there[~same].tolist():
+            # runs of other words that share the hash
+            others = self.places[left[i] + 1:right[i]][:, None] + steps
+            found += bool((self.ids[others] == shingles[i]).all(axis=1).any())
+        return found
 
 
 class ItemIndex:
-    """Sketches of a block of items, by shingle width and size partition, and what verifies them."""
+    """Sketches of a block of items, by shingle width and size partition, and what verifies them.
+
+    Shingles are rows of word numbers in arrays, four bytes a word, with a hash of eight bytes each.
+    """
 
     def __init__(self, items: list[tuple[int, str]], shingle_words: int, min_share: Fraction):
         self.ids: dict[str, int] = {}
-        self.items: dict[int, tuple[int, int, set]] = {}  # place: item id, shingles needed, shingles
+        self.items: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}  # place: item id, shingles needed, hashes, shingles
         sketches: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
         for place, (item, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
             width = min(shingle_words, len(words))
-            shingles = shingles_of(words, width)
+            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], dtype=np.int32)
+            shingles = np.unique(np.lib.stride_tricks.sliding_window_view(ids, width), axis=0)
+            hashes = _mixed(shingles.T)
             needed = -(-len(shingles) * min_share.numerator // min_share.denominator)
-            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], dtype=np.int64)
-            self.items[place] = (item, needed, shingles)
-            smallest = np.unique(_hashes(ids, width))[:len(shingles) - needed + 1]
+            self.items[place] = (item, needed, hashes, shingles)
+            smallest = np.unique(hashes)[:len(shingles) - needed + 1]
             sketches.setdefault((width, len(shingles).bit_length()), []).append((smallest, place))
         self.partitions = []
         for (width, _), members in sorted(sketches.items(), key=lambda x: x[0]):
             hashes = np.concatenate([h for h, _ in members])
-            places = np.concatenate([np.full(len(h), place) for h, place in members])
+            places = np.concatenate([np.full(len(h), place, dtype=np.int32) for h, place in members])
             order = np.argsort(hashes, kind="stable")
             self.partitions.append((width, hashes[order], places[order]))
 
     def found(self, text: str) -> list[tuple[int, float]]:
         """(item id, containment) of every item that the text holds."""
         words = words_of(text)
-        ids = np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.int32, count=len(words))
         candidates: set[int] = set()
-        by_width: dict[int, np.ndarray] = {}
+        runs: dict[int, _Runs] = {}
         for width, hashes, places in self.partitions:
-            if width not in by_width:
-                by_width[width] = np.unique(_hashes(ids, width))
-            sketch = by_width[width]
+            if width not in runs:
+                runs[width] = _Runs(ids, width)
+            sketch = runs[width].distinct
             sketch = sketch[:np.searchsorted(sketch, hashes[-1], side="right")]
             left, right = np.searchsorted(hashes, sketch, "left"), np.searchsorted(hashes, sketch, "right")
             for a, b in zip(left[left < right].tolist(), right[left < right].tolist()):
                 candidates.update(places[a:b].tolist())
-        result, own = [], {}
+        result = []
         for place in candidates:
-            item, needed, shingles = self.items[place]
-            width = len(next(iter(shingles)))
-            if width not in own:
-                own[width] = shingles_of(words, width)
-            hits = len(shingles & own[width])
+            item, needed, hashes, shingles = self.items[place]
+            hits = runs[shingles.shape[1]].count(hashes, shingles)
             if hits >= needed:
                 result.append((item, hits / len(shingles)))
         return sorted(result)
