@@ -24,8 +24,9 @@ TREES = 24
 DEPTH = 3
 PENALTY = 0.0008
 SEED = 11
-LABEL_FILES = 32
-"""Files that the labelled statistics are written to; a row of them has under a hundred bytes."""
+LABEL_FILES, ROWS_OF_A_FILE = 32, 500_000
+"""Files that the labelled statistics are written to, at least, and labels that one more file is made for; a row
+has under a hundred bytes."""
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -163,7 +164,8 @@ def is_held_out(id_column: str = "doc_id") -> Column:
 def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     # the same rows in the same order whatever the input's files are, so that every fit finds the same rules
-    placed = stats.where(~is_held_out()).join(known, "doc_id").repartition(LABEL_FILES, "doc_id")
+    files = max(LABEL_FILES, -(-labels.count() // ROWS_OF_A_FILE))
+    placed = stats.where(~is_held_out()).join(known, "doc_id").repartition(files, "doc_id")
     return saved(placed.sortWithinPartitions(*placed.columns), "labelled")
 
 
