@@ -1,13 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A page is cut into leaf blocks: runs of text between tags that start or end a block. Each block has
-binary features of its ancestors (tags, words of class, id and role) and of its text (length, share of
-links, punctuation ...). The field scores block labels (main text or not) with a weight for each feature
+binary features of the elements around it (tags and words of class, id and role of the nearest ones, whether
+one is side matter) and of its text (length, share of links, punctuation ...). A name alone does not make
+an element side matter: what holds nearly all running text of a page is a wrapper, whatever it is called,
+and so is what holds the element that marks an article. The field scores block labels (main text or not) with a weight for each feature
 and for each pair of neighbouring labels; Viterbi finds the best labelling of a page.
 
 It is trained on labelled pages: a bounded sample of the given pages that mark their article up, so
 that every block has a known label, and the same blocks laid out anew in other ways that pages have,
-with side matter around them and without that mark-up, so that the weights do not rest on one layout.
+with side matter around them and without that mark-up, some within elements that are named like side matter,
+so that the weights do not rest on one layout.
 """
 
 from __future__ import annotations
@@ -62,32 +65,77 @@ _FOREIGN = frozenset(("svg", "math"))
 _ENDS_FOREIGN = _ENDS_P | frozenset(
     "b big body br center code dd dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 _HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
-_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+# items that end an earlier one, which those are, and for each kind the tags among which the innermost decides
+_PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+_NEAR = (frozenset("li ul ol menu".split()), frozenset("dt dd dl".split()), frozenset("tr table".split()), frozenset("td th tr table".split()))
+_SAME = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
 _LEFT_OPEN_END = re.compile(rf"</({'|'.join(sorted(_LEFT_OPEN))})(?![a-z0-9:-])", re.I)
 
 
+class Element:
+    """An open or closed element, linked to the one around it.
+
+    ``foreign``, ``choice``, ``paragraph`` and ``near`` are places in the stack of open elements: of the innermost
+    ones that later tags may close, found in the element around it, so that no tag looks through the stack.
+    """
+
+    __slots__ = ("tag", "names", "strong", "around", "foreign", "choice", "paragraph", "near", "prose", "marks", "marked", "beside", "wrapper")
+
+    def __init__(self, tag: str, names: tuple[str, ...], strong: bool, around: "Element | None", place: int, above: "Element | None"):
+        self.tag, self.names, self.strong, self.around = tag, names, strong, around
+        self.foreign = place if tag in _FOREIGN else -1 if above is None or tag in _HOLDS_HTML else above.foreign
+        self.choice = place if tag in _CHOICES else -1 if above is None else above.choice
+        self.paragraph = place if tag == "p" else -1 if above is None or tag in ("table", "button") else above.paragraph
+        self.near = [place if tag in group else -1 if above is None else above.near[i] for i, group in enumerate(_NEAR)]
+        # what the whole page says of it
+        self.prose = self.marks = 0
+        self.marked = self.beside = self.wrapper = False
+
+
 @dataclass
 class Block:
-    """A run of text with the elements around it: (tag, words of class, id and role), outermost first."""
+    """A run of text, and the innermost element around it that is not inline (none outside all)."""
 
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    within: Element | None
     linked: int
 
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1
+
+    @property
+    def prose(self) -> int:
+        """Words of a block that reads like running text."""
+        return self.words if self.words >= PROSE_WORDS and self.linked <= 0.3 * len(self.text) else 0
+
 
-def _names(rest: str) -> tuple[str, ...]:
+def _named(rest: str) -> tuple[tuple[str, ...], bool]:
+    """The words of class, id and role, and whether one of their names is wholly that of side matter."""
     found: list[str] = []
+    strong = False
     for name, value in _ATTRIBUTE.findall(rest):
-        found += ["hidden"] if name.lower() == "hidden" else _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        if name.lower() == "hidden":
+            found.append("hidden")
+            strong = True
+            continue
+        for token in value.strip("\"'").split():
+            words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            # has-sidebar and the like tell of something else
+            if words and words[0] not in _MODIFIERS:
+                found += words
+                strong |= len(words) == 1 and words[0] in _STRONG_NAMES
     if "style" in rest and _HIDDEN_STYLE.search(rest):
         found.append("hidden")
-    return tuple(dict.fromkeys(found))
+        strong = True
+    return tuple(dict.fromkeys(found)), strong
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order. Broken mark-up is read as far as it goes."""
+    """The leaf blocks of a page, in order. Broken mark-up is read as far as it goes, in time linear in the page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    opened: dict[str, int] = {}
     text: list[str] = []
     linked = links = at = 0
 
@@ -96,23 +144,17 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                blocks.append(Block(whole, [s for s in stack if s[0] not in _INLINE], linked))
+                top = stack[-1] if stack else None
+                blocks.append(Block(whole, top.around if top and top.tag in _INLINE else top, linked))
         text.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal links
-        links -= sum(1 for tag, _ in stack[upto:] if tag == "a")
-        del stack[upto:]
-
-    def open_since(tags: frozenset, until: frozenset = frozenset()) -> int:
-        """The place of the innermost open element of ``tags`` not within one of ``until``; -1 if there is none."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in until:
-                break
-        return -1
+        while len(stack) > upto:
+            tag = stack.pop().tag
+            opened[tag] -= 1
+            links -= tag == "a"
 
     # where the last closing tag of each kind starts: what opens after it is never closed
     last_end = {m[1].lower(): m.start() for m in _LEFT_OPEN_END.finditer(page)}
@@ -130,10 +172,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if token["close"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if tag not in _INLINE:
                 flush()
-            if place >= 0:
+            if opened.get(tag):
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
                 close(place)
             continue
         if tag == "br":
@@ -141,35 +185,35 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _INLINE:
             flush()
         empty = token["rest"].rstrip().endswith("/")
-        if tag in _RAW and not (empty and open_since(_FOREIGN, _HOLDS_HTML) >= 0):
+        if tag in _RAW and not (empty and stack and stack[-1].foreign >= 0):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in _ENDS_FOREIGN:
-            while (place := open_since(_FOREIGN, _HOLDS_HTML)) >= 0:
+            while stack and stack[-1].foreign >= 0:
                 flush()
-                close(place)
+                close(stack[-1].foreign)
         if tag in _VOID:
             continue
         if tag in _LEFT_OPEN and last_end.get(tag, -1) < at:
             continue
         if tag in _ENDS_P and tag != "hr" or tag == "select":
-            while (place := open_since(_CHOICES)) >= 0:
-                close(place)
+            while stack and stack[-1].choice >= 0:
+                close(stack[-1].choice)
         if tag in _ENDS_P:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if place >= 0 and not any(t in ("table", "button") for t, _ in stack[place:]):
+            if stack and stack[-1].paragraph >= 0:
+                close(stack[-1].paragraph)
+        elif tag in _SAME and stack:
+            place = stack[-1].near[_SAME[tag]]
+            if place >= 0 and stack[place].tag in _PEERS[tag]:
                 close(place)
-        elif tag in _SAME:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _SAME[tag]:
-                    break
-                if stack[i][0] == tag or tag in ("td", "th") and stack[i][0] in ("td", "th") or tag in ("dt", "dd") and stack[i][0] in ("dt", "dd"):
-                    close(i)
-                    break
         if empty:
             continue
-        stack.append((tag, _names(token["rest"])))
+        above = stack[-1] if stack else None
+        around = above.around if above and above.tag in _INLINE else above
+        names, strong = ((), False) if tag in _INLINE or tag in ("html", "body") else _named(token["rest"])
+        stack.append(Element(tag, names, strong, around, len(stack), above))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     flush()
     return blocks
@@ -186,31 +230,105 @@ _SIDE_NAMES = frozenset(
     "copyright legal".split())
 
 
-def _beside(path: list[tuple[str, tuple[str, ...]]]) -> bool:
-    """Whether an element of the path is named like side matter."""
-    return any(tag in _SIDE_TAGS or not _SIDE_NAMES.isdisjoint(names) for tag, names in path)
+# names that are those of the thing itself, and first words of names that tell of something elsewhere
+_STRONG_NAMES = frozenset(
+    "nav navbar navigation menu header footer sidebar cookie cookies banner ad ads advert advertisement sponsored comments disqus replies "
+    "breadcrumb breadcrumbs pagination newsletter hidden copyright".split())
+_MODIFIERS = frozenset("has with no not without is js".split())
+_NEVER_AROUND = _SIDE_TAGS - {"form", "fieldset"}
+PROSE_WORDS = 6
+"""Words that a block of running text has at least."""
+AROUND_SHARE = 4
+"""An element that is named like side matter holds the article if it has this many times the prose beside it."""
+NEAREST = 6
+"""Elements around a block whose tags and names are features."""
+
+
+def _side_named(element: Element) -> bool:
+    return element.tag in _SIDE_TAGS or not _SIDE_NAMES.isdisjoint(element.names)
 
 
-def _marked(path: list[tuple[str, tuple[str, ...]]]) -> int | None:
-    """The place of the outermost element that marks an article; None if there is none."""
-    return next((i for i, (tag, _) in enumerate(path) if tag in _MAIN_TAGS), None)
+def placed(blocks: list[Block]) -> list[Element]:
+    """Settles, for the elements around a page's blocks, which are side matter; returns them, outer ones first.
+
+    An element that is named like side matter is a mere wrapper if it holds an element that marks an article,
+    or nearly all running text where it stands; its own parts are then looked at in the same way. Others
+    are side matter with all they hold.
+    """
+    elements: list[Element] = []
+    seen: set[int] = set()
+    for block in blocks:
+        chain, element = [], block.within
+        while element is not None and id(element) not in seen:
+            seen.add(id(element))
+            chain.append(element)
+            element = element.around
+        elements += reversed(chain)
+        if block.within is not None:
+            block.within.prose += block.prose
+    inner: dict[int, list[Element]] = {}
+    top: list[Element] = []
+    for element in elements:
+        around = element.around
+        element.marked = element.tag in _MAIN_TAGS or around is not None and around.marked
+        (inner.setdefault(id(around), []) if around is not None else top).append(element)
+    for element in reversed(elements):
+        element.marks = element.prose if element.tag in _MAIN_TAGS else element.marks
+        if element.around is not None:
+            element.around.prose += element.prose
+            element.around.marks += element.marks
+    everything = sum(b.prose for b in blocks)
+    all_marked = sum(e.marks for e in top)
+
+    def outermost(scope: list[Element]) -> list[Element]:
+        found, waiting = [], list(reversed(scope))
+        while waiting:
+            element = waiting.pop()
+            if _side_named(element):
+                found.append(element)
+            else:
+                waiting += reversed(inner.get(id(element), []))
+        return found
+
+    scope, held = top, everything
+    while True:
+        named = outermost(scope)
+        most = max((e for e in named if e.tag not in _NEVER_AROUND), key=lambda e: (e.marks, not e.strong, e.prose), default=None)
+        beside = held - sum(e.prose for e in named)
+        around = most is not None and (
+            2 * most.marks > all_marked if most.marks else not most.strong and most.prose > AROUND_SHARE * beside)
+        for element in named:
+            element.wrapper = around and element is most
+            element.beside = not element.wrapper
+        if not around:
+            break
+        scope, held = inner.get(id(most), []), most.prose
+    for element in elements:
+        if element.around is not None and element.around.beside:
+            element.beside = True
+    return elements
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """The features of each block of a page."""
+    placed(blocks)
     found = []
     for i, block in enumerate(blocks):
-        mark = _marked(block.path)
-        own = {"bias", "beside" if _beside(block.path) else "not beside"}
-        if mark is not None:
-            own.add("marked, beside" if _beside(block.path[mark + 1:]) else "marked")
-        for tag, names in block.path:
-            if tag not in ("html", "body"):
-                own.add(f"in:{tag}")
-            own.update(f"name:{n}" for n in names)
-        if block.path:
-            own.add(f"tag:{block.path[-1][0]}")
-        words = block.text.count(" ") + 1
+        within = block.within
+        beside = within is not None and within.beside
+        own = {"bias", "beside" if beside else "not beside"}
+        if within is not None:
+            own.add(f"tag:{within.tag}")
+            if within.marked:
+                own.add("marked, beside" if beside else "marked")
+        element, steps = within, 0
+        while element is not None and steps < NEAREST:
+            # a wrapper's names say nothing of what it holds
+            if not element.wrapper and element.tag not in ("html", "body"):
+                own.add(f"in:{element.tag}")
+                own.update(f"name:{n}" for n in element.names if beside or n not in _SIDE_NAMES)
+            element, steps = element.around, steps + 1
+        words = block.words
         own.add(f"words:{min(words, 128).bit_length()}")
         share = block.linked / max(1, len(block.text))
         own.add("links:all" if share > 0.8 else "links:some" if share > 0.2 else "links:few")
@@ -308,12 +426,9 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = ROUNDS, rate
 
 def marked_labels(blocks: list[Block]) -> list[int] | None:
     """Labels that a page's own mark-up gives; None if it marks no article."""
-    labels, marked = [], False
-    for block in blocks:
-        mark = _marked(block.path)
-        marked |= mark is not None
-        labels.append(int(mark is not None and not _beside(block.path[mark + 1:])))
-    return labels if marked else None
+    placed(blocks)
+    labels = [int(b.within is not None and b.within.marked and not b.within.beside) for b in blocks]
+    return labels if any(b.within is not None and b.within.marked for b in blocks) else None
 
 
 def _laid_out(blocks: list[Block], labels: list[int], prose: list[str], chance: random.Random) -> tuple[list[Block], list[int]]:
@@ -324,9 +439,20 @@ def _laid_out(blocks: list[Block], labels: list[int], prose: list[str], chance:
     def pick(*of):
         return chance.choice(of)
 
+    made: dict[tuple, Element] = {}
+
+    def element(path: tuple) -> Element:
+        """The one element of a path; each step is a tag and a class, and a class in brackets is one compound name."""
+        if path not in made:
+            tag, name = path[-1]
+            names = tuple(name.strip("()").split())
+            strong = name[:1] != "(" and not _STRONG_NAMES.isdisjoint(names)
+            made[path] = Element(tag, names, strong, element(path[:-1]) if len(path) > 1 else None, 0, None)
+        return made[path]
+
     def some(tag: str, name: str, inner: str, texts: list[str], linked: bool = False, outer: list | None = None):
-        path = [("html", ()), ("body", ())] + (outer or []) + ([(tag, tuple(name.split()))] if tag else [])
-        return [Block(t, path + [(inner, ())] if inner else path, len(t) if linked else 0) for t in texts]
+        path = (("html", ""), ("body", ""), *(outer or []), *([(tag, name)] if tag else []))
+        return [Block(t, element((*path, (inner, ""))) if inner else element(path), len(t) if linked else 0) for t in texts]
 
     def line() -> str:
         return " ".join(chance.choice(prose).split(" ")[:chance.randint(3, 40)])
@@ -354,19 +480,23 @@ def _laid_out(blocks: list[Block], labels: list[int], prose: list[str], chance:
     for make in side:
         if chance.random() < 0.4:
             parts.append(make())
-    wrapper = [pick(*[(t, tuple(n.split())) for t, n in (
+    wrapper = [pick(
         ("div", "content"), ("div", "main"), ("main", ""), ("article", ""), ("div", "article body"), ("div", "post"), ("div", "entry content"),
-        ("section", "story"), ("div", "text"), ("div", ""), ("section", ""), ("div", "page"), ("article", "post"), ("div", "container"))])]
+        ("section", "story"), ("div", "text"), ("div", ""), ("section", ""), ("div", "page"), ("article", "post"), ("div", "container"))]
     if chance.random() < 0.3:
-        wrapper = [("div", tuple(pick("wrapper", "page", "container", "site", "layout main").split()))] + wrapper
+        wrapper = [("div", pick("wrapper", "page", "container", "site", "layout main"))] + wrapper
+    if chance.random() < 0.4:
+        # names of side matter on what holds the article
+        wrapper = [pick(("div", "(layout sidebar right)"), ("div", "(page header fixed)"), ("form", ""), ("div", "post (search result)"), ("div", "social"),
+                        ("section", "(related content)"), ("div", "(notice board)"), ("div", "(comment page)"), ("form", "(page form)"))] + wrapper
     inner = pick("p", "p", "p", "div")
     body: list[tuple[list[Block], int]] = []
     for i, block in enumerate(main):
-        own = block.path[-1][0] if block.path else "p"
+        own = block.within.tag if block.within else "p"
         tag = own if own[:1] == "h" or own in ("li", "blockquote", "pre", "td") else inner
         if chance.random() < 0.08:
             tag = pick("li", "blockquote", "pre", "h2", "h3", "td", "figcaption")
-        body.append((some(*wrapper[-1][:1], " ".join(wrapper[-1][1]), tag, [block.text], outer=wrapper[:-1]), 1))
+        body.append((some(*wrapper[-1], tag, [block.text], outer=wrapper[:-1]), 1))
         if chance.random() < 0.06:
             body.append((some("ul", "", "li", words(5), outer=wrapper), 1))
         if chance.random() < 0.05:
@@ -398,8 +528,8 @@ def labelled_pages(sample: list[str], layouts: int = LAYOUTS, seed: int = SEED)
     if not found:
         # nothing to learn side matter from: invented words in one plain page
         prose = [" ".join(["word"] * n) + "." for n in (12, 30, 50)]
-        path = [("html", ()), ("body", ()), ("article", ()), ("p", ())]
-        found = [([Block(t, path, 0) for t in prose], [1] * len(prose))]
+        article = Element("article", (), False, None, 0, None)
+        found = [([Block(t, article, 0) for t in prose], [1] * len(prose))]
     return found + [_laid_out(b, y, prose, chance) for b, y in found for _ in range(layouts)]
 
 

@@ -303,7 +303,7 @@ def test_field_gradient_and_viterbi():
     pages = []
     for _ in range(60):
         labels = [chance.random() < 0.5 for _ in range(chance.randint(1, 6))]
-        pages.append(([html_text.Block("w " * (40 if y else 2) + ("stop." if y else "x"), [("div", ())], 0) for y in labels], [int(y) for y in labels]))
+        pages.append(([html_text.Block("w " * (40 if y else 2) + ("stop." if y else "x"), html_text.Element("div", (), False, None, 0, None), 0) for y in labels], [int(y) for y in labels]))
     field = html_text.train(pages)
     assert all(field.labels(b) == y for b, y in pages)
     # Viterbi against all labellings
