@@ -26,8 +26,8 @@ from gridloom.llm.common import saved, whole_text
 
 # fixed values: what the patterns know
 HONORIFICS = {
-    "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин"),
-    "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа"),
+    "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "Κύριος", "Պարոն"),
+    "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "Κυρία", "Տիկին"),
     "n": ("Dr", "Prof", "Mx", "доктор", "Доктор"),
 }
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
@@ -46,12 +46,14 @@ _PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
              r"|(?<![\d.])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d.-]\d|\d)",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d.])[2-6](?:[ -]?\d){12,18}(?!\d)",
     "person": rf"(?<![\p{{L}}\p{{N}}]){_HONORIFIC} {_NAME}(?: {_NAME}){{0,2}}",
 }
 """In order: where several fit at one place, the first counts."""
+_NONE = "none"
+"""The type of what has an entity's form and is none."""
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 _TITLES = "".join(sorted({w[0] for ws in HONORIFICS.values() for w in ws}))
 
@@ -63,13 +65,20 @@ def _may_hold(text: Column) -> Column:
             | (text.rlike("[=:]") & text.rlike("(?i:" + "|".join(SECRET_WORDS) + ")")))
 
 
-_CONSONANTS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвгдзклмнпрстфхш"}
-_VOWELS = {"latin": "aeio", "cyrillic": "аеио"}
+# fixed values: what names are made of, for each script that has capitals; other such scripts get Latin names
+_SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
+_CONSONANTS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвгдзклмнпрстфхш", "greek": "βγδζθκλμνπρστφχψ", "armenian": "բգդզթլկհմնպստրվք"}
+_VOWELS = {"latin": "aeio", "cyrillic": "аеио", "greek": "αειο", "armenian": "աեիո"}
 _ENDINGS = {
     ("latin", "f"): ("a", "ina", "elle", "ia"), ("latin", "m"): ("o", "us", "an", "er"), ("latin", "n"): ("in", "en", "is", "yn"),
     ("latin", "s"): ("son", "mann", "ez", "ard"), ("cyrillic", "f"): ("а", "ина", "ия", "ея"),
     ("cyrillic", "m"): ("ан", "ор", "ий", "ей"), ("cyrillic", "n"): ("ин", "ен", "он", "ич"), ("cyrillic", "s"): ("енко", "чук", "ман", "ский"),
+    ("greek", "f"): ("α", "ια", "ινα", "η"), ("greek", "m"): ("ος", "ης", "ας", "ιος"), ("greek", "n"): ("ι", "ω", "υ", "ις"),
+    ("greek", "s"): ("ιδης", "ακης", "πουλος", "ου"), ("armenian", "f"): ("ուհի", "ինե", "անուշ", "ե"),
+    ("armenian", "m"): ("իկ", "են", "ակ", "ոս"), ("armenian", "n"): ("ի", "ան", "ուշ", "ամ"), ("armenian", "s"): ("յան", "ունի", "ենց", "եան"),
 }
+ROOMY = 8
+"""Draws after which a surrogate becomes longer than its entity: its form may have too few values."""
 
 
 def _type_of(raw: Column) -> Column:
@@ -105,7 +114,9 @@ def _parts(raw: Column, kind: Column) -> tuple[Column, Column]:
 
     def word(w: Column, i: Column) -> Column:
         hint = F.when(F.size(words) == 1, F.lit("l")).when(i == F.size(words) - 1, F.lit("s")).otherwise(gender)
-        script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        script = F.lit("latin")
+        for name, letters in _SCRIPTS.items():
+            script = F.when(w.rlike(letters), name).otherwise(script)
         return F.struct(F.concat_ws(":", F.lit("person"), script).alias("type"), _stem(w).alias("raw"),
                         F.lower(_stem(w)).alias("canon"), F.substr(w, F.length(_stem(w)) + 1).alias("tail"), hint.alias("hint"))
 
@@ -157,6 +168,21 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), weigh), F.lit(0), lambda a, b: a + b)
 
 
+def iban_rest(text: Column) -> Column:
+    """An IBAN's number modulo 97 (letters count from 10, the first four characters last): 1 if it is valid."""
+    turned = F.split(F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4))), "")
+    value = F.transform(turned, lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(value, F.lit(0), lambda a, v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
+def _not_real(raw: Column) -> Column:
+    """Whether a match is a card's or an account's by its form only: its check digits say no."""
+    plain = _plain(raw)
+    card = raw.rlike(r"\A[0-9][0-9 -]{12,}\z") & (F.length(plain) >= 13)
+    iban = raw.rlike(rf"\A(?:{_PATTERNS['iban']})\z")
+    return (card & (luhn_sum(plain) % 10 != 0)) | (iban & (iban_rest(plain) != 1))
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the replacement, for one draw."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
@@ -174,13 +200,21 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(like, F.lit(2), F.length(canon) - 2))
     check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(body, F.when(luhn_sum(canon) % 10 == 0, check).otherwise(F.substr(like, F.length(canon))))
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(like, F.lit(3)))
+    land, account = F.substr(canon, F.lit(1), F.lit(2)), F.substr(like, F.lit(5))
+    iban = F.concat(land, F.lpad((98 - iban_rest(F.concat(land, F.lit("00"), account))).cast("string"), 2, "0"), account)
     made = (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "iban", iban).when(kind.isin("secret") & canon.rlike(r"\A[0-9a-f]+\z"), hexes))
     for script in _CONSONANTS:
         for side in ("f", "m", "n", "s"):
             made = made.when(kind == f"person:{script}:{side}", _name(stream, script, side, attempt))
-    return made.otherwise(like)
+    made = made.otherwise(like)
+    # forms of a fixed size may have no value left that is free: then two digits more, or an address of the longer kind
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), F.least(2 * (attempt - ROOMY + 1), F.lit(24))), lambda i: _draw(
+        stream, i * 4 + 1, 10).cast("string")), "")
+    groups = F.concat(F.lit("2001:db8"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(
+        F.lit(":"), F.substr(stream, (i * 8 + 1).cast("int"), F.lit(4)))), ""))
+    return (F.when((attempt < ROOMY) | kind.startswith("person") | (kind == "email"), made).when(kind == "ip", groups)
+            .otherwise(F.concat(made, longer)))
 
 
 def _settled(place: DataFrame) -> DataFrame:
@@ -211,7 +245,11 @@ def _untitled(piece: Column, names: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """type, canon, given: a surrogate for each distinct entity, all distinct and none an entity itself."""
+    """type, canon, given: a surrogate for each distinct entity, all distinct and none an entity itself.
+
+    Entities that still share one after ``ROOMY`` draws get longer surrogates, of which there are ever more, so
+    the rounds end even where a form has fewer free values than entities.
+    """
     table = saved(entities.select("type", "canon", F.lit(0).alias("attempt"), surrogate(
         F.col("type"), F.col("canon"), F.lit(0), key).alias("given")), "surrogates")
     first = Window.partitionBy("type", "given").orderBy("attempt", "canon")
@@ -238,7 +276,7 @@ def _written(raw: Column, kind: Column, given: Column) -> Column:
     cased = (F.when(raw == F.upper(raw), F.upper(given)).otherwise(F.initcap(given)))
     mail = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(given)).otherwise(given)
     return (F.when(kind.startswith("person"), cased).when(kind == "email", mail).when(kind.isin("ip", "secret"), given)
-            .otherwise(F.array_join(place, "")))
+            .otherwise(F.concat(F.array_join(place, ""), F.substr(given, F.length(_plain(raw)) + 1))))
 
 
 def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -252,19 +290,21 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column:
     own = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
     found = own.withColumn("raws", F.when(_may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
                            .otherwise(F.array().cast("array<string>")))
-    some = saved(found.where(F.size("raws") > 0).withColumn("row_id", F.monotonically_increasing_id()), "texts")
+    found = found.withColumn("n_real", F.size(F.filter("raws", lambda r: ~_not_real(r))))
+    some = saved(found.where(F.col("n_real") > 0).withColumn("row_id", F.monotonically_increasing_id()), "texts")
     place = some.select("row_id", F.posexplode("raws").alias("place", "match"))
     lead, parts = _parts(F.col("match"), F.col("kind"))
-    place = place.withColumn("kind", _type_of(F.col("match"))).select("row_id", "place", lead.alias("lead"), parts.alias("parts"))
+    kind = F.when(_not_real(F.col("match")), F.lit(_NONE)).otherwise(_type_of(F.col("match")))
+    place = place.withColumn("kind", kind).select("row_id", "place", lead.alias("lead"), parts.alias("parts"))
     place = saved(place.select("row_id", "place", "lead", F.posexplode("parts").alias("word", "part")).select(
         "row_id", "place", "lead", "word", "part.*"), "entities")
-    full = _settled(place)
+    full = _settled(place.where(F.col("type") != _NONE))
     given = surrogates(full.select(F.col("full").alias("type"), "canon"), key)
     given = full.join(given.withColumnRenamed("type", "full"), ["full", "canon"]).drop("full")
-    new = F.concat(_written(F.col("raw"), F.col("type"), F.col("given")), F.col("tail"))
+    new = F.concat(F.coalesce(_written(F.col("raw"), F.col("type"), F.col("given")), F.col("raw")), F.col("tail"))
     word = F.struct("place", "word", "lead", new.alias("new"))
     name = F.when(F.col("type").startswith("person"), F.struct("canon", "given"))
-    news = place.join(given, ["type", "canon"]).groupBy("row_id").agg(
+    news = place.join(given, ["type", "canon"], "left").groupBy("row_id").agg(
         F.array_sort(F.collect_list(word)).alias("words"), F.map_from_entries(F.collect_set(name)).alias("names"))
     # words of one entity are joined by a blank, its lead stands before the first
     pieces = F.transform(F.split("text", _ANY, -1), lambda p: _untitled(p, F.col("names")))
@@ -273,6 +313,6 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column:
     text = F.concat(F.array_join(between, ""), F.element_at("pieces", -1)["text"])
     more = F.aggregate("pieces", F.lit(0), lambda n, p: n + p["n"])
     changed = some.join(saved(news, "words"), "row_id").withColumn("pieces", pieces).select(
-        "doc_id", text.alias("text"), (F.size("raws") + more).cast("bigint").alias("n_entities"))
-    untouched = found.where(F.size("raws") == 0).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
+        "doc_id", text.alias("text"), (F.col("n_real") + more).cast("bigint").alias("n_entities"))
+    untouched = found.where(F.col("n_real") == 0).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
     return untouched.unionByName(changed)
