@@ -311,9 +311,19 @@ def parse_records(records: DataFrame, dialect: Dialect) -> DataFrame:
         "maxColumns": str(max(20480, 2 * dialect.width)),
     }
     schema = ", ".join(f"{c} string" for c in cells) + ", _bad string"
-    parsed = records.withColumn("_cells", F.from_csv(F.col(RAW), schema, options))
-
-    ragged = F.col("_cells").isNull() | F.col("_cells._bad").isNotNull()
+    if dialect.width == 1:
+        parsed = records.withColumn("_cells", F.from_csv(F.col(RAW), schema, options)).withColumn("_nothing", F.col("_cells").isNull())
+    else:
+        # most records have no quote: they are cut at the delimiter, several times as fast as by the CSV parser
+        plain = ~F.col(RAW).contains('"')
+        both = records.select("*", F.split(F.when(plain, F.col(RAW)), re.escape(dialect.delimiter), -1).alias("_parts"),
+                              F.from_csv(F.when(~plain, F.col(RAW)), schema, options).alias("_parsed"))
+        short = F.size("_parts") != dialect.width
+        parsed = both.select(*records.columns, (F.col("_parts").isNull() & F.col("_parsed").isNull()).alias("_nothing"), F.struct(
+            *(F.coalesce(F.get("_parts", F.lit(i)), F.col(f"_parsed.{c}")).alias(c) for i, c in enumerate(cells)),
+            F.coalesce(F.when(F.col("_parts").isNotNull() & short, F.col(RAW)), F.col("_parsed._bad")).alias("_bad")).alias("_cells"))
+
+    ragged = F.col("_nothing") | F.col("_cells._bad").isNotNull()
     shape = _cells_of(F.col(RAW), dialect.delimiter)
     found = F.size(shape)
     if spare:
@@ -336,7 +346,7 @@ def parse_records(records: DataFrame, dialect: Dialect) -> DataFrame:
         lead = F.when(_is_header(dialect), HEADER_LINE).otherwise(lead)
     if dialect.has_header or dialect.has_preamble:
         lead = F.when(F.col(BLOCK) == 0, lead).otherwise(0)
-    return parsed.withColumn(LEAD, lead.cast("tinyint")).withColumn(ERROR, F.when(bad, message))
+    return parsed.withColumn(LEAD, lead.cast("tinyint")).withColumn(ERROR, F.when(bad, message)).drop("_nothing")
 
 
 def _is_header(dialect: Dialect) -> Column:

@@ -12,12 +12,14 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.cluster import scratch_dir
 from gridloom.functions.text import decode_bytes
 from gridloom.sources.delimited import (
-    BLOCK, RAW, ROW, SOURCE, Dialect, FileIndex, ends_inside_quotes, literal_path, open_quote_patterns,
+    BLOCK, RAW, SOURCE, Dialect, FileIndex, ends_inside_quotes, literal_path, open_quote_patterns,
     read_lines)
 from gridloom.sources.naming import column_names, generated_names
 
@@ -160,8 +162,7 @@ def _with_utf16(spark: SparkSession, facts: DataFrame, utf16: Column, limit: int
     """The first lines of files in UTF-16, which Spark's lines cannot show, decoded in ``_wide``."""
     names = [r[0] for r in facts.where(utf16).select(SOURCE).collect()]
     lines = read_lines(spark, [literal_path(n) for n in names], "utf-16")
-    text = lines.where(F.length(RAW) > 0).groupBy(SOURCE).agg(F.collect_list(RAW).alias("_all"))
-    return facts.join(text.select(SOURCE, F.slice("_all", 1, limit).alias("_wide")), SOURCE, "left")
+    return facts.join(_gathered(_tops(lines, limit)).withColumnRenamed("_lines", "_wide"), SOURCE, "left")
 
 
 def _decoded_lines(encoding: str) -> Column:
@@ -172,7 +173,8 @@ def _head_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | Non
     """The first lines with text of every file as an array; blank ones inside a quoted cell count, too.
 
     A file larger than a split opens a partition of its own, and reading stops after its first
-    lines. Smaller files share partitions; there a limit per file applies before the shuffle.
+    lines. Smaller files share partitions; there a task counts the lines of every file that starts in it.
+    No more than ``limit`` lines of a file are exchanged.
     """
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = F.col("_metadata.file_size")
@@ -181,23 +183,54 @@ def _head_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | Non
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _top_of_partition(batches, limit)
 
-    tops = large.mapInPandas(top, f"{SOURCE} string, _n int, {RAW} binary")
-    per_file = Window.partitionBy(SOURCE).orderBy(ROW)
-    before = per_file.rowsBetween(Window.unboundedPreceding, -1)
-    quotes = F.length(RAW) - F.length(F.replace(F.col(RAW), F.lit('"'), F.lit("")))
-    small = (
-        read_lines(spark, paths, glob=glob, where=size <= split)
-        .where(F.col(BLOCK) == 0)
-        .withColumn(ROW, F.monotonically_increasing_id())
-        .withColumn("_open", F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1)
-        .where(F.col("_open") | (F.length(RAW) > 0))
-        .withColumn("_n", F.row_number().over(per_file))
-        .where(F.col("_n") <= limit)
-        .select(SOURCE, "_n", RAW)
-    )
-    heads = small.unionByName(tops.withColumn(RAW, F.col(RAW).cast("string")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("_n", RAW))), lambda line: line[RAW])
-    return heads.groupBy(SOURCE).agg(lines.alias("_lines"))
+    small = _tops(read_lines(spark, paths, glob=glob, where=size <= split).where(F.col(BLOCK) == 0), limit)
+    return _gathered(small.unionByName(large.mapInPandas(top, _HEAD_SCHEMA)))
+
+
+def _tops(lines: DataFrame, limit: int) -> DataFrame:
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _tops_of_files(batches, limit)
+
+    return lines.select(SOURCE, F.col(RAW).cast("binary").alias(RAW)).mapInArrow(tops, _HEAD_SCHEMA)
+
+
+def _gathered(heads: DataFrame) -> DataFrame:
+    """The lines of each file, of which there are few, in their order."""
+    line = F.struct("_n", F.col(RAW).cast("string").alias(RAW))
+    return heads.groupBy(SOURCE).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x[RAW]).alias("_lines"))
+
+
+_HEAD_SCHEMA = f"{SOURCE} string, _n int, {RAW} binary"
+
+
+def _tops_of_files(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The first lines of every file of a partition, whose lines follow each other: a counter for each file that starts.
+
+    Only lines that are kept become Python objects.
+    """
+    source, taken, quotes = None, 0, 0
+    for batch in batches:
+        files, numbers, kept = [], [], []
+        start = 0
+        ends = pc.run_end_encode(batch.column(0))
+        for name, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+            if name != source:
+                source, taken, quotes = name, 0, 0
+            at, start = start, end
+            while at < end and taken < limit:
+                for line in batch.column(1).slice(at, min(2 * limit, end - at)).to_pylist():
+                    at += 1
+                    # a blank line counts only inside a quoted cell
+                    if line or quotes % 2:
+                        taken += 1
+                        quotes += line.count(b'"')
+                        files.append(name)
+                        numbers.append(taken)
+                        kept.append(line)
+                        if taken == limit:
+                            break
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(numbers, pa.int32()), pa.array(kept, pa.binary())], names=[SOURCE, "_n", RAW])
 
 
 def _top_of_partition(batches: Iterator[pd.DataFrame], limit: int = HEAD_LINES) -> Iterator[pd.DataFrame]:
