@@ -13,6 +13,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -215,8 +216,8 @@ def _stitch(lines: DataFrame, delimiter: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(known.value, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            yield cutter.take(*batch.to_pydict().values())
-        yield cutter.finish()
+            yield from cutter.take(batch)
+        yield from cutter.finish()
 
     cells = coded.mapInArrow(cut, _CUT_SCHEMA)
     text = F.regexp_replace(F.col(RAW).cast("string"), "\r$", "").alias(RAW)
@@ -243,50 +244,96 @@ def _one_row(split: int, place: tuple[int, int], code: int) -> pa.RecordBatch:
         [*(pa.array([v], pa.int64()) for v in values), pa.array([code], pa.int32())], names=["split", "file", "block", "code"])
 
 
+def _states(codes: np.ndarray, start: int) -> np.ndarray:
+    """Whether each line starts inside a quoted cell, and whether the last one leaves one open: one value more than lines.
+
+    The effect of lines composes: what counts is the last line with a fixed outcome, and how often later ones swap.
+    """
+    places = np.arange(len(codes))
+    fixed = np.maximum.accumulate(np.where((codes == 0) | (codes == 3), places, -1))
+    swaps = np.concatenate([[0], np.cumsum(codes == SWAPS)])
+    base = np.where(fixed >= 0, codes[np.maximum(fixed, 0)] & 1, start)
+    after = base ^ ((swaps[1:] - swaps[fixed + 1]) & 1)
+    return np.concatenate([[start], after]).astype(np.int8)
+
+
 class _Cutter:
-    """Lines of a task as records; the ends of a split that belong to records of two splits as pieces."""
+    """Lines of a task as records; the ends of a split that belong to records of two splits as pieces.
+
+    Records of one line are taken from the batch as they are; only lines that are joined become Python objects.
+    """
 
     def __init__(self, starts: dict[int, int], first_id: int):
         self.starts, self.next_id = starts, first_id
         self.split, self.place, self.inside, self.piece, self.open = None, None, 0, 0, []
-        self.rows: list[tuple] = []
 
-    def _emit(self, piece: int) -> None:
-        self.rows.append((*self.place, self.next_id, b"\n".join(self.open), piece))
-        self.next_id += 1
-        self.open = []
-
-    def _leave(self) -> None:
+    def _rows(self, texts: pa.Array, pieces: np.ndarray) -> pa.RecordBatch:
+        count = len(texts)
+        file, block = self.place if self.place else (None, None)
+        ids = np.arange(self.next_id, self.next_id + count, dtype=np.int64)
+        self.next_id += count
+        same = pa.array(np.zeros(count, dtype=np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file], pa.string()).take(same), pa.array([block], pa.int64()).take(same), pa.array(ids), texts,
+             pa.array(pieces.astype(np.int32))], names=[SOURCE, BLOCK, ROW, RAW, "_piece"])
+
+    def _leave(self) -> Iterator[pa.RecordBatch]:
         if self.open:
-            self._emit(self.piece or _OPENED)
-
-    def take(self, files: list, blocks: list, splits: list, codes: list, texts: list) -> pa.RecordBatch:
-        for file, block, split, code, line in zip(files, blocks, splits, codes, texts):
-            if split != self.split:
-                self._leave()
+            text = b"\n".join(self.open)
+            self.open = []
+            yield self._rows(pa.array([text], pa.binary()), np.array([self.piece or _OPENED]))
+
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        files, blocks, splits, codes, texts = batch.columns
+        keys, codes = splits.to_numpy(), codes.to_numpy(zero_copy_only=False)
+        for start, stop in _runs(keys, blocks.to_numpy()):
+            if keys[start] != self.split:
+                yield from self._leave()
+                split = int(keys[start])
                 if split not in self.starts:
-                    raise RuntimeError(f"'{file}' was cut differently in the second pass.")
-                self.split, self.place, self.inside = split, (file, block), self.starts[split]
+                    raise RuntimeError(f"'{files[start].as_py()}' was cut differently in the second pass.")
+                self.split, self.place, self.inside = split, (files[start].as_py(), blocks[start].as_py()), self.starts[split]
                 self.piece = _CARRIED if self.inside else 0
-            if not self.inside and not line.rstrip(b"\r"):
-                continue
-            self.open.append(line)
-            self.inside = code >> self.inside & 1
-            if not self.inside:
-                self._emit(self.piece)
-                self.piece = 0
-        return self._batch()
-
-    def finish(self) -> pa.RecordBatch:
-        self._leave()
-        return self._batch()
-
-    def _batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) or [[]] * 5
-        self.rows = []
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                          names=[SOURCE, BLOCK, ROW, RAW, "_piece"])
+            yield self._records(codes[start:stop], texts.slice(start, stop - start))
+
+    def _records(self, codes: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        """The records that end in these lines of a split; the rest waits."""
+        states = _states(codes, self.inside)
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        blank = lengths == 0
+        for i in np.flatnonzero(pc.starts_with(texts, pattern=b"\r").to_numpy(zero_copy_only=False)).tolist():
+            blank[i] = not texts[i].as_py().rstrip(b"\r")
+        blank &= states[:-1] == 0
+        ends = np.flatnonzero((states[1:] == 0) & ~blank)
+        # blank lines stand between records only, so a record that spans lines has none before its first
+        opens = np.flatnonzero((states[:-1] == 0) & ~blank)
+        if states[0]:
+            # the first lines go on with what is held, or with the split before
+            opens = np.concatenate([[-1], opens])
+        firsts = opens[:len(ends)]
+        joined = np.flatnonzero(firsts != ends)
+        spans = []
+        for k in joined.tolist():
+            lines = texts.slice(max(firsts[k], 0), ends[k] + 1 - max(firsts[k], 0)).to_pylist()
+            spans.append(b"\n".join([*self.open, *lines] if firsts[k] < 0 else lines))
+        if len(opens) > len(ends):
+            rest = texts.slice(max(opens[len(ends)], 0)).to_pylist()
+            self.open = [*self.open, *rest] if opens[len(ends)] < 0 else rest
+        else:
+            self.open = []
+        self.inside = int(states[-1])
+        whole = texts.take(pa.array(ends))
+        if spans:
+            place = np.arange(len(ends))
+            place[joined] = len(ends) + np.arange(len(joined))
+            whole = pa.concat_arrays([whole, pa.array(spans, whole.type)]).take(pa.array(place))
+        pieces = np.zeros(len(ends))
+        if len(ends):
+            pieces[0], self.piece = self.piece, 0
+        return self._rows(whole, pieces)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield from self._leave()
 
 
 def _cells_of(raw: Column, delimiter: str) -> Column:
