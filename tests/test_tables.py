@@ -156,18 +156,18 @@ def test_glob(spark, pattern, text, hit):
 def test_zip_entries(spark, folder):
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as archive:
-        archive.writestr("first.csv", "﻿Id;Name\r\n1;Ada\r\n")
-        archive.writestr("nested/SECOND.CSV", "Id;Name\n2;Ola\n3;Zen")
-        archive.writestr("notes.txt", "no")
+        archive.writestr("harvest/rye.Csv", "Field|Tons\nhill|4\nmarsh|0")
+        archive.writestr("oats.csv", "\ufeffField|Tons\r\nbank|11\r\n")
+        archive.writestr("harvest/map.png", b"\x89PNG")
     folder("in/a.ZIP", packed.getvalue())
     lines = archive_lines(read_archives(spark, folder.new("in")))
     assert {(r.entry, r.line_number, bytes(r.line)) for r in lines.collect()} == {
-        ("first.csv", 1, b"Id;Name\r"), ("first.csv", 2, b"1;Ada\r"), ("nested/SECOND.CSV", 1, b"Id;Name"),
-        ("nested/SECOND.CSV", 2, b"2;Ola"), ("nested/SECOND.CSV", 3, b"3;Zen")}
-    dialect = Dialect(("Id", "Name"), ";", header_line="Id;Name")
+        ("oats.csv", 1, b"Field|Tons\r"), ("oats.csv", 2, b"bank|11\r"), ("harvest/rye.Csv", 1, b"Field|Tons"),
+        ("harvest/rye.Csv", 2, b"hill|4"), ("harvest/rye.Csv", 3, b"marsh|0")}
+    dialect = Dialect.named("Field", "Tons", delimiter="|")
     from gridloom.operators.ingest import Staged
     staged = Staged(typed_rows(parse_records(archive_records(lines), dialect), dialect))
-    assert rows(staged.accepted()) == [("1", "Ada"), ("2", "Ola"), ("3", "Zen")]
+    assert rows(staged.accepted()) == [("bank", "11"), ("hill", "4"), ("marsh", "0")]
 
 
 def test_zip_without_csv_is_an_error(spark, folder):
