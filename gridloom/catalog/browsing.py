@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import show_tables, table
 from gridloom.operators.browse import facets, filtered_count, page, value_filter
+from gridloom.operators.fences import Fences
 
 
 def value_filter_text(spark, sf):
@@ -77,6 +78,14 @@ def page_text_tie(spark, sf):
     return page(orders, "o_orderstatus", descending=True, offset=orders.count() // 2, tie_break="key", top_k_rows=300, numbered=True)
 
 
+def page_fences(spark, sf):
+    """Two pages far down, of one order whose keys were counted once."""
+    lines = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    fences = Fences.build(lines, "o_custkey", descending=True, tie_break="o_orderkey", filters={"o_orderstatus": ["O", "F"]}, fence_rows=500)
+    middle = lines.count() // 3
+    return fences.page(200, middle, numbered=True).unionByName(fences.page(100, middle * 2, numbered=True))
+
+
 def page_unsorted_deep(spark, sf):
     """A page far down without an order: as many rows as it has, all of them the table's."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -106,6 +115,7 @@ QUERIES = {
     "page_numbered": page_numbered,
     "page_deep": page_deep,
     "page_text_tie": page_text_tie,
+    "page_fences": page_fences,
     "page_unsorted_deep": page_unsorted_deep,
     "page_over_sql": page_over_sql,
 }
@@ -139,6 +149,11 @@ ORACLES = {
     "page_text_tie": """SELECT key, o_orderstatus, row_number FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus,
         row_number() OVER (ORDER BY o_orderstatus DESC, CAST(o_orderkey AS VARCHAR)) AS row_number, count(*) OVER () AS n FROM orders)
         WHERE row_number > n // 2 AND row_number <= n // 2 + 200""",
+    "page_fences": """WITH numbered AS (
+        SELECT o_orderkey, o_custkey, o_orderstatus, row_number() OVER (ORDER BY o_custkey DESC NULLS LAST, o_orderkey) AS row_number
+        FROM orders WHERE o_orderstatus IN ('O', 'F')), middle AS (SELECT count(*) // 3 AS n FROM orders)
+        SELECT numbered.* FROM numbered, middle
+        WHERE row_number > n AND row_number <= n + 200 OR row_number > 2 * n AND row_number <= 2 * n + 100""",
     "page_unsorted_deep": "SELECT least(150, count(*)) AS row_count FROM lineitem",
     "page_over_sql": """SELECT o_custkey, count(*) AS order_count FROM orders GROUP BY o_custkey
         HAVING count(*) IN (9, 10, 11, 12) ORDER BY order_count DESC, o_custkey LIMIT 100 OFFSET 20""",

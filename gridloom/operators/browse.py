@@ -8,7 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gridloom.cluster import quoted, resolve_column
+from gridloom.cluster import quoted, resolve_column, scratch_dir
 from gridloom.functions.text import cell_text
 
 # Rows on a page and values in a facet.
@@ -116,7 +116,7 @@ def page(
 
     ``tie_break`` (a unique column, such as a row id) makes pages repeatable. A page near the top is
     a top-k. Further down, ranges of the sort key are counted first, so that no task has to hold
-    all rows above the page. Without an order, the rows of each partition are counted instead.
+    all rows above the page. Without an order, rows are written down, and those of each file counted.
     """
     if limit <= 0:
         raise ValueError("A limit below one shows nothing.")
@@ -153,17 +153,25 @@ def _directed(column: Column, descending: bool) -> Column:
 def _seek_unsorted(
     df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, limit: int, top_k_rows: int
 ) -> tuple[DataFrame, int]:
-    """The partitions that hold the page, and the number of rows before them: a count for each partition."""
-    place = F.spark_partition_id()
-    counts = df.select(place.alias("p")).groupBy("p").count().collect()
+    """The files that hold the page, and the number of rows before them, of rows that are written down first.
+
+    Without an order, nothing says that two queries see rows in the same partitions; files stay as they are.
+    """
+    folder = scratch_dir(df.sparkSession, "page")
+    df.write.parquet(folder)
+    place, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    held = df.sparkSession.read.schema(df.schema).parquet(folder)
+    counts = held.groupBy(place.alias("file")).count().collect()
     position, skipped, chosen = 0, 0, []
-    for row in sorted(counts, key=lambda r: r["p"]):
+    for row in sorted(counts, key=lambda r: r["file"]):
         if position < offset + limit and position + row["count"] > offset:
-            chosen.append(row["p"])
+            chosen.append(row["file"])
         elif not chosen:
             skipped += row["count"]
         position += row["count"]
-    return (df.where(place.isin(chosen)), skipped) if chosen else (df.limit(0), offset)
+    if not chosen:
+        return df.limit(0), offset
+    return held.where(place.isin(chosen)).orderBy(place, at), skipped
 
 
 # Bounds that a round cuts the rows at, and sampled keys for each of them.

@@ -269,3 +269,31 @@ def test_null_keys_do_not_meet_in_one_task(spark, how, kept):
     finally:
         for key, value in previous.items():
             spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("descending, tie", [(False, "k"), (True, "k"), (False, None), (True, None)])
+def test_fences_give_the_pages_of_a_sort(spark, descending, tie):
+    from gridloom.operators.fences import Fences
+
+    chance = random.Random(4)
+    data = [(chance.choice([None, -2.5, 1.0, 1.5, 1e300]) if n % 3 else float(n % 50), f"k{n:04d}") for n in range(1500)]
+    table = spark.createDataFrame(data, "v double, k string").repartition(5)
+    order = sorted(sorted(data, key=lambda r: r[1]), key=lambda r: (r[0] is not None, r[0] or 0), reverse=descending)
+    fences = Fences.build(table, "v", descending, tie, fence_rows=40)
+    for offset in (0, 39, 40, 700, 1111, 1490, 1500, 9000):
+        got = [(r.v, r.k) for r in fences.page(25, offset).collect()]
+        want = order[offset:offset + 25]
+        assert got == want if tie else [v for v, _ in got] == [v for v, _ in want]
+    again = Fences(table, fences.fences.inputFiles()[0].rsplit("/", 1)[0], "v", descending, tie)
+    assert [r.row_number for r in again.page(5, 800, numbered=True).collect()] == list(range(801, 806))
+
+
+def test_fences_reach_the_scan(spark, folder):
+    from gridloom.operators.fences import Fences
+
+    spark.range(5000).write.parquet(folder.new("t"))
+    fences = Fences.build(spark.read.parquet(folder.new("t")), "id", tie_break="id", fence_rows=100)
+    page = fences.page(20, 3030)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,3000)" in plan and "LessThanOrEqual(id,3100)" in plan
+    assert [r.id for r in page.collect()] == list(range(3030, 3050))
