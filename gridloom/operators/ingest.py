@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from gridloom.cluster import compiled_in_pieces, hadoop_path, path_exists, publish
 from gridloom.functions.convert import COLUMN_TYPES, DATE_FORMATS, conversion_error, convert

@@ -1,8 +1,11 @@
 import os
 
-import pytest
+# tests run each plan once or twice: quick compilation is worth more than fast code
+os.environ.setdefault("JDK_JAVA_OPTIONS", "-XX:TieredStopAtLevel=1")
 
-from gridloom.cluster import local_session
+import pytest  # noqa: E402
+
+from gridloom.cluster import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
