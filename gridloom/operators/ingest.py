@@ -217,16 +217,15 @@ def stage(rows: DataFrame, folder: str, dialect: Dialect, files: FileIndex | Non
     with compiled_in_pieces(spark):
         rows.write.mode("overwrite").parquet(folder)
     staged = spark.read.schema(rows.schema).parquet(folder)
-    first = staged.groupBy(SOURCE).agg(
-        F.min(F.struct(BLOCK, ROW, LEAD)).alias("_first"), F.count_if(F.col(LEAD) != 0).alias("_doubtful"))
-    headed = F.col("_first." + LEAD) == HEADER_LINE
+    first = first_leads(staged)
+    headed = F.col("_first") == HEADER_LINE
     seen = first.agg(F.count("*").alias("files"), F.coalesce(F.sum("_doubtful"), F.lit(0)).alias("doubtful"),
                      F.count_if(headed).alias("headed")).first()
     more = []
     leads_only = seen["doubtful"] == seen["headed"] and (seen["headed"] == seen["files"] or not dialect.has_header)
     if (dialect.has_header or dialect.has_preamble) and (dialect.has_preamble or not leads_only):
-        top = staged.where(F.col(BLOCK) == 0).groupBy(SOURCE).agg(F.min(F.struct(ROW, LEAD)).alias("_top")).select(
-            SOURCE, F.col("_top." + ROW).alias("_first"), (F.col("_top." + LEAD) == PREAMBLE_LINE).alias("_preamble"))
+        top = staged.where(F.col(BLOCK) == 0).groupBy(SOURCE).agg(
+            F.min(ROW).alias("_first"), (F.min_by(LEAD, ROW) == PREAMBLE_LINE).alias("_preamble"))
         place = F.col("_first") + F.col("_preamble").cast("int")
         leads = top.select(SOURCE, F.explode(F.array_compact(F.array(
             F.when(F.col("_preamble"), F.col("_first")), place if dialect.has_header else F.lit(None).cast("long")))).alias(ROW))
@@ -246,6 +245,16 @@ def stage(rows: DataFrame, folder: str, dialect: Dialect, files: FileIndex | Non
             part.coalesce(1).write.mode("append").parquet(folder)
 
 
+def first_leads(staged: DataFrame) -> DataFrame:
+    """Per file: ``_first``, the lead of its first record (lowest row of its first split), and ``_doubtful``, rows that lead.
+
+    Only fixed-width minima, which hash aggregation keeps, so no task sorts its rows.
+    """
+    low = staged.groupBy(SOURCE).agg(F.min(BLOCK).alias(BLOCK), F.count_if(F.col(LEAD) != 0).alias("_doubtful"))
+    return staged.join(F.broadcast(low), [SOURCE, BLOCK]).groupBy(SOURCE, "_doubtful").agg(
+        F.min_by(LEAD, ROW).alias("_first"))
+
+
 def problem_rows(files: DataFrame, like: DataFrame) -> DataFrame:
     """A row for each (file, ``problem``), in the shape of staged rows."""
     known = {SOURCE: F.col(SOURCE), BLOCK: F.lit(0).cast("long"), ROW: F.lit(-1).cast("long"),

@@ -334,3 +334,14 @@ def test_casts_of_the_caller_never_meet_header_or_rejected_rows(spark, folder):
     assert accepted.selectExpr("CAST(Id AS INT) AS n").where("n >= 0").agg({"n": "sum"}).first()[0] == 190
     repeated = ingest(spark, folder("d.csv", text.split("bad")[0] + "Id;Name\n"), folder.new("again")).accepted()
     assert repeated.where("try_cast(Id AS INT) IS NULL").count() == 1
+
+
+def test_first_leads_by_split_then_row_without_sorting(spark):
+    from gridloom.operators.ingest import first_leads
+
+    staged = spark.createDataFrame(
+        [("a", 40, 1, 0), ("a", 0, 9, 1), ("a", 0, 7, 2), ("b", 10, 3, 0), ("b", 10, 2, 1), ("b", 70, 0, 0)],
+        "_source_file string, _block_start long, _row_id long, _lead tinyint")
+    found = first_leads(staged)
+    assert sorted((r._source_file, r._first, r._doubtful) for r in found.collect()) == [("a", 2, 2), ("b", 1, 1)]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
