@@ -345,3 +345,19 @@ def test_first_leads_by_split_then_row_without_sorting(spark):
     found = first_leads(staged)
     assert sorted((r._source_file, r._first, r._doubtful) for r in found.collect()) == [("a", 2, 2), ("b", 1, 1)]
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typed_quarantine_stages_without_sorting_its_rows(spark, folder):
+    from gridloom.operators.ingest import first_leads
+
+    head = "order;line;price;open;shipped\n"
+    folder("lines/part-0.csv", head + "1;1;10,5;tak;02.01.1996\n97;first;3,25;nie;03.01.1996\n")
+    path = folder("lines/part-1.csv", head + "97;2;n/a;;04.01.1996\n98;1;7,00;tak;05.01.1996\n")
+    mappings = [ColumnMapping(0, "order_id", "Integer"), ColumnMapping(1, "line_id", "Integer"),
+                ColumnMapping(2, "price", "Decimal"), ColumnMapping(3, "is_open", "Boolean"), ColumnMapping(4, "shipped", "Date")]
+    result = staged(spark, folder, path.rsplit("/", 1)[0], mappings=mappings)
+    assert rows(result.rejected().select("message", "raw_row")) == [
+        ("Value 'first' cannot be converted to Integer.", "97;first;3,25;nie;03.01.1996"),
+        ("Value 'n/a' cannot be converted to Decimal.", "97;2;n/a;;04.01.1996")]
+    assert result.accepted().count() == 2
+    assert "SortAggregate" not in first_leads(result.rows)._jdf.queryExecution().executedPlan().toString()
